@@ -1,0 +1,40 @@
+"""Intermediate tables in the shared folder of the cluster.
+
+A written table cuts lineage: a lost executor costs the tasks it ran, never a
+recomputation of the stages before.  Files are in spark.checkpoint.dir, through
+Spark's own readers and writers, so that any file system of the cluster serves.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Scratch:
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not root:  # tests and single machines
+            root = "file://" + tempfile.mkdtemp(prefix="lexquarry-")
+            spark.conf.set("spark.checkpoint.dir", root)
+        self.root = f"{root.rstrip('/')}/lexquarry"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df as Parquet and reads it again."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the files of a table that keep() returned and that no later plan reads."""
+        jvm = self.spark.sparkContext._jvm
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession) -> Scratch:
+    return Scratch(spark)
