@@ -21,6 +21,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexquarry.llm import token_files
+
+    files = token_files.write(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_files.digests(*files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

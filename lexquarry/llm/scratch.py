@@ -22,10 +22,10 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/lexquarry"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it again."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+    def keep(self, df: DataFrame, name: str, to: str | None = None, **options: str) -> DataFrame:
+        """Writes df as Parquet, to a folder of its own or to `to`, and reads it again."""
+        path = to or f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
