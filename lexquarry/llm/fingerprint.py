@@ -29,6 +29,7 @@ _LEAST = -(1 << 63)
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
+    text = F.coalesce(text, F.lit(""))
     normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal, F.lit(True))
     wide = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
@@ -75,7 +76,7 @@ def with_next(df: DataFrame) -> tuple[DataFrame, Window]:
     two = F.array(F.struct(F.col("range"), F.lit(0).alias("extra")), F.struct(before.alias("range"), F.lit(1).alias("extra")))
     placed = placed.select("key", "doc_id", "text", F.explode(F.when(first, two).otherwise(one)).alias("at")).select("key", "doc_id", "text", "at.range", "at.extra")
     order = Window.partitionBy("range").orderBy("extra", "key", "text")
-    return placed.withColumn("next", F.lead("text").over(order)), order
+    return placed.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))), order
 
 
 def fingerprints(spark: SparkSession, df: DataFrame, bits: int = 64) -> DataFrame:
