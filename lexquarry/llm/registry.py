@@ -48,6 +48,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(*files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import license_scan
+
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("text")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
