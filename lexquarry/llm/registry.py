@@ -54,6 +54,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("text")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import main_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return main_text.main_text(pages, main_text.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
