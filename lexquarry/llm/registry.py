@@ -70,6 +70,23 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import labelled, toxicity
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.Model.fit(labelled.sample(docs, labels.where(labelled.fold("doc_id", 5) != 0), "toxic"))
+    scored = toxicity.score_toxicity(docs, model, spans=False)
+    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import labelled, quality
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.Model.fit(labelled.sample(docs, labels.where(labelled.fold("doc_id", 3) != 1), "quality"))
+    return quality.score_quality(docs, model).select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
