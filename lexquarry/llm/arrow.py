@@ -61,9 +61,14 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array) -> Chunks:
+def chunks(column: pa.Array, lower: str = "", blank: bool = False, signs: bytes = b"") -> Chunks:
     """Cuts every text where white space follows something else.
 
+    With `blank`, ASCII white space is made a space; with lower="all", A-Z are
+    made lower case, with lower="ascii" only before another ASCII character, so
+    that no letter before a combining mark changes; with `signs`, a text is cut
+    between an ASCII letter and one of these as well.
+
     A piece is a run of white space and the run of other characters behind it.
     A cut is made only before ASCII white space whose predecessor is surely no
     white space of any script; a missed cut makes a longer piece, nothing else.
@@ -72,13 +77,26 @@ def chunks(column: pa.Array) -> Chunks:
     size = np.diff(offsets)
     if not len(data):
         return Chunks([], np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), size)
+    space = _SPACE[data]
     cut = np.zeros(len(data), bool)
-    cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]]
+    cut[1:] = space[1:] & ~space[:-1]
     high = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
     if len(high):
         two, three = data[np.maximum(high - 2, 0)], data[np.maximum(high - 3, 0)]
         cut[high[(two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))]] = False
     cut[offsets[:-1][size > 0]] = True
+    if blank:
+        data = np.where(space, np.uint8(32), data)
+    if lower or signs:
+        capital = data - np.uint8(65) < 26
+    if signs:
+        sign = np.zeros(256, bool)
+        sign[list(signs)] = True
+        cut[1:] |= sign[data[1:]] & (capital | (data - np.uint8(97) < 26))[:-1]
+    if lower == "ascii":
+        capital[:-1] &= data[1:] < 0x80
+    if lower:
+        data = np.where(capital, data + np.uint8(32), data)
     starts = np.flatnonzero(cut)
     ends = np.append(starts, len(data)).astype(np.int32)
     pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])

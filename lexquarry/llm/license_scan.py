@@ -141,8 +141,8 @@ class Scanner:
         return {k: min(1.0, x) for k, x in best.items()}
 
     def scan(self, column: pa.Array) -> list[pa.Array]:
-        c = chunks(column)
-        parts = [_WORD.findall(w.lower()) for w in c.words]
+        c = chunks(column, lower="all", blank=True)
+        parts = [_WORD.findall(w) for w in c.words]
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         get = self.vocabulary.get
         flat = np.fromiter((get(w, -1) for p in parts for w in p), np.int64, int(count.sum()))

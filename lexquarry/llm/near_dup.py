@@ -52,8 +52,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    c = chunks(column)
-    parts = [w.lower().split() for w in c.words]
+    c = chunks(column, lower="all", blank=True)
+    parts = [w.split() for w in c.words]
     count = np.fromiter(map(len, parts), np.int64, len(parts))
     known: dict[bytes, int] = {}
     flat = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for p in parts for w in p], np.uint64)

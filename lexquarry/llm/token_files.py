@@ -26,24 +26,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm import huffman
-from lexquarry.llm.arrow import Memo, chunks, gather, slices
+from lexquarry.llm.arrow import MEMO_WORDS, Memo, chunks, gather, plain, slices
 from lexquarry.llm.scratch import scratch
 
 #: Rows of a shard, as long as the table has no more than SHARDS times as many.
 SHARD_ROWS, SHARDS = 2048, 20_000
 #: Ids of a segment; a longer document is a segment by itself.
 SEGMENT_IDS = 1 << 19
+#: Words that are encoded in one call.
+LINE = 256
 
 _ENCODED = "doc_id long, shard long, n_tokens long, ids binary"
 _SEGMENTS = "shard long, segment int, doc_ids array<long>, sizes array<int>, bits array<int>, payload binary"
+#: Signs that this family of tokenizers never joins with the letters before them.
+_SIGNS = b".,;:!?*#%&$|)"
 _loaded: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Encodes texts by the tokenizers library, each distinct piece once.
+    """Encodes texts by the tokenizers library, each distinct word once.
 
     White space is a boundary of this family of tokenizers and is dropped, so a
-    text's ids are those of its pieces, one after another.
+    text's ids are those of its pieces, one after another; and signs behind
+    ASCII letters are words of their own.  Words of letters alone are encoded
+    many at a time, and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
@@ -53,20 +59,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo()
 
+    def learn(self, new: list[str]) -> None:
+        letters, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        lines = [letters[a : a + LINE] for a in range(0, len(letters), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            if len(stops) == len(line):
+                data = ids.tobytes()
+                self.memo.update(zip(line, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                rest += line
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.memo[w] = np.array(e.ids, self.kind).tobytes()
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id behind each text, and the number of ids of each."""
-        c = chunks(column)
-        words = [w.strip(b" \t\n\v\f\r") for w in c.words]
-        self.memo.room(len(words))
-        new = list({w for w in words if w not in self.memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, self.kind).tobytes()
-        got = [self.memo[w] for w in words]
+        text = plain(column)[0].tobytes().lower()
+        if any(s in text for s in self.special):  # these strings count as they stand, in their own case
+            c = chunks(column)
+        else:
+            c = chunks(column, lower="ascii", blank=True, signs=_SIGNS)
+        words = [w.strip(b" \t\n\v\f\r").decode() for w in c.words]
+        new = {w for w in words if w not in self.memo}
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.memo.clear()
+            new = set(words)
+        self.learn(list(new))
+        got = list(map(self.memo.__getitem__, words))
         count = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(got), self.kind)
         sizes = c.per_text(count) + 1
