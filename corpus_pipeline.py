@@ -1,17 +1,57 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
+"""The corpus pipeline: toxicity, quality, near duplicates, decontamination, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has
+kept.  The first four return documents with all of their columns; the last one
+returns the ids of each document and the digest of what they decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexquarry.llm import bpe_codec, decontaminate, labelled, near_dup, quality, toxicity
+from lexquarry.llm.scratch import scratch
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.Model.fit(labelled.sample(docs, labels, "toxic")))
+
+
+def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.with_quality(docs, quality.Model.fit(labelled.sample(docs, labels, "quality")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.one_of_each(spark, docs)
 
-STAGES: list = []
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe_codec.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", with_quality),
+    ("near duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("token ids", token_ids),
+]
+#: The models and the sketches have no SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexquarry.llm.scratch import scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch(spark).keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch(spark).keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

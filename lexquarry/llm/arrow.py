@@ -145,3 +145,16 @@ def append(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], make:
                 yield pa.RecordBatch.from_arrays([c for _, c in keep] + [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=[n for n, _ in keep] + [n for n, _ in fields])
 
     return src.mapInArrow(run, out)
+
+
+def keep(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = SLICE_BYTES) -> DataFrame:
+    """The rows of df, with all of their columns, for whose text the function that make() returns says true."""
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in slices(batch, at, most):
+                yield part.filter(pa.array(f(part.column(at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

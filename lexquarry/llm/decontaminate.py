@@ -19,6 +19,7 @@ characters, with a pass over the texts for each block.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import slices
+from lexquarry.llm.arrow import keep, slices
 
 #: Edits for each character of an item, and characters of the items of one pass.
 RATE, BLOCK_CHARS = 0.1, 4 << 20
@@ -139,7 +140,7 @@ class Matcher:
         return least.tolist(), (start + end).tolist()
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items of (item_id, text), in blocks of bounded size; each block is fetched when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates(["item_id", "text"])
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -172,13 +173,14 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", rate: float =
     """The rows of df whose text holds no item; all columns stay."""
     for items in blocks(benchmark):
 
-        def run(batches, items=items):
+        def make(items=items):
             matcher = Matcher(items, rate)
-            for batch in batches:
-                at = batch.schema.get_field_index(text)
-                for part in slices(batch, at):
-                    found = {k for k, *_ in matcher.find([plain_text(t) for t in part.column(at).to_pylist()])}
-                    yield part.filter(pa.array([k not in found for k in range(len(part))], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+            def f(column):
+                held = {k for k, *_ in matcher.find([plain_text(t) for t in column.to_pylist()])}
+                return [k not in held for k in range(len(column))]
+
+            return f
+
+        df = keep(df, text, make)
     return df

@@ -231,3 +231,14 @@ def find(spark: SparkSession, df: DataFrame) -> DataFrame:
     out = rows.join(files.keep(named, "named"), ["d1", "d2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df with one document of each component; all columns stay.
+
+    Rows that repeat a doc_id count as one document, of which one row stays.  A
+    row without a doc_id can't be named by a component and stays.
+    """
+    kept = find(spark, df).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = df.join(kept, "doc_id", "left_semi").select(df.columns).dropDuplicates(["doc_id"])
+    return named.unionByName(df.where("doc_id IS NULL"))

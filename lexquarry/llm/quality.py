@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexquarry.llm.arrow import append, chunks, gather
+from lexquarry.llm.arrow import append, chunks, gather, keep
 
 BUCKETS, SCALE = 1 << 18, 8.0
 #: FTRL-proximal: rate, its offset, and the weights of the absolute and the squared weights; passes over the sample.
@@ -133,3 +133,8 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return f
 
     return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make)
+
+
+def with_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that the model predicts to be of good quality; all columns stay."""
+    return keep(df, text, lambda: lambda column: model.score(column) >= 0.5)

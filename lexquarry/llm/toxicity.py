@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexquarry.llm.arrow import append, chunks, gather
+from lexquarry.llm.arrow import append, chunks, gather, keep
 
 #: Hashed features; words of a block of a chain.
 BUCKETS, BLOCK = 1 << 18, 32
@@ -249,3 +249,16 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", spans: bool
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())] + [("spans", span)] * spans, make)
+
+
+def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that the model doesn't predict to be toxic; all columns stay."""
+
+    def make():
+        def f(column):
+            _, top, total = model.tag(Words(column))
+            return model.score(top, total) < 0.5
+
+        return f
+
+    return keep(df, text, make)
