@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries.
 
 Each task holds the pre-tokens of its partition that it has not met yet as
-rows (word, position, token).  A recursive query joins neighbouring tokens to
-the merge table and contracts every word's leftmost pair of minimum rank, round
+rows (word, position, next position, token).  A recursive query joins neighbouring
+tokens to the merge table and contracts every word's leftmost pair of minimum rank, round
 by round, until no word has a pair.  An ordered aggregation of the final rows
 gives the ids of a word, and one over the vocabulary's bytes decodes them.  A
 text is the sequence of its words, so its ids and its decoded bytes are those
@@ -29,36 +29,33 @@ from lexquarry.llm.arrow import append, chunks
 #: Bytes of new words that one recursive query takes on; a longer word goes alone.
 QUERY_BYTES = 150_000
 #: Words that a worker remembers before it starts afresh.
-WORDS = 400_000
+WORDS = 1_000_000
 
 _ENCODE = """
-WITH RECURSIVE state(round, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM seed
-  UNION ALL
-    SELECT round + 1, word, pos, CASE WHEN here THEN made ELSE token END
-    FROM (
-        SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-        FROM (
-            SELECT *, coalesce(made * 4294967296 + pos = best, false) AS here
-            FROM (
-                SELECT p.*, m.made, min(m.made * 4294967296 + p.pos) OVER (PARTITION BY p.word) AS best
-                FROM (
-                    SELECT round, word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next
-                    FROM state
-                ) p LEFT JOIN merges m ON m.pair = p.token * 65536 * 4 + p.next
-            )
-            WHERE best IS NOT NULL
-        )
+WITH RECURSIVE state(round, word, pos, next, token) AS (
+    SELECT 0, word, pos, next, token FROM seed
+  UNION ALL (
+    WITH chosen AS (
+        SELECT a.word, min(m.made * 4294967296 + a.pos) AS best,
+               arg_min(b.pos, m.made * 4294967296 + a.pos) AS gone, arg_min(b.next, m.made * 4294967296 + a.pos) AS after
+        FROM state a JOIN state b ON b.pos = a.next JOIN merges m ON m.pair = a.token * 262144 + b.token
+        GROUP BY a.word
     )
-    WHERE NOT gone
-),
-final AS (SELECT * FROM state QUALIFY round = max(round) OVER (PARTITION BY word))
-SELECT f.word,
-       string_agg(f.token::VARCHAR, ',' ORDER BY f.pos) AS ids,
+    SELECT s.round + 1, s.word, s.pos,
+           CASE WHEN s.pos = c.best % 4294967296 THEN c.after ELSE s.next END,
+           CASE WHEN s.pos = c.best % 4294967296 THEN c.best // 4294967296 ELSE s.token END
+    FROM state s JOIN chosen c ON c.word = s.word
+    WHERE s.pos <> c.gone
+  )
+)
+SELECT s.word,
+       string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids,
        count(*) AS n,
-       string_agg(v.hex, '' ORDER BY f.pos) AS bytes
-FROM final f JOIN vocabulary v ON v.token = f.token
-GROUP BY f.word ORDER BY f.word
+       string_agg(v.hex, '' ORDER BY s.pos) AS bytes
+FROM state s
+JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) l ON l.word = s.word AND l.round = s.round
+JOIN vocabulary v ON v.token = s.token
+GROUP BY s.word ORDER BY s.word
 """
 
 _loaded: dict[str, "Codec"] = {}
@@ -85,18 +82,21 @@ class Codec:
     def contract(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
         """(ids, number of ids, decoded bytes) of each of some distinct non-empty words."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)  # a word that is a token needs no merge
-        lens = np.where(whole >= 0, 1, lens)
-        word = np.repeat(np.arange(len(words)), lens)
-        pos = np.arange(len(word)) - np.repeat(np.cumsum(lens) - lens, lens)
-        token = np.concatenate([whole[i : i + 1] if whole[i] >= 0 else self.symbol[np.frombuffer(w, np.uint8)] for i, w in enumerate(words)])
-        self.db.register("seed", pa.table({"word": word, "pos": pos, "token": token}))
+        ends = np.cumsum(lens)
+        pos = np.arange(ends[-1])
+        follow = pos + 1
+        follow[ends - 1] = -1
+        token = self.symbol[np.frombuffer(b"".join(words), np.uint8)]
+        self.db.register("seed", pa.table({"word": np.repeat(np.arange(len(words)), lens), "pos": pos, "next": follow, "token": token}))
         out = self.db.execute(_ENCODE).fetchall()
         self.db.unregister("seed")
         return [(ids, n, w if (got := bytes.fromhex(data)) == w else got) for w, (_, ids, n, data) in zip(words, out)]
 
     def learn(self, fresh: list[bytes]) -> None:
-        at = 0
+        for w in fresh:
+            if (known := self.ranks.get(w)) is not None:  # a word that is a token stays whole
+                self.words[w] = (str(known), 1, w)
+        fresh, at = [w for w in fresh if w not in self.words], 0
         while at < len(fresh):
             to, size = at, 0
             while to < len(fresh) and (to == at or size + len(fresh[to]) <= QUERY_BYTES):
