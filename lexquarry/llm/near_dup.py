@@ -5,12 +5,15 @@
    the empty set.  The sketch is the K smallest hashes.
 2. Texts with equal sets are one node, named by its smallest doc_id.
 3. Inverted lists of the retained values generate candidate pairs.
-   * A list of at most LIST nodes gives all of its pairs.
-   * Pairs that share values of longer lists only must share so many of them that
-     a prefix of each node's long-list values, rarest first, meets the other's.
-     These lists are not expanded: first each node is compared with one pivot of
-     each of its lists, and what then lies in another component than most of its
-     list is compared with the whole list, block by block.
+   * A list of at most LIST nodes gives all of its pairs, with the number of lists
+     they share; what they may share in longer lists besides must make up the rest.
+   * A pair that meets in longer lists only has many of them in common.  The nodes
+     that have enough of them are few, and get inverted lists of their full sets:
+     of each set only the part that an alike set must meet (a quarter, rarest
+     values first).  Short ones of these lists give all pairs.  In a long one each
+     node is compared with one pivot first; what then lies in another component
+     than most of its list is compared with the whole list, block by block, and
+     only links that join components are kept.
 4. The union sketch of a pair (the K smallest of both) estimates its similarity.
    A pair stays if at least LOW of the union sketch is in both.  For a pair at
    the threshold 0.75 the share has a standard deviation of 0.054, so that about
@@ -38,8 +41,8 @@ from lexquarry.llm.scratch import Scratch, scratch
 
 #: Values in a sketch; share of a union sketch that a candidate must have in common.
 K, LOW = 64, 0.5
-#: Nodes of an inverted list whose pairs are all generated; nodes of a block of a longer list.
-LIST, BLOCK = 48, 512
+#: Nodes of an inverted list whose pairs are all generated; values of the sets of a block of a longer list.
+LIST, BLOCK = 48, 40_000
 #: Words of a shingle, and the similarity in hundredths that links two texts.
 WORDS, ALIKE = 5, 75
 
@@ -97,16 +100,18 @@ def sketches(df: DataFrame, k: int = K) -> DataFrame:
 
 
 def full_sets(df: DataFrame) -> DataFrame:
-    """(id, set) of (id, text); a set is packed 64-bit integers in ascending order."""
+    """(id, set) of (id, text); a set is an array in ascending order."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 with np.errstate(over="ignore"):
-                    sets = [s.tobytes() for s in shingle_sets(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+                    sets = shingle_sets(part.column(1))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
 
-    return df.mapInArrow(run, "id long, set binary")
+    return df.mapInArrow(run, "id long, set array<long>")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             a, b, keep = batch.column(2), batch.column(3), []
             for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 common = int(np.isin(x, y, assume_unique=True).sum()) if len(x) and len(y) else 0
                 keep.append(100 * common >= ALIKE * (len(x) + len(y) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -135,38 +140,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def long_lists(values: DataFrame) -> DataFrame:
-    """(value, id, h, df): for nodes with enough long-list values, those in the prefix that must meet."""
-    own = values.where(F.col("df") > LIST).groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    need = F.ceil(F.col("s") * LOW).cast("int")
-    own = own.where(F.size("v") >= need).select("id", F.size("v").alias("h"), F.explode(F.slice("v", F.lit(1), F.size("v") - need + 1)).alias("x"))
-    return own.select(F.col("x.value").alias("value"), "id", "h", F.col("x.df").alias("df"))
+def all_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) with a < b of each array `ids`, once for each array."""
+    return lists.select(F.explode(F.expr("flatten(transform(ids, a -> transform(filter(ids, b -> b > a), b -> struct(a as a, b as b))))")).alias("p")).select("p.a", "p.b")
+
+
+def likely_pairs(values: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs of short lists that may share enough of their sketches, given what they could share in long ones."""
+    short = values.where(F.col("df") <= LIST).groupBy("value").agg(F.collect_list("id").alias("ids"))
+    counted = all_pairs(short).groupBy("a", "b").agg(F.count("*").alias("c"))
+    a, b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
+    fit = f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb) AND c + least(ha, hb) >= {LOW} * least({K}, greatest(na, nb))"
+    return counted.join(a, "a").join(b, "b").where(fit).select("a", "b")
+
+
+def full_lists(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """(value, id, n, h): for the nodes in hot(id, h), the values that a set at the threshold must meet."""
+    own = sets.join(hot, "id").select("id", F.size("set").alias("n"), "h", F.explode("set").alias("value"))
+    often = own.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = own.join(often, "value").groupBy("id", "n", "h").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    meet = F.expr(f"n - CAST(ceil({ALIKE} * n / 100) AS INT) + 1 - (n - size(v))")  # values that no other node has come first
+    return ranked.where(meet > 0).select("id", "n", "h", F.explode(F.slice("v", F.lit(1), meet)).alias("x")).select(F.col("x.value").alias("value"), "id", "n", "h")
 
 
 def pivots(lists: DataFrame) -> DataFrame:
     """Pairs of each node with the node of its list that has most long-list values."""
     rank = F.shiftleft(F.col("h").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     best = lists.groupBy("value").agg(F.max_by("id", rank).alias("pivot"))
-    return lists.join(best, "value").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    return lists.join(best, "value").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
-def across(lists: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a long list that lie in different components and share enough of their sketches.
+def across(lists: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components within a long list.
 
     Only nodes outside their list's largest component are compared, each block of
     them with each block of the list; a list within one component costs a count.
+    Of a pair of blocks come links that join components, fewer than it has rows.
     """
     named = lists.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("value", "component").agg(F.count("*").alias("n"))
-    mass = sizes.groupBy("value").agg(F.max_by("component", F.shiftleft("n", 32) + F.pmod(F.xxhash64("component"), F.lit(1 << 31))).alias("most"), F.sum("n").alias("all"), F.max("n").alias("largest"), F.count("*").alias("k")).where("k > 1")
-    mixed = named.join(mass, "value").join(nodes, "id")
+    sizes = named.groupBy("value", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    mass = sizes.groupBy("value").agg(F.max_by("component", F.shiftleft("k", 32) + F.pmod(F.xxhash64("component"), F.lit(1 << 31))).alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = named.join(mass, "value").join(sets, "id")
 
-    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.expr(n) / BLOCK))
-        return rows.groupBy("value", block.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias(name))
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / BLOCK))
+        return rows.groupBy("value", block.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "set")).alias(name))
 
-    mine = blocks(mixed.where("component <> most"), "all - largest", "mine")
-    whole = blocks(mixed, "all", "whole")
+    mine, whole = blocks(mixed.where("component <> most"), "mine"), blocks(mixed, "whole")
     return mine.join(whole, "value").select("mine", "whole").mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -174,26 +194,38 @@ def _compare(batches):
     for batch in batches:
         for mine, whole in zip(batch.column(0), batch.column(1)):
             x, y = _block(mine.values), _block(whole.values)
-            common = np.intersect1d(x[3], y[3])
-            shared = _incidence(x, common) @ _incidence(y, common).T
-            least = LOW * np.minimum(K, np.maximum(x[2][:, None], y[2][None, :]))
-            fit = 100 * np.minimum(x[2][:, None], y[2][None, :]) >= ALIKE * np.maximum(x[2][:, None], y[2][None, :])
-            i, j = np.nonzero((shared >= least) & fit & (x[1][:, None] != y[1][None, :]))
-            a, b = x[0][i], y[0][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            common = np.intersect1d(x[2], y[2])
+            shared = np.zeros((len(x[0]), len(y[0])), np.float32)
+            for at in range(0, len(common), 2048):
+                part = common[at : at + 2048]
+                shared += _incidence(x, part) @ _incidence(y, part).T
+            alike = 100 * shared >= ALIKE * (x[3][:, None] + y[3][None, :] - shared)
+            i, j = np.nonzero(alike & (x[1][:, None] != y[1][None, :]))
+            links, root = [], {}
+
+            def top(c):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for a, b, p, q in zip(x[0][i].tolist(), y[0][j].tolist(), x[1][i].tolist(), y[1][j].tolist()):
+                if (p := top(p)) != (q := top(q)):
+                    root[max(p, q)] = min(p, q)
+                    links.append((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], names=["a", "b"])
 
 
 def _block(rows: pa.StructArray):
+    """Ids, components, all values, and set sizes of the rows of a block."""
     cols = dict(zip([f.name for f in rows.type], rows.flatten()))
-    return [cols[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "n")] + [cols["sketch"].flatten().to_numpy(), np.diff(cols["sketch"].offsets.to_numpy())]
+    return [cols[c].to_numpy(zero_copy_only=False) for c in ("id", "component")] + [cols["set"].flatten().to_numpy(), np.diff(cols["set"].offsets.to_numpy())]
 
 
 def _incidence(block, common: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(block[0]), max(1, len(common))), np.float32)
-    if len(common):
-        row, at = np.repeat(np.arange(len(block[0])), block[4]), np.minimum(np.searchsorted(common, block[3]), len(common) - 1)
-        hit = common[at] == block[3]
-        out[row[hit], at[hit]] = 1
+    out = np.zeros((len(block[0]), len(common)), np.float32)
+    row, at = np.repeat(np.arange(len(block[0])), block[3]), np.minimum(np.searchsorted(common, block[2]), len(common) - 1)
+    hit = common[at] == block[2]
+    out[row[hit], at[hit]] = 1
     return out
 
 
@@ -205,26 +237,32 @@ def find(spark: SparkSession, df: DataFrame) -> DataFrame:
     classes = files.keep(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("row").alias("row")), "classes")
     nodes = files.keep(rows.select("row", "n", "sketch").join(classes.where("id IS NOT NULL").select("row", "id"), "row").select("id", "n", "sketch"), "nodes")
 
-    listed = nodes.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    listed = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
     often = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     values = files.keep(listed.join(often, "value"), "values")
-    short = values.where(F.col("df") <= LIST).groupBy("value").agg(F.collect_list("id").alias("ids"))
-    pairs = short.select(F.explode(F.expr("flatten(transform(ids, a -> transform(filter(ids, b -> b > a), b -> struct(a as a, b as b))))")).alias("p")).select("p.a", "p.b").distinct()
-    lists = files.keep(long_lists(values), "long-lists")
-    likely = files.keep(estimated(pairs.unionByName(pivots(lists)).distinct(), nodes), "likely")
+    info = files.keep(values.groupBy("id", "n").agg(F.count_if(F.col("df") > LIST).alias("h")), "info")
+    hot = info.where(F.col("h") >= F.expr(f"{LOW} * least({K}, n)")).select("id", "h")
+    likely = files.keep(estimated(likely_pairs(values, info), nodes), "likely")
+
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
+    sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")), "sets")
+    lists = files.keep(full_lists(sets, hot), "full-lists")
+    sizes = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    short = lists.join(sizes.where(F.col("df") <= LIST), "value").groupBy("value").agg(F.collect_list("id").alias("ids"))
+    long = files.keep(lists.join(sizes.where(F.col("df") > LIST).select("value"), "value"), "long-lists")
+    more = files.keep(estimated(all_pairs(short).unionByName(pivots(long)).distinct(), nodes), "likely")
+    likely = likely.unionByName(more)
 
     ends = likely.select(F.col("a").alias("id"), F.col("b").alias("other"), "share").unionByName(likely.select(F.col("b").alias("id"), F.col("a").alias("other"), "share"))
     rank = F.floor(F.col("share") * 1024).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("other"), F.lit(1 << 40))
-    best = ends.groupBy("id").agg(F.max_by("other", rank).alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    wanted = ends.select("id").distinct().unionByName(lists.select("id").distinct()).distinct()
-    sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")), "sets")
+    best = ends.groupBy("id").agg(F.max_by("other", rank).alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    best = best.unionByName(pivots(long).join(more, ["a", "b"], "left_semi")).distinct()
     first = files.keep(confirmed(best, sets), "links")
     parts = files.keep(components(files, first), "parts")
 
     a, b = parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = likely.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    left = apart.unionByName(estimated(across(lists, parts, nodes), nodes).select("a", "b")).distinct()
-    links = first.unionByName(files.keep(confirmed(left, sets), "links"))
+    apart = likely.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
+    links = first.unionByName(confirmed(apart, sets)).unionByName(across(long, parts, sets))
     found = files.keep(components(files, links), "components")
 
     named = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
