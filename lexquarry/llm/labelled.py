@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of text, that a classifier is fitted on at most.
-ROWS, BYTES = 6000, 24 << 20
+ROWS, BYTES = 2200, 8 << 20
 
 
 def fold(doc_id: str, folds: int) -> Column:

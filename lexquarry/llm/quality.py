@@ -89,12 +89,12 @@ class Model:
         y = np.array([label for _, label in rows], float)
         if not rows or y.min() == y.max():
             return cls(np.zeros(BUCKETS), -30.0 if rows and not y.any() else 30.0)
-        grams = Grams(pa.array([t for t, _ in rows]))
-        ends = np.cumsum(grams.sizes)
         sparse = []
-        for b, n in zip(ends, grams.sizes):
-            at, count = np.unique(grams.buckets[:, b - n : b], return_counts=True)
-            sparse.append((np.append(at, BUCKETS), np.append(count * (SCALE / max(1, n)), 1.0)))
+        for a in range(0, len(rows), 200):
+            grams = Grams(pa.array([t for t, _ in rows[a : a + 200]]))
+            for b, n in zip(np.cumsum(grams.sizes), grams.sizes):
+                at, count = np.unique(grams.buckets[:, b - n : b], return_counts=True)
+                sparse.append((np.append(at, BUCKETS).astype(np.int32), np.append(count * (SCALE / max(1, n)), 1.0).astype(np.float32)))
         z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from lexquarry.llm.arrow import append, chunks, gather, keep
 
 #: Hashed features; words of a block of a chain.
 BUCKETS, BLOCK = 1 << 18, 32
+#: Hashed words and beginnings of words that are looked at for cues.
+CUE_BUCKETS = 1 << 22
 #: A cue is in so many toxic documents at least, and so many times likelier in them than in clean ones.
 CUE_DOCS, CUE_ODDS = 6, 20.0
 #: Steps of the fit, its rate, and the weight of the squared weights.
@@ -43,8 +45,9 @@ STEPS, RATE, DECAY = 40, 0.25, 1e-2
 _WORD = re.compile(r"\w+")
 
 
-def beginnings(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+def cue_buckets(word: str) -> list[int]:
+    """Hashes of a word and its beginnings, of what may be a cue; the same number for every word."""
+    return [zlib.crc32(p.encode()) % CUE_BUCKETS for p in (word, f"{word[:4]}-", f"{word[:5]}-", f"{word[:6]}-")]
 
 
 def features(word: str) -> list[int]:
@@ -56,18 +59,24 @@ def features(word: str) -> list[int]:
 class Words:
     """The words of some texts: distinct ones, and each text's sequence of their numbers."""
 
-    def __init__(self, column: pa.Array):
-        c = chunks(column)
-        parts = [_WORD.findall(w.decode().lower()) for w in c.words]
+    def __init__(self, *columns: pa.Array):
         number: dict[str, int] = {}
-        flat = np.array([number.setdefault(w, len(number)) for p in parts for w in p], np.int64)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.distinct = list(number)
-        self.ids = flat[gather(np.cumsum(count) - count, count, c.codes)] if len(flat) else flat
-        self.sizes = c.per_text(count)
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for column in columns:
+            c = chunks(column)
+            parts = [_WORD.findall(w.decode().lower()) for w in c.words]
+            flat = np.array([number.setdefault(w, len(number)) for p in parts for w in p], np.int64)
+            count = np.fromiter(map(len, parts), np.int64, len(parts))
+            ids.append(flat[gather(np.cumsum(count) - count, count, c.codes)] if len(flat) else flat)
+            sizes.append(c.per_text(count))
+        self.distinct, self.ids, self.sizes = list(number), np.concatenate(ids), np.concatenate(sizes)
+
+    def table(self, make: Callable[[str], list[int]], width: int) -> np.ndarray:
+        """The numbers that make() gives for each distinct word."""
+        return np.fromiter((x for w in self.distinct for x in make(w)), np.int32, width * len(self.distinct)).reshape(-1, width)
 
     def buckets(self) -> np.ndarray:
-        return np.array([features(w) for w in self.distinct], np.int64).reshape(-1, 5)
+        return self.table(features, 5)
 
 
 class Chains:
@@ -122,27 +131,27 @@ class Chains:
         return tuple(flat)
 
 
-def originals(texts: list[set[str]]) -> list[bool]:
-    """Whether each set of words is no copy: less than half of its longer words have their first place in one set before it."""
-    owner: dict[str, int] = {}
+def originals(texts: list[np.ndarray], long: np.ndarray) -> list[bool]:
+    """Whether each text (its distinct word numbers) is no copy: less than half of its long words came first in one text before it."""
+    owner = np.full(len(long), -1, np.int32)
     out = []
     for i, held in enumerate(texts):
-        long = [w for w in held if len(w) > 6]
-        shared = Counter(owner[w] for w in long if w in owner)
-        out.append(2 * max(shared.values(), default=0) < len(long) or not long)
-        for w in long:
-            owner.setdefault(w, i)
+        held = held[long[held]]
+        seen = owner[held]
+        shared = np.bincount(seen[seen >= 0]).max(initial=0) if len(held) else 0
+        out.append(2 * shared < len(held) or not len(held))
+        owner[held[seen < 0]] = i
     return out
 
 
-def cues(texts: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Words and beginnings that mark toxic documents; each text is the set of what it holds.  Copies of a text count once."""
-    bad, good, n, m = Counter(), Counter(), 0, 0
-    for held, y, new in zip(texts, toxic, originals(texts)):
+def cues(texts: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which of the buckets mark toxic documents.  Copies of a text count once."""
+    df, total = np.zeros((2, CUE_BUCKETS), np.int32), [0, 0]
+    for held, y, new in zip(texts, toxic.tolist(), originals(texts, long)):
         if new:
-            (bad if y else good).update(held)
-            n, m = n + int(y), m + 1 - int(y)
-    return {w for w, k in bad.items() if k >= CUE_DOCS and (k + 0.5) / (n + 1) >= CUE_ODDS * (good[w] + 0.5) / (m + 1)}
+            df[y, np.unique(buckets[held])] += 1
+            total[y] += 1
+    return (df[1] >= CUE_DOCS) & ((df[1] + 0.5) / (total[1] + 1) >= CUE_ODDS * (df[0] + 0.5) / (total[0] + 1))
 
 
 class Model:
@@ -155,11 +164,11 @@ class Model:
         toxic = np.array([y for _, y in rows], np.int64)
         if not rows or not toxic.any() or toxic.all():
             return cls(weights, -6.0, trans, None)
-        words = Words(pa.array([t for t, _ in rows]))
+        words = Words(*(pa.array([t for t, _ in rows[a : a + 500]]) for a in range(0, len(rows), 500)))
         ends = np.cumsum(words.sizes)
-        parts = [beginnings(w) for w in words.distinct]
-        marks = cues([{p for i in np.unique(words.ids[b - n : b]) for p in parts[i]} for b, n in zip(ends, words.sizes)], toxic)
-        hot = np.array([any(p in marks for p in ps) for ps in parts], bool)
+        marks = words.table(cue_buckets, 4)
+        long = np.array([len(w) > 6 for w in words.distinct])
+        hot = cues([np.unique(words.ids[b - n : b]) for b, n in zip(ends, words.sizes)], toxic, marks, long)[marks].any(1)
         y = (hot[words.ids] & (np.repeat(toxic, words.sizes) == 1)).astype(float)
         buckets, chains = words.buckets(), Chains(words.sizes)
         first = np.zeros(len(y), bool)
