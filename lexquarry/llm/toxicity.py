@@ -132,14 +132,14 @@ class Chains:
 
 
 def originals(texts: list[np.ndarray], long: np.ndarray) -> list[bool]:
-    """Whether each text (its distinct word numbers) is no copy: less than half of its long words came first in one text before it."""
+    """Whether each text (its distinct word numbers) is no copy: less than a fifth of its long words came first in one text before it."""
     owner = np.full(len(long), -1, np.int32)
     out = []
     for i, held in enumerate(texts):
         held = held[long[held]]
         seen = owner[held]
         shared = np.bincount(seen[seen >= 0]).max(initial=0) if len(held) else 0
-        out.append(2 * shared < len(held) or not len(held))
+        out.append(5 * shared < len(held) or not len(held))
         owner[held[seen < 0]] = i
     return out
 
