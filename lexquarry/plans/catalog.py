@@ -1,15 +1,18 @@
-"""The registered queries over the star-schema and document tables."""
+"""The registered queries over the star-schema, event, document and vector tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
+from lexquarry.plans import base, evaluation, retrieval, selection
+
+FLAGSHIP = "retrieval_f1"
+MODULES = (retrieval, selection, evaluation)
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
