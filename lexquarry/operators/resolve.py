@@ -66,7 +66,7 @@ def concat_parts(rows: DataFrame, key: str, text: str, pos: str, cap: int = 1500
     Of each key only the parts that can reach into the cap are gathered.
     """
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).where(F.col("_before") <= cap)
+    reach = rows.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).where(F.col("_before") <= cap + 1)
     joined = reach.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), " ").alias(text))
     return joined.withColumn(text, fn.truncate(F.col(text), cap))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexquarry.plans import base, evaluation, retrieval, selection
+from lexquarry.plans import base, evaluation, extra, retrieval, selection
 
 FLAGSHIP = "retrieval_f1"
-MODULES = (retrieval, selection, evaluation)
+MODULES = (retrieval, selection, evaluation, extra)
 
 
 def queries() -> dict[str, Callable]:

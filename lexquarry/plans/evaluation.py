@@ -196,10 +196,10 @@ def features_meta(spark, sf_dir):
     return rows.select("query_id", "citation", "is_law", "inv_dense", "inv_bm25", "n_sources", "src_dense", "src_bm25")
 
 
-@register(f"{_C} SELECT query_id, citation, count(*) OVER w AS pool, round(round((row_number() OVER (PARTITION BY query_id ORDER BY raw_score, citation) - 1) / greatest(count(*) OVER w - 1, 1), 6), 4) AS score_pct, round(round(raw_score / max(raw_score) OVER w, 6), 4) AS to_best, count(*) FILTER (kind = 'law') OVER w AS laws_in_pool FROM candidates WINDOW w AS (PARTITION BY query_id)")
+@register(f"{_C} SELECT query_id, citation, count(*) OVER w AS pool, round((row_number() OVER (PARTITION BY query_id ORDER BY raw_score, citation) - 1) / greatest(count(*) OVER w - 1, 1), 6) AS score_pct, round(raw_score / max(raw_score) OVER w, 6) AS to_best, count(*) FILTER (kind = 'law') OVER w AS laws_in_pool FROM candidates WINDOW w AS (PARTITION BY query_id)")
 def relative_features(spark, sf_dir):
     rows = learn.relative_features(base.candidates(spark, sf_dir))
-    return rows.select("query_id", "citation", "pool", F.round("score_pct", 4).alias("score_pct"), F.round("to_best", 4).alias("to_best"), "laws_in_pool")
+    return rows.select("query_id", "citation", "pool", "score_pct", "to_best", "laws_in_pool")
 
 
 @register(f"{_C} SELECT query_id, citation, (g.x IS NOT NULL)::INT AS label FROM candidates LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING (query_id, citation)")
