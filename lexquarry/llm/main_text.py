@@ -10,7 +10,7 @@ feed in page order.
 
 The weights are log odds of lying inside an article, from labelled pages: those
 that mark one, of which SAMPLE at most, the least by a hash of their id, are
-read.  Without any, a word counts 1 and a tag -1.
+read.  Without any, a word counts 5 and a tag -1, or -0.5 inside a marked article.
 
 A null or empty page, and one without words, has the empty text.  Markup that is
 cut off or not closed ends with the page.  Repeated rows give repeated results;
@@ -123,7 +123,7 @@ class Weights(dict):
     """Weight of each kind of token.  Words that may be of the article stay positive, all else negative."""
 
     def __missing__(self, kind: str) -> float:
-        return 1.0 if kind == "word" else -0.5 if kind[0] == "+" else -1.0
+        return 5.0 if kind == "word" else -0.5 if kind[0] == "+" else -1.0
 
     @classmethod
     def learn(cls, counts: list[tuple[str, int, int]]) -> "Weights":
