@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexquarry.llm.scratch import Scratch
 
 
-def components(files: Scratch, links: DataFrame) -> DataFrame:
+def components(files: Scratch, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component) for every id in links(a, b); component is the smallest id reachable.
 
     Each round moves edges towards the smallest neighbour and writes the edge
-    table, so that plans stay short and nothing is gathered on the driver.
+    table, so that plans stay short and nothing is gathered on the driver.  With
+    `rounds`, it stops after so many: ids of one component are then connected,
+    but not all connected ids need have met.
     Links of an id with itself, null ends and repeated links add nothing; an
     empty table has no components.
     """
-    edges = files.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(edges)
-    while True:
+    edges, state = _kept(files, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while state[0] and rounds != 0:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = files.keep(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(after)
+        after, now = _kept(files, moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         files.drop(edges)
         edges = after
         if now == state:
             break
-        state = now
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+        state, rounds = now, None if rounds is None else rounds - 1
+    least = edges.groupBy("u").agg(F.min("v").alias("v"))  # one edge for each id, if rounds came to their end
+    roots = least.select(F.col("v").alias("id")).distinct().join(least.select(F.col("u").alias("id")), "id", "left_anti")
+    return least.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _kept(files: Scratch, edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, and what tells them from others: their number and two sums of hashes."""
+    seen = Observation()
+    out = files.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("x"), F.sum(F.xxhash64("v", "u") % 1000033).alias("y")), "edges")
+    return out, tuple(seen.get[k] for k in ("n", "x", "y"))

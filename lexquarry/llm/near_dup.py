@@ -43,6 +43,8 @@ from lexquarry.llm.scratch import Scratch, scratch
 K, LOW = 64, 0.5
 #: Nodes of an inverted list whose pairs are all generated; values of the sets of a block of a longer list.
 LIST, BLOCK = 48, 40_000
+#: Bits of the map of wanted ids.
+BITS = 1 << 25
 #: Words of a shingle, and the similarity in hundredths that links two texts.
 WORDS, ALIKE = 5, 75
 
@@ -99,19 +101,36 @@ def sketches(df: DataFrame, k: int = K) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
-def full_sets(df: DataFrame) -> DataFrame:
-    """(id, set) of (id, text); a set is an array in ascending order."""
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id, BITS in all, however many ids there are."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def full_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of (id, text), a set being an array in ascending order, for the wanted ids and a few others.
+
+    A bitmap of fixed size tells the ids apart, so that no text is shuffled to
+    find the wanted ones; the more ids, the more others pass, which costs time only.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap(wanted)))
 
     def run(batches):
+        mask = np.unpackbits(bits.value).view(bool)
         for batch in batches:
-            for part in slices(batch, 1):
+            batch = batch.filter(pa.array(mask[batch.column(2).to_numpy()]))
+            for part in slices(batch, 1, 3 << 20):
                 with np.errstate(over="ignore"):
                     sets = shingle_sets(part.column(1))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
 
-    return df.mapInArrow(run, "id long, set array<long>")
+    hashed = df.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit"))
+    return hashed.mapInArrow(run, "id long, set array<long>")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,7 +264,7 @@ def find(spark: SparkSession, df: DataFrame) -> DataFrame:
     likely = files.keep(estimated(likely_pairs(values, info), nodes), "likely")
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
-    sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")), "sets")
+    sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text"), wanted), "sets")
     lists = files.keep(full_lists(sets, hot), "full-lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     short = lists.join(sizes.where(F.col("df") <= LIST), "value").groupBy("value").agg(F.collect_list("id").alias("ids"))
@@ -258,7 +277,7 @@ def find(spark: SparkSession, df: DataFrame) -> DataFrame:
     best = ends.groupBy("id").agg(F.max_by("other", rank).alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     best = best.unionByName(pivots(long).join(more, ["a", "b"], "left_semi")).distinct()
     first = files.keep(confirmed(best, sets), "links")
-    parts = files.keep(components(files, first), "parts")
+    parts = files.keep(components(files, first, rounds=2), "parts")
 
     a, b = parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = likely.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
