@@ -21,7 +21,7 @@ HITS = [
     "event_id % 97 = 0 AS is_explicit",
 ]
 CITED = [
-    "l_orderkey", "l_linenumber", "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos", "l_orderkey % 40 AS query_id",
+    "l_orderkey", "l_linenumber", "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos", "l_orderkey % 40 AS query_id", "l_quantity", "l_tax",
     "CASE WHEN l_partkey % 3 = 0 THEN concat('BGE ', 100 + l_suppkey % 50, ' II ', l_orderkey % 400, ' E. ', l_linenumber) ELSE concat('Art. ', l_partkey % 300 + 1, ' Abs. ', l_linenumber, ' ', CASE l_partkey % 5 WHEN 0 THEN 'OR' WHEN 1 THEN 'ZGB' WHEN 2 THEN 'StGB' WHEN 3 THEN 'StPO' ELSE 'BGG' END) END AS citation",
 ]
 
@@ -39,7 +39,7 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).where("event_id % 5 = 0").select("query_id", "citation").distinct()
+    return hits(spark, sf_dir).where("score >= 0.8").select("query_id", "citation").distinct()
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,10 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(variant, query_id, citation) of five variants."""
+    """(variant, query_id, citation) of five variants, each fed by some of the sources."""
     rows = hits(spark, sf_dir).where("score >= 0.55")
-    return rows.select(F.explode(F.expr("filter(sequence(0, 4), r -> event_id % (r + 2) = 0)")).alias("variant"), "query_id", "citation").distinct()
+    fed = F.expr("CASE source WHEN 'dense' THEN array(0, 3) WHEN 'bm25' THEN array(0, 1, 4) WHEN 'gpt_full' THEN array(1, 2) WHEN 'gpt_specific' THEN array(2, 3) WHEN 'gpt_case' THEN array(0, 3, 4) WHEN 'court_dense' THEN array(1, 4) ELSE array(2) END")
+    return rows.select(F.explode(fed).alias("variant"), "query_id", "citation").distinct()
 
 
 def run(spark: SparkSession, sf_dir: str, variant: int) -> DataFrame:
@@ -77,9 +78,9 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WITH_HITS = f"WITH hits AS (SELECT {', '.join(HITS)} FROM events)"
 WITH_CITED = f"WITH cited AS (SELECT {', '.join(CITED)} FROM lineitem)"
-GOLD = "gold AS (SELECT DISTINCT query_id, citation FROM hits WHERE event_id % 5 = 0)"
+GOLD = "gold AS (SELECT DISTINCT query_id, citation FROM hits WHERE score >= 0.8)"
 IDS = "queries AS (SELECT range AS query_id FROM range(42))"
-RUNS = "runs AS (SELECT DISTINCT r AS variant, query_id, citation FROM hits, (SELECT range AS r FROM range(5)) WHERE event_id % (r + 2) = 0 AND score >= 0.55)"
+RUNS = """runs AS (SELECT DISTINCT unnest(CASE source WHEN 'dense' THEN [0, 3] WHEN 'bm25' THEN [0, 1, 4] WHEN 'gpt_full' THEN [1, 2] WHEN 'gpt_specific' THEN [2, 3] WHEN 'gpt_case' THEN [0, 3, 4] WHEN 'court_dense' THEN [1, 4] ELSE [2] END) AS variant, query_id, citation FROM hits WHERE score >= 0.55)"""
 FUSED = "fused AS (SELECT query_id, citation, max(score) AS raw_score, list_sort(list(DISTINCT source)) AS sources, max(freq) AS freq, min(dense_rank) AS dense_rank, min(bm25_rank) AS bm25_rank, bool_or(is_explicit) AS is_explicit FROM hits GROUP BY ALL)"
 CANDIDATES = FUSED + """, boosted AS (SELECT *, CASE WHEN citation LIKE 'Art.%' THEN 'law' ELSE 'court' END AS kind, query_id % 30 + 3 AS estimate,
   round(CASE WHEN len(sources) >= 3 THEN least(least(raw_score * 1.25, 0.96) * 1.35, 0.98) WHEN len(sources) >= 2 THEN least(raw_score * 1.25, 0.96) ELSE raw_score END, 6) AS final_score FROM fused),

@@ -101,7 +101,7 @@ per AS (SELECT variant, query_id, CASE WHEN coalesce(n_pred, 0) + coalesce(n_gol
 def robust_objective(spark, sf_dir):
     rows = None
     for v in range(5):
-        part = metrics.per_query(base.run(spark, sf_dir, v), base.gold(spark, sf_dir), base.queries(spark, sf_dir)).select(F.lit(v).cast("long").alias("variant"), "f1")
+        part = metrics.per_query(base.run(spark, sf_dir, v), base.gold(spark, sf_dir), base.queries(spark, sf_dir)).select(F.lit(v).alias("variant"), "f1")
         rows = part if rows is None else rows.unionByName(part)
     return ensemble.robust_objective(rows, "variant").select("variant", F.round("objective", 4).alias("objective"))
 
@@ -284,3 +284,14 @@ def domain_strata(spark, sf_dir):
     return _per(spark, sf_dir).where(n > 0).select("query_id", F.when(n <= 3, "few").when(n <= 10, "some").otherwise("many").alias("stratum"), "f1")
 
 
+
+
+@register(f"""{_R}, {_PER}, s AS (SELECT query_id, count(*) AS n FROM {_run(1)} GROUP BY ALL), j AS (SELECT query_id, count(*) FILTER (l.x = 1 AND r.x = 1) / count(*) AS jac FROM (SELECT *, 1 AS x FROM {_run(1)}) l FULL JOIN (SELECT *, 1 AS x FROM {_run(3)}) r USING (query_id, citation) GROUP BY ALL)
+SELECT round(avg(f1), 4) AS f1, round(avg(coalesce(n, 0)), 4) AS avg_n, round(avg(coalesce(jac, 1)), 4) AS jaccard FROM per LEFT JOIN s USING (query_id) LEFT JOIN j USING (query_id)""")
+def scorecard(spark, sf_dir):
+    """One row of quality, shape and likeness to an anchor."""
+    queries = base.queries(spark, sf_dir)
+    quality = metrics.macro(_per(spark, sf_dir)).select("f1")
+    size = metrics.shape(base.run(spark, sf_dir, 1), queries).select("avg_n")
+    like = metrics.jaccard(base.run(spark, sf_dir, 1), base.run(spark, sf_dir, 3), queries).agg(F.round(F.avg("jaccard"), 4).alias("jaccard"))
+    return quality.crossJoin(size).crossJoin(like)  # three single rows

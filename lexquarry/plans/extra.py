@@ -42,7 +42,7 @@ def pass_agreement(spark, sf_dir):
 @register(f"""{_R}, t AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range(1, 5) i, range(1, 5) j, range(1, 5) k WHERE i.range < j.range AND j.range < k.range), v AS (SELECT i, j, k, query_id, citation FROM runs JOIN t ON variant IN (i, j, k) GROUP BY ALL HAVING count(*) >= 2),
 n AS (SELECT i, j, k, row_number() OVER (PARTITION BY i, j, k, query_id ORDER BY citation) AS n FROM v ANTI JOIN (SELECT query_id, citation FROM runs WHERE variant = 0) a USING (query_id, citation)) SELECT i, j, k, max_add, count(*) AS added FROM n JOIN (SELECT unnest([1, 3]) AS max_add) ON n <= max_add GROUP BY ALL""")
 def perturb_triples(spark, sf_dir):
-    rows = base.runs(spark, sf_dir).withColumn("variant", F.col("variant").cast("int"))
+    rows = base.runs(spark, sf_dir)
     return extra.triple_additions(rows.where("variant > 0"), base.run(spark, sf_dir, 0), [1, 2, 3, 4], [1, 3])
 
 
@@ -57,9 +57,9 @@ def confident_injection(spark, sf_dir):
     return extra.inject_confident(base.run(spark, sf_dir, 2), offered, 0.97)
 
 
-@register(f"""{_R}, k AS (SELECT DISTINCT citation, 1 AS k FROM hits WHERE event_id % 4 < 2), g AS (SELECT *, 1 AS g FROM gold) SELECT variant, count(*) AS n, round(count(k) / count(*), 4) AS hit_rate, round(count(g) / count(*), 4) AS precision FROM runs LEFT JOIN k USING (citation) LEFT JOIN g USING (query_id, citation) GROUP BY ALL""".replace("count(g) /", "count(g.g) /").replace("count(k) /", "count(k.k) /"))
+@register(f"""{_R}, k AS (SELECT DISTINCT citation, 1 AS k FROM hits WHERE score < 0.5), g AS (SELECT *, 1 AS g FROM gold) SELECT variant, count(*) AS n, round(count(k) / count(*), 4) AS hit_rate, round(count(g) / count(*), 4) AS precision FROM runs LEFT JOIN k USING (citation) LEFT JOIN g USING (query_id, citation) GROUP BY ALL""".replace("count(g) /", "count(g.g) /").replace("count(k) /", "count(k.k) /"))
 def model_rollup(spark, sf_dir):
-    known = base.hits(spark, sf_dir).where("event_id % 4 < 2")
+    known = base.hits(spark, sf_dir).where("score < 0.5")
     return extra.model_rollup(base.runs(spark, sf_dir), base.gold(spark, sf_dir), known, "variant")
 
 

@@ -88,25 +88,25 @@ def neighbour_votes(spark, sf_dir):
     return _neighbours(spark, sf_dir, 100)
 
 
-@register(WITH_CITED + _PASSAGES + _RETRIEVED + _VOTES + """, gold AS (SELECT DISTINCT query_id, citation FROM cited WHERE pos % 11 = 0), ks AS (SELECT unnest([1, 2, 3, 5]) AS min_votes)
+@register(WITH_CITED + _PASSAGES + _RETRIEVED + _VOTES + """, gold AS (SELECT DISTINCT query_id, citation FROM cited WHERE l_tax >= 0.07), ks AS (SELECT unnest([1, 2, 3, 5]) AS min_votes)
 SELECT min_votes, (SELECT count(*) FROM votes v SEMI JOIN gold g ON v.query_id = g.query_id AND v.citation = g.citation WHERE votes >= min_votes) AS hits, (SELECT count(*) FROM votes WHERE votes >= min_votes) AS candidates FROM ks""")
 def vote_threshold_recall(spark, sf_dir):
     votes = _neighbours(spark, sf_dir, 1 << 30).drop("rank")
-    gold = cited(spark, sf_dir).where("pos % 11 = 0").select("query_id", "citation", F.lit(1).alias("g")).distinct()
+    gold = cited(spark, sf_dir).where("l_tax >= 0.07").select("query_id", "citation", F.lit(1).alias("g")).distinct()
     ks = spark.createDataFrame([(k,) for k in (1, 2, 3, 5)], "min_votes int")
     rows = votes.join(gold, ["query_id", "citation"], "left").groupBy("votes").agg(F.count("g").alias("g"), F.count("*").alias("n"))
     rows = ks.join(rows, F.col("votes") >= F.col("min_votes"), "left").groupBy("min_votes").agg(F.sum("g").alias("hits"), F.sum("n").alias("candidates"))
     return rows.fillna(0, ["hits", "candidates"])
 
 
-_DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id < 20),
+_DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS key, round(list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS score FROM embeddings, q),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 50)"""
 
 
 def _dense(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    return retrieval.dense_top_k(vectors.where("key < 20").withColumnRenamed("key", "query_id"), vectors, 50)
+    return retrieval.dense_top_k(vectors.where("key % 50 = 0").withColumnRenamed("key", "query_id"), vectors, 50)
 
 
 @register(_DENSE + " SELECT query_id, key, round(score, 4) AS score, rank FROM t")
@@ -159,12 +159,12 @@ def court_siblings(spark, sf_dir):
     return fusion.siblings(cited(spark, sf_dir).where("citation LIKE 'BGE%'"), 8).select("base", "citation", "n")
 
 
-_WANTED = ", wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_orderkey % 7 = 0), known AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_orderkey % 7 > 3)"
+_WANTED = ", wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_quantity >= 40), known AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_quantity < 25)"
 
 
 def _wanted(spark, sf_dir):
     laws = cited(spark, sf_dir).where("citation LIKE 'Art.%'")
-    return laws.where("l_orderkey % 7 = 0").select("citation").distinct(), laws.where("l_orderkey % 7 > 3").select("citation").distinct()
+    return laws.where("l_quantity >= 40").select("citation").distinct(), laws.where("l_quantity < 25").select("citation").distinct()
 
 
 @register(WITH_CITED + _WANTED + """, k AS (SELECT citation AS match, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM known), m AS (SELECT citation, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM wanted ANTI JOIN known USING (citation))
@@ -178,13 +178,13 @@ def fuzzy_ratio(spark, sf_dir):
     return resolve.resolve_laws(*_wanted(spark, sf_dir))
 
 
-@register(WITH_CITED + r""", known AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'BGE%' AND l_orderkey % 7 > 0), wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'BGE%' AND l_orderkey % 5 = 0),
+@register(WITH_CITED + r""", known AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'BGE%' AND l_quantity < 45), wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'BGE%' AND l_quantity >= 40),
 b AS (SELECT trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base, citation AS match, row_number() OVER (PARTITION BY base ORDER BY citation) AS n FROM known QUALIFY n <= 8)
 SELECT citation, citation AS match FROM wanted SEMI JOIN known USING (citation) UNION ALL
 SELECT w.citation, b.match FROM (SELECT citation, trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base FROM wanted ANTI JOIN known USING (citation)) w JOIN b USING (base)""")
 def court_resolution(spark, sf_dir):
     courts = cited(spark, sf_dir).where("citation LIKE 'BGE%'")
-    return resolve.resolve_courts(courts.where("l_orderkey % 5 = 0"), courts.where("l_orderkey % 7 > 0").select("citation").distinct())
+    return resolve.resolve_courts(courts.where("l_quantity >= 40"), courts.where("l_quantity < 45").select("citation").distinct())
 
 
 _TERMS = [("the", "der"), ("of the", "von der"), ("and", "und"), ("with", "mit"), ("that", "dass"), ("for", "für")]

@@ -29,7 +29,7 @@ def run_frequency_score(spark, sf_dir):
 
 
 @register(rf"""{_C}, known AS (SELECT DISTINCT citation FROM hits WHERE kind = 'court'), scored AS (SELECT query_id, citation, final_score AS score FROM candidates WHERE baseline_rank <= 200),
-mentions AS (SELECT query_id, citation, min(event_id) AS pos FROM hits WHERE kind = 'court' AND event_id % 13 = 0 GROUP BY ALL),
+mentions AS (SELECT query_id, citation, min(event_id) AS pos FROM hits WHERE kind = 'court' GROUP BY ALL),
 parents AS (SELECT query_id, trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base, citation FROM mentions QUALIFY row_number() OVER (PARTITION BY query_id, base ORDER BY pos, citation) = 1),
 sib AS (SELECT trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base, citation FROM known QUALIFY row_number() OVER (PARTITION BY base ORDER BY citation) <= 15)
 SELECT p.query_id, s.citation, round(coalesce(c.score, 0.5) * 0.3, 4) AS score FROM parents p JOIN sib s USING (base) LEFT JOIN scored c ON c.query_id = p.query_id AND c.citation = p.citation
@@ -37,7 +37,7 @@ WHERE NOT EXISTS (FROM scored x WHERE x.query_id = p.query_id AND x.citation = s
 def cocitation_expand(spark, sf_dir):
     rows = base.hits(spark, sf_dir)
     scored = base.candidates(spark, sf_dir).where("baseline_rank <= 200").select("query_id", "citation", F.col("final_score").alias("score"))
-    mentions = rows.where("kind = 'court' AND event_id % 13 = 0").groupBy("query_id", "citation").agg(F.min("event_id").alias("pos"))
+    mentions = rows.where("kind = 'court'").groupBy("query_id", "citation").agg(F.min("event_id").alias("pos"))
     found = fusion.cocited(scored, mentions, rows.where("kind = 'court'").select("citation"))
     return found.withColumn("score", F.round("score", 4))
 
@@ -54,10 +54,10 @@ def statute_boost(spark, sf_dir):
     return base.candidates(spark, sf_dir).select("query_id", "citation", F.round(fusion.statute_boost(F.col("raw_score"), F.col("citation"), statutes), 4).alias("score"))
 
 
-@register(f"""{_C}, known AS (SELECT DISTINCT citation FROM hits WHERE event_id % 4 < 2) SELECT query_id, citation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS baseline_rank FROM candidates c
+@register(f"""{_C}, known AS (SELECT DISTINCT citation FROM hits WHERE score < 0.5) SELECT query_id, citation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS baseline_rank FROM candidates c
 WHERE is_explicit OR citation IN (FROM known)""".replace("SELECT query_id, citation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS baseline_rank FROM", "SELECT query_id, citation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS place FROM"))
 def verified_rank(spark, sf_dir):
-    known = base.hits(spark, sf_dir).where("event_id % 4 < 2").select("citation")
+    known = base.hits(spark, sf_dir).where("score < 0.5").select("citation")
     rows = base.candidates(spark, sf_dir).drop("baseline_rank")
     return fusion.verified(rows, known).select("query_id", "citation", "score", F.col("baseline_rank").alias("place"))
 
@@ -69,6 +69,15 @@ def evidence_strings(spark, sf_dir):
     return base.candidates(spark, sf_dir).select("query_id", "citation", F.array_join(notes, ";").alias("evidence"))
 
 
+#: Scores with gaps of all sizes.
+_M = "1.0D / (1 + (coalesce(dense_rank, 0) * 7 + coalesce(bm25_rank, 0) * 3 + freq) % 97)"
+_SPREAD = f"spread AS (SELECT * REPLACE (round({_M.replace('1.0D', '1.0::DOUBLE')}, 6) AS score) FROM candidates)"
+
+
+def _spread(spark, sf_dir):
+    return base.candidates(spark, sf_dir).drop("baseline_rank").withColumn("score", F.round(F.expr(_M), 6))
+
+
 _K = "SELECT query_id, citation, baseline_rank AS rank FROM x WHERE baseline_rank <= "
 
 
@@ -78,21 +87,21 @@ def cutoff_threshold_walk(spark, sf_dir):
     return fusion.threshold_walk(rows, 0.98, 15, 60).select("query_id", "citation", "rank")
 
 
-@register(f"""{_C}, thin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS rank FROM (SELECT * REPLACE (raw_score AS score) FROM candidates WHERE baseline_rank % 17 = query_id % 17)),
+@register(f"""{_C}, {_SPREAD}, thin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS rank FROM spread),
 g AS (SELECT *, CASE WHEN rank < 50 THEN round(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 6) END AS gap FROM thin), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap DESC NULLS LAST, rank DESC) AS gap_rank FROM g),
 c AS (SELECT query_id, any_value(estimate) AS estimate, arg_min(rank, gap_rank) FILTER (gap_rank <= 3 AND rank BETWEEN 5 AND 45 AND gap > 0.02) AS best, count(*) FILTER (score >= 0.6) AS high FROM r GROUP BY ALL)
 SELECT r.query_id, citation, rank FROM r JOIN c USING (query_id) WHERE rank <= least(greatest(least(coalesce(best, c.estimate), c.estimate + 10), high), 45)""")
 def cutoff_gap_elbow(spark, sf_dir):
-    rows = base.candidates(spark, sf_dir).where("baseline_rank % 17 = query_id % 17").withColumn("score", F.col("raw_score"))
+    rows = _spread(spark, sf_dir)
     return fusion.gap_elbow(rows).select("query_id", "citation", "rank")
 
 
-@register(f"""{_C}, thin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS rank FROM (SELECT * REPLACE (raw_score AS score) FROM candidates WHERE baseline_rank % 23 = query_id % 23)),
+@register(f"""{_C}, {_SPREAD}, thin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS rank FROM spread),
 g AS (SELECT *, round(lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score, 6) AS gap FROM thin),
 c AS (SELECT query_id, arg_max(rank, row(gap, 0 - rank)) FILTER (rank > 5 AND rank <= 45) AS best, min(rank) FILTER (score < 0.2) AS quiet FROM g GROUP BY ALL)
 SELECT g.query_id, citation, rank FROM g JOIN c USING (query_id) WHERE rank <= least(coalesce(best - 1, 45), coalesce(quiet - 1, 45))""")
 def cutoff_knee(spark, sf_dir):
-    rows = base.candidates(spark, sf_dir).where("baseline_rank % 23 = query_id % 23").withColumn("score", F.col("raw_score"))
+    rows = _spread(spark, sf_dir)
     return fusion.knee(rows, noise=0.2).select("query_id", "citation", "rank")
 
 
@@ -218,7 +227,7 @@ def select_must_first(spark, sf_dir):
 
 @register()
 def select_forced(spark, sf_dir):
-    rows = judged(spark, sf_dir).where("baseline_rank <= 100").select("query_id", "citation", "kind", "is_explicit", "auto_bucket", F.col("raw_score").alias("prob"))
+    rows = judged(spark, sf_dir).select("query_id", "citation", "kind", "is_explicit", "auto_bucket", F.col("raw_score").alias("prob"))
     return select.forced(rows, 25, 6, 0.9, 10).select("query_id", "citation", "position")
 
 
