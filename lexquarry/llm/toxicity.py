@@ -39,6 +39,8 @@ BUCKETS, BLOCK = 1 << 18, 32
 CUE_BUCKETS = 1 << 22
 #: A cue is in so many toxic documents at least, and so many times likelier in them than in clean ones.
 CUE_DOCS, CUE_ODDS = 6, 20.0
+#: A text with fewer long words is never taken for a copy.
+FEW_WORDS = 10
 #: Steps of the fit, its rate, and the weight of the squared weights.
 STEPS, RATE, DECAY = 40, 0.25, 1e-2
 
@@ -139,7 +141,7 @@ def originals(texts: list[np.ndarray], long: np.ndarray) -> list[bool]:
         held = held[long[held]]
         seen = owner[held]
         shared = np.bincount(seen[seen >= 0]).max(initial=0) if len(held) else 0
-        out.append(5 * shared < len(held) or not len(held))
+        out.append(5 * shared < len(held) or len(held) < FEW_WORDS)
         owner[held[seen < 0]] = i
     return out
 
