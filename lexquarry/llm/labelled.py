@@ -14,6 +14,14 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
+def least_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About the `rows` rows with the least hashes of a key: a cut at four times their share first, so that no task gathers more."""
+    n = df.count()
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    near = df.where(hashed < F.lit(int((1 << 40) * min(1.0, 4 * rows / max(1, n)))))
+    return near.orderBy(hashed, key).limit(rows)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, most: int = BYTES) -> list[tuple[str, int]]:
     """(text, label) of labelled documents, in the order of a hash of their ids, as far as the bounds go.
 
@@ -21,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, mos
     would go beyond the bytes is passed over; an id labelled twice counts once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)  # some may have no document
+    chosen = least_hashes(known, "doc_id", 2 * rows)  # some may have no document
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = texts.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("n").alias("n"))
     ids, total = [], 0

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.llm.arrow import append
+from lexquarry.llm.labelled import least_hashes
 
 #: Labelled pages that the weights are learned from, at most.
 SAMPLE = 2000
@@ -164,7 +165,9 @@ def extract(page: str | None, weights: Weights) -> str:
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
     """Weights from pages(page_id, html) that mark an article."""
-    labelled = pages.where(F.col("html").rlike("(?i)<article[\\s>]")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
+    marked = pages.where(F.col("html").rlike("(?i)<article[\\s>]"))
+    chosen = least_hashes(marked.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", sample)
+    labelled = marked.join(F.broadcast(chosen), "page_id").select("html")  # `sample` ids at most
 
     def run(batches):
         total: dict[str, list[int]] = {}
