@@ -29,7 +29,7 @@ from lexquarry.llm.arrow import append, chunks
 #: Bytes of new words that one recursive query takes on; a longer word goes alone.
 QUERY_BYTES = 150_000
 #: Words that a worker remembers before it starts afresh.
-WORDS = 1_000_000
+WORDS = 400_000
 
 _ENCODE = """
 WITH RECURSIVE state(round, word, pos, next, token) AS (
