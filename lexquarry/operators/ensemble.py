@@ -82,8 +82,41 @@ def pool_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.distinct().join(b.distinct(), ["query_id", "citation"], "full").fillna(False, ["in_left", "in_right"])
 
 
-def robust_objective(per_query: DataFrame, key: str) -> DataFrame:
-    """(key, objective) of per-query F1: the mean, less its spread, with part of the least, and penalties below floors."""
+def low_penalty(value: Column, floor: float, weight: float) -> Column:
+    """What a value lacks to a floor, weighed."""
+    return F.greatest(F.lit(0.0), F.lit(floor) - value) * weight
+
+
+def _shapes(predictions: DataFrame, variants: DataFrame, queries: DataFrame, key: str, anchors: list[DataFrame]) -> DataFrame:
+    """(key, n, courts, like_0, ...): mean set size, share of courts and Jaccard to each anchor, not rounded, over all queries."""
+    sets = predictions.select(key, "query_id", "citation").distinct()
+    per = sets.groupBy(key, "query_id").agg(F.count("*").alias("n"), F.count_if(~fn.is_law(F.col("citation"))).alias("c"))
+    rows = variants.crossJoin(F.broadcast(queries.select("query_id").distinct())).join(per, [key, "query_id"], "left").fillna(0, ["n", "c"])
+    for i, anchor in enumerate(anchors):
+        a = anchor.select("query_id", "citation").distinct()
+        both = sets.join(a, ["query_id", "citation"]).groupBy(key, "query_id").agg(F.count("*").alias("both"))
+        rows = rows.join(a.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").join(both, [key, "query_id"], "left").fillna(0, ["m", "both"])
+        either = F.col("n") + F.col("m") - F.col("both")
+        rows = rows.withColumn(f"like_{i}", F.when(either == 0, 1.0).otherwise(F.col("both") / either)).drop("m", "both")
+    courts = F.when(F.col("n") == 0, 0.0).otherwise(F.col("c") / F.col("n"))
+    return rows.groupBy(key).agg(F.avg("n").alias("n"), F.avg(courts).alias("courts"), *[F.avg(f"like_{i}").alias(f"like_{i}") for i in range(len(anchors))])
+
+
+def robust_objective(per_query: DataFrame, key: str, predictions: DataFrame, queries: DataFrame, test: DataFrame | None = None, test_queries: DataFrame | None = None, v11: DataFrame | None = None, v7: DataFrame | None = None) -> DataFrame:
+    """(key, objective) of per-query F1: the mean, less its spread, with part of the least, and penalties below floors.
+
+    The floors are for the share of courts and the size of the predicted sets;
+    with a test set for its share, its size and its Jaccard to the anchors given.
+    """
     stats = per_query.groupBy(key).agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"), F.min("f1").alias("least"))
-    lack = F.greatest(F.lit(0.0), F.lit(0.28) - F.col("mean")) * 0.9
-    return stats.withColumn("objective", F.round(F.col("mean") - 0.45 * F.col("std") + 0.08 * F.col("least") - lack, 6))
+    variants = per_query.select(key).distinct()
+    rows = stats.join(_shapes(predictions, variants, queries, key, []), key)
+    lack = low_penalty(F.col("courts"), 0.28, 0.9) + low_penalty(F.col("n"), 24.0, 0.01)
+    if test is not None:
+        floors = [(a, *f) for a, *f in ((v11, 0.60, 0.15), (v7, 0.30, 0.10)) if a is not None]
+        shapes = _shapes(test, variants, test_queries, key, [a for a, *_ in floors])
+        rows = rows.join(shapes.withColumnsRenamed({"n": "test_n", "courts": "test_courts"}), key)
+        lack = lack + low_penalty(F.col("test_courts"), 0.24, 0.9) + low_penalty(F.col("test_n"), 23.0, 0.01)
+        for i, (_, floor, weight) in enumerate(floors):
+            lack = lack + low_penalty(F.col(f"like_{i}"), floor, weight)
+    return rows.select(key, F.round(F.col("mean") - 0.45 * F.col("std") + 0.08 * F.col("least") - lack, 6).alias("objective"))

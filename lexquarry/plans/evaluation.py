@@ -103,7 +103,7 @@ def robust_objective(spark, sf_dir):
     for v in range(5):
         part = metrics.per_query(base.run(spark, sf_dir, v), base.gold(spark, sf_dir), base.queries(spark, sf_dir)).select(F.lit(v).alias("variant"), "f1")
         rows = part if rows is None else rows.unionByName(part)
-    return ensemble.robust_objective(rows, "variant").select("variant", F.round("objective", 4).alias("objective"))
+    return ensemble.robust_objective(rows, "variant", base.runs(spark, sf_dir), base.queries(spark, sf_dir)).select("variant", F.round("objective", 4).alias("objective"))
 
 
 @register(f"""{_C}, ks AS (SELECT unnest([10, 50, 100, 400]) AS k), s AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY ALL), h AS (SELECT query_id, k, count(*) AS hits FROM candidates SEMI JOIN gold USING (query_id, citation) JOIN ks ON baseline_rank <= k GROUP BY ALL)
