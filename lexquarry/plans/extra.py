@@ -85,7 +85,7 @@ f AS (SELECT t.conv_id AS query_id, list_filter(w.named[1:8], lambda q: trim(q)
 def sub_queries(spark, sf_dir):
     rows = base.table(spark, sf_dir, "conversations")
     inner = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"])
-    named = inner(F.when((F.col("role") == "user") & (F.col("turn") % 3 == 0), F.struct("turn", F.col("text").alias("v"))))
+    named = inner(F.when(F.col("role") == "user", F.struct("turn", F.col("text").alias("v"))))
     return retrieval.sub_queries(rows.groupBy(F.col("conv_id").alias("query_id")).agg(named.alias("named"), inner(F.struct("turn", F.col("role").alias("v"))).alias("terms")), "named", "terms")
 
 
