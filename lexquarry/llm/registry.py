@@ -75,8 +75,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.Model.fit(labelled.sample(docs, labels.where(labelled.fold("doc_id", 5) != 0), "toxic"))
-    scored = toxicity.score_toxicity(docs, model, spans=False)
-    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,14 +230,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 0.05
 
 
 def spans_of(text: str, chance: np.ndarray) -> list[dict[str, int]]:
-    """Runs of words that are toxic rather than not, as character offsets of the lower-case text's words."""
-    out, last = [], False
-    for m, x in zip(_WORD.finditer(text.lower()), chance):
+    """Runs of words that are toxic rather than not, as character offsets of the text."""
+    out, last, low = [], False, text.lower()
+    for m, x in zip(_WORD.finditer(low), chance):
         if x >= 0.5 and last:
             out[-1]["end"] = m.end()
         elif x >= 0.5:
             out.append({"start": m.start(), "end": m.end()})
         last = x >= 0.5
+    if out and len(low) != len(text):  # a letter whose lower-case form is longer
+        place = [i for i, c in enumerate(text) for _ in c.lower()]
+        out = [{"start": place[s["start"]], "end": place[s["end"] - 1] + 1} for s in out]
     return out
 
 
