@@ -8,7 +8,9 @@ forward by small gaps; the chain's share of the template is its coverage.
 
 A base phrase is a template whose label holds wherever all of it stands.  Any
 other template gives its label from COVER of its words on.  `score` is the
-largest coverage, 1 where a base phrase stands.
+largest coverage, 1 where a base phrase stands.  `spans` are all places of base
+phrases and covered templates: the number of the phrase (base phrases, then
+TEMPLATES), its label, its first and last word in the text, and the coverage.
 
 Nulls and empty texts have no words and score 0.  Ties, repeated rows and
 repeated phrases keep all their places; an empty table gives an empty result.
@@ -17,6 +19,7 @@ repeated phrases keep all their places; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ TEMPLATES = [
 #: Share of a template that gives its label; words of a run that counts; words that a chain may skip.
 COVER, RUN, GAP = 0.6, 3, 4
 
+_SPANS = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())]))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -128,17 +132,29 @@ class Scanner:
                 runs += [(k, end + 1 - size, i + 1 - size, size) for k, end in self.automaton.places[state] if k >= self.n_base]
         return base, runs
 
-    def coverage(self, runs: list[tuple[int, int, int, int]]) -> dict[int, float]:
-        """The best chain's share of each template; runs are in text order."""
+    def coverage(self, runs: list[tuple[int, int, int, int]]) -> tuple[dict[int, float], list[tuple[int, int, int, float]]]:
+        """The best chain's share of each template, and covered spans as (start, last, template, share); runs are in text order."""
         best: dict[int, float] = {}
-        open_: dict[int, list[tuple[int, int, int]]] = {}
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}
+        covered: dict[int, list[tuple[int, int, int]]] = {}
         for k, of, at, size in sorted(runs, key=lambda r: (r[2] + r[3], r[0], r[1])):
-            chains = [c for c in open_.get(k, []) if c[1] + GAP >= at]  # (template end, text end, words)
-            fits = [c[2] - max(0, c[0] - of, c[1] - at) for c in chains if c[0] < of + size and c[1] < at + size and of - c[0] <= GAP]
-            words = size + max([0, *fits])
-            open_[k] = [*chains, (of + size, at + size, words)]
+            chains = [c for c in open_.get(k, []) if c[1] + GAP >= at]  # (template end, text end, words, text start)
+            fits = [(c[2] - max(0, c[0] - of, c[1] - at), c[3]) for c in chains if c[0] < of + size and c[1] < at + size and of - c[0] <= GAP]
+            more, start = max([(0, at), *fits])
+            words = size + more
+            open_[k] = [*chains, (of + size, at + size, words, start)]
             best[k] = max(best.get(k, 0.0), words / self.sizes[k])
-        return {k: min(1.0, x) for k, x in best.items()}
+            if words / self.sizes[k] >= COVER:
+                covered.setdefault(k, []).append((-words, start, at + size - 1))
+        spans: list[tuple[int, int, int, float]] = []
+        for k, found in covered.items():  # of chains that overlap, the longest
+            taken: list[tuple[int, int]] = []
+            for less, start, last in sorted(found):
+                at = bisect(taken, (start, last))
+                if (at == 0 or taken[at - 1][1] < start) and (at == len(taken) or last < taken[at][0]):
+                    taken.insert(at, (start, last))
+                    spans.append((start, last, k, min(1.0, -less / self.sizes[k])))
+        return {k: min(1.0, x) for k, x in best.items()}, spans
 
     def scan(self, column: pa.Array) -> list[pa.Array]:
         c = chunks(column, lower="all", blank=True)
@@ -174,19 +190,22 @@ class Scanner:
         for t in range(len(n_words)):
             places = base.get(t, [])
             own = {self.labels[k] for _, k in places}
-            cover = self.coverage(runs[t]) if t in runs else {}
+            cover, spans = self.coverage(runs[t]) if t in runs else ({}, [])
             more = own | {self.labels[k] for k, x in cover.items() if x >= COVER}
             at = [i for i, _ in places]
             out.append((len(at), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(more)), 1.0 if own else max(cover.values(), default=0.0)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+            spans = sorted(spans + [(i, i + self.sizes[k] - 1, k, 1.0) for i, k in places])
+            out[-1] += ([{"template": k, "label": self.labels[k], "first": i, "last": j, "coverage": x} for i, j, k, x in spans],)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS]
         return [pa.array(n_words, pa.int64()), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))]
 
 
 FIELDS = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.StringType()), ("labels", T.StringType()), ("score", T.DoubleType())]
+FIELDS.append(("spans", T.ArrayType(T.StructType([T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("coverage", T.DoubleType())]))))
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, n_base, first_word, last_word, base_labels, labels and score of the column `text`."""
+    """df with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of the column `text`."""
 
     def make():
         scanner = Scanner()
