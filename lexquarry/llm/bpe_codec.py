@@ -3,7 +3,8 @@
 Each task holds the pre-tokens of its partition that it has not met yet as
 rows (word, position, next position, token).  A recursive query joins neighbouring
 tokens to the merge table and contracts every word's leftmost pair of minimum rank, round
-by round, until no word has a pair.  An ordered aggregation of the final rows
+by round, until no word has a pair.  A word that is itself a token is one row with
+that token from the start, as in tiktoken, and is decoded as all others.  An ordered aggregation of the final rows
 gives the ids of a word, and one over the vocabulary's bytes decodes them.  A
 text is the sequence of its words, so its ids and its decoded bytes are those
 of its words, one after another.
@@ -80,23 +81,24 @@ class Codec:
         self.words: dict[bytes, tuple[str, int, bytes]] = {}
 
     def contract(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """(ids, number of ids, decoded bytes) of each of some distinct non-empty words."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
+        """(ids, number of ids, decoded bytes) of each of some distinct non-empty words; one that is a token starts whole."""
+        known = [self.ranks.get(w) for w in words]
+        lens = np.array([len(w) if k is None else 1 for w, k in zip(words, known)], np.int64)
         ends = np.cumsum(lens)
         pos = np.arange(ends[-1])
         follow = pos + 1
         follow[ends - 1] = -1
-        token = self.symbol[np.frombuffer(b"".join(words), np.uint8)]
+        whole = np.array([k is not None for k in known])
+        token = np.empty(ends[-1], np.int64)
+        token[np.repeat(~whole, lens)] = self.symbol[np.frombuffer(b"".join([w for w, k in zip(words, known) if k is None]), np.uint8)]
+        token[(ends - 1)[whole]] = [k for k in known if k is not None]
         self.db.register("seed", pa.table({"word": np.repeat(np.arange(len(words)), lens), "pos": pos, "next": follow, "token": token}))
         out = self.db.execute(_ENCODE).fetchall()
         self.db.unregister("seed")
         return [(ids, n, w if (got := bytes.fromhex(data)) == w else got) for w, (_, ids, n, data) in zip(words, out)]
 
     def learn(self, fresh: list[bytes]) -> None:
-        for w in fresh:
-            if (known := self.ranks.get(w)) is not None:  # a word that is a token stays whole
-                self.words[w] = (str(known), 1, w)
-        fresh, at = [w for w in fresh if w not in self.words], 0
+        at = 0
         while at < len(fresh):
             to, size = at, 0
             while to < len(fresh) and (to == at or size + len(fresh[to]) <= QUERY_BYTES):
