@@ -92,6 +92,12 @@ def kind_of(citation: Column) -> Column:
     return F.when(citation.rlike(r"^Art\.\s"), "law").when(citation.rlike(r"^BGE |^\d+[A-Z]_\d+/\d+"), "court").otherwise("other")
 
 
+def kind_by_membership(citations, laws):
+    """citations with `kind`: law for what is in the list of laws, court for all else."""
+    known = laws.select("citation").distinct().withColumn("_law", F.lit(True))
+    return citations.join(known, "citation", "left").withColumn("kind", F.when(F.col("_law"), "law").otherwise("court")).drop("_law")
+
+
 def split_citations(joined: Column) -> Column:
     """Distinct trimmed citations of a text joined by semicolons, without empty ones."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(joined, F.lit("")), ";"), lambda c: F.trim(c)), lambda c: c != ""))
@@ -106,8 +112,8 @@ def safe_name(name: Column) -> Column:
 
 
 def payload_key(*columns: Column) -> Column:
-    """SHA-1 of the values as text, nulls included, in the order given."""
-    return F.sha1(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
+    """SHA-1 of the values as a JSON object of named columns; a null has no entry."""
+    return F.sha1(F.to_json(F.struct(*columns)))
 
 
 def lenient_json(text: Column, schema: str) -> Column:
@@ -124,7 +130,7 @@ def expand_case(case: Column, considerations: Column) -> Column:
 
 def evidence(freq: Column, explicit: Column, case: Column, dense: Column, court_dense: Column, bm25: Column, sources: Column) -> Column:
     """Up to eight notes on where a candidate comes from."""
-    own = F.array(
+    own = F.array(  # fixed values: the notes and their order
         F.when(freq > 0, F.concat(F.lit("predicted_by_"), freq.cast("string"), F.lit("_gpt_runs"))),
         F.when(explicit, F.lit("citation_appears_in_question")),
         F.when(case, F.lit("gpt_case_citation")),

@@ -22,29 +22,56 @@ def threshold_sweep(predictions: DataFrame, queries: DataFrame, ks: list[int]) -
     return every.join(kept, ["k", "query_id"], "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
 
 
-def consensus_target(predictions: DataFrame, share: float = 0.6, bias: int = 0) -> DataFrame:
-    """What enough variants agree on, filled by votes up to the upper median of their sizes."""
+def consensus_target(predictions: DataFrame, share: float = 0.6, bias: int = 0, mode: str = "median", firsts: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """What enough variants agree on, filled by votes up to a target: the upper median, the mean or the largest of their sizes.
+
+    Equal votes go by which of the sets in `firsts` hold a citation, in their order, then by citation.
+    """
     sizes = predictions.groupBy("query_id", "variant").agg(F.count_distinct("citation").alias("n"))
-    per = sizes.groupBy("query_id").agg(F.array_sort(F.collect_list("n")).alias("sizes"), F.count("*").alias("variants"))
-    per = per.select("query_id", F.greatest(F.lit(1), F.element_at("sizes", (F.floor(F.size("sizes") / 2) + 1).cast("int")) + bias).alias("target"), F.ceil(F.round(F.col("variants") * share, 9)).alias("least"))
-    rows = votes(predictions).join(per, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "citation")))
+    base = {"median": F.element_at(F.array_sort(F.collect_list("n")), (F.floor(F.count("*") / 2) + 1).cast("int")), "mean": F.bround(F.avg("n")).cast("long"), "max": F.max("n")}[mode]
+    per = sizes.groupBy("query_id").agg(F.greatest(F.lit(1), base + bias).alias("target"), F.ceil(F.round(F.count("*") * share, 9)).alias("least"))
+    rows, order = _held(votes(predictions), firsts)
+    rows = rows.join(per, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), *order, "citation")))
     return rows.where((F.col("votes") >= F.col("least")) | (F.col("rank") <= F.col("target"))).select("query_id", "citation", "votes", "rank")
 
 
-def perturbed(anchor: DataFrame, neighbours: DataFrame, min_votes: int = 2, max_add: int = 3, max_court: int = 1, max_law: int = 3, max_remove: int = 2) -> DataFrame:
+def _held(rows: DataFrame, firsts: tuple[DataFrame, ...]) -> tuple[DataFrame, list[Column]]:
+    """rows with held_0, held_1, ...: whether each of the sets has the citation; and the order that puts those first."""
+    for i, first in enumerate(firsts):
+        rows = rows.join(first.select("query_id", "citation").distinct().withColumn(f"held_{i}", F.lit(1)), ["query_id", "citation"], "left").fillna(0, [f"held_{i}"])
+    return rows, [F.desc(f"held_{i}") for i in range(len(firsts))]
+
+
+def best_threshold(predictions: DataFrame, gold: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, f1): the number of agreeing variants with the best macro F1; the smallest of equally good ones."""
+    sets = threshold_sweep(predictions, queries, ks)
+    size = gold.groupBy("query_id").agg(F.array_sort(F.collect_set("citation")).alias("gold"))
+    rows = sets.join(size, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    both, n = F.size(F.array_intersect("citations", "gold")), F.size("citations") + F.size("gold")
+    means = rows.groupBy("k").agg(F.round(F.avg(F.when(n == 0, 1.0).otherwise(F.round(2 * both / n, 6))), 8).alias("f1"))
+    return means.orderBy(F.desc("f1"), "k").limit(1)
+
+
+def perturbed(anchor: DataFrame, neighbours: DataFrame, min_votes: int = 2, max_add: int = 3, max_court: int = 1, max_law: int = 3, max_remove: int = 2, firsts: tuple[DataFrame, ...] = (), max_remove_court: int | None = None) -> DataFrame:
     """(query_id, citation, change): the anchor, less what no neighbour has, and what enough of them add.
 
-    Additions go by votes, laws before courts; removals take courts first.  Both
-    are capped for each query, and additions for each kind.
+    Additions go by votes, then by which of `firsts` hold them, laws before courts;
+    removals take what these don't hold first, and courts before laws.  Both are
+    capped for each query, additions for each kind, removals for courts.
     """
     v = votes(neighbours)
     law = fn.is_law(F.col("citation"))
     q = Window.partitionBy("query_id")
     added = v.where(F.col("votes") >= min_votes).join(anchor, ["query_id", "citation"], "left_anti").withColumn("law", law)
-    order = [F.desc("votes"), F.desc("law"), F.asc("citation")]
+    added, held = _held(added, firsts)
+    order = [F.desc("votes"), *held, F.desc("law"), F.asc("citation")]
     added = added.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "law").orderBy(*order))).where(F.col("of_kind") <= F.when(F.col("law"), max_law).otherwise(max_court))
     added = added.withColumn("n", F.row_number().over(q.orderBy(*order))).where(F.col("n") <= max_add)
-    gone = anchor.join(v, ["query_id", "citation"], "left_anti").withColumn("n", F.row_number().over(q.orderBy(law.asc(), "citation"))).where(F.col("n") <= max_remove)
+    gone, _ = _held(anchor.join(v, ["query_id", "citation"], "left_anti").withColumn("law", law), firsts)
+    away = [*[F.asc(f"held_{i}") for i in range(len(firsts))], F.asc("law"), F.asc("citation")]
+    if max_remove_court is not None:
+        gone = gone.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "law").orderBy(*away))).where(F.col("law") | (F.col("of_kind") <= max_remove_court))
+    gone = gone.withColumn("n", F.row_number().over(q.orderBy(*away))).where(F.col("n") <= max_remove)
     kept = anchor.join(gone, ["query_id", "citation"], "left_anti").select("query_id", "citation", F.lit("kept").alias("change"))
     return kept.unionByName(added.select("query_id", "citation", F.lit("added").alias("change"))).unionByName(gone.select("query_id", "citation", F.lit("removed").alias("change")))
 
@@ -76,6 +103,46 @@ def linear_score(candidates: DataFrame, weights: dict[str, float]) -> Column:
     return out
 
 
+#: Names of the 32 weights: plain terms, then priors by channel and level, then penalties.
+PLAIN = ["v7_bonus", "v11_bonus", "both_bonus", "auto_keep_bonus", "explicit_bonus", "must_bonus", "plausible_bonus", "reject_penalty", "conf_weight", "final_weight", "raw_weight", "gpt_freq_weight", "source_count_weight", "law_bonus", "court_bonus"]
+SOURCES = {"dense_bonus": "dense", "bm25_bonus": "bm25", "gpt_case_bonus": "gpt_case", "cocitation_penalty": "cocitation", "court_dense_bonus": "court_dense"}
+PRIORS = {
+    "exact_train_weight": ("all", "exact"), "dense_train_weight": ("dense", "exact"), "law_base_train_weight": ("all", "law_base"), "dense_law_base_train_weight": ("dense", "law_base"),
+    **{f"{c}_{level}_weight": (c, level) for level in ("exact", "law_base") for c in ("dense100", "dense12", "sparse79")},
+}
+PENALTIES = ["court_dense_only_penalty", "single_source_penalty"]
+
+
+def hybrid_terms(pool: DataFrame, candidates: DataFrame, priors: DataFrame) -> DataFrame:
+    """(query_id, citation, a column for each weight): what the weights of the hybrid score multiply.
+
+    pool has (query_id, citation, in_left, in_right) of v7 and v11 and of all candidates;
+    priors has (channel, level, key, n).  A citation that is no candidate has its kind
+    and priors alone, and a decision among these only those of the three channels.
+    """
+    c, keys = F.col("citation"), ["query_id", "citation"]
+    rows = pool.join(candidates.withColumn("found", F.lit(True)), keys, "left").withColumn("base", F.when(fn.is_law(c), fn.law_base_by_tokens(c)))
+    for level, key in (("exact", "citation"), ("law_base", "base")):
+        counts = priors.where(F.col("level") == level).groupBy(F.col("key").alias(key)).pivot("channel", ["all", "dense", "dense100", "dense12", "sparse79"]).agg(F.max("n"))
+        rows = rows.join(counts.withColumnsRenamed({x: f"{x}_{level}" for x in ("all", "dense", "dense100", "dense12", "sparse79")}), key, "left")
+    found, one = F.coalesce("found", F.lit(False)), lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    law = F.coalesce(F.col("kind") == "law", fn.is_law(c))
+    number = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    size = F.size("sources")
+    plain = [
+        one(F.col("in_left")), one(F.col("in_right")), one(F.col("in_left") & F.col("in_right")), one(F.col("auto_bucket") == "auto_keep"), one(F.col("is_explicit")),
+        *[one(F.col("judge_label") == x) for x in ("must_include", "plausible", "reject")], number("judge_confidence"), number("final_score"), number("raw_score"), number("freq"),
+        F.when(found, size).otherwise(0), law.cast("int"), (~law).cast("int"),
+    ]
+    terms = dict(zip(PLAIN, plain)) | {name: one(F.array_contains("sources", s)) for name, s in SOURCES.items()}
+    for name, (channel, level) in PRIORS.items():
+        n = F.round(F.log1p(F.coalesce(F.col(f"{channel}_{level}"), F.lit(0))), 9)
+        terms[name] = n if channel in ("dense100", "dense12", "sparse79") else F.when(found | law, n).otherwise(0.0)
+    terms["court_dense_only_penalty"] = one(found & (size == 1) & F.array_contains("sources", "court_dense"))
+    terms["single_source_penalty"] = one(found & (size <= 1))
+    return rows.select(*keys, *[x.cast("double").alias(name) for name, x in terms.items()])
+
+
 def pool_union(left: DataFrame, right: DataFrame) -> DataFrame:
     """All candidates of two pools, with in_left and in_right."""
     a, b = left.select("query_id", "citation", F.lit(True).alias("in_left")), right.select("query_id", "citation", F.lit(True).alias("in_right"))

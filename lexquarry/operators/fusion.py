@@ -14,7 +14,8 @@ def fuse(hits: DataFrame) -> DataFrame:
     """One row for each (query_id, citation): best score and ranks, all sources, any flag."""
     return hits.groupBy("query_id", "citation").agg(
         F.max("score").alias("raw_score"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("freq").alias("freq"),
-        F.min("dense_rank").alias("dense_rank"), F.min("bm25_rank").alias("bm25_rank"), F.bool_or("is_explicit").alias("is_explicit"),
+        F.min("dense_rank").alias("dense_rank"), F.min("bm25_rank").alias("bm25_rank"), F.min("court_dense_rank").alias("court_dense_rank"),
+        F.bool_or("is_explicit").alias("is_explicit"), F.bool_or("is_query_case").alias("is_query_case"),
     )
 
 
@@ -48,9 +49,10 @@ def cocited(scored: DataFrame, mentions: DataFrame, corpus: DataFrame, most: int
     return found.join(scored.select("query_id", "citation"), ["query_id", "citation"], "left_anti")
 
 
-def with_floor(scored: DataFrame, queries: DataFrame, citation: str, floor: float) -> DataFrame:
-    """scored with one constant citation at `floor` at least, for every query."""
-    constant = queries.select("query_id").distinct().select("query_id", F.lit(citation).alias("citation"), F.lit(floor).alias("score"))
+def with_floor(scored: DataFrame, queries: DataFrame, citation: str, floor: float, corpus: DataFrame) -> DataFrame:
+    """scored with one constant citation at `floor` at least, for every query, if the corpus has it."""
+    has = corpus.where(F.col("citation") == citation).limit(1).select("citation")
+    constant = queries.select("query_id").distinct().crossJoin(F.broadcast(has)).select("query_id", "citation", F.lit(floor).alias("score"))
     return scored.select("query_id", "citation", "score").unionByName(constant).groupBy("query_id", "citation").agg(F.max("score").alias("score"))
 
 

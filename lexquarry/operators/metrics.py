@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
+from lexquarry.sources.scratch import scratch
 
 
 @dataclass(frozen=True)
@@ -54,20 +55,33 @@ def source_attribution(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return found.withColumn("n", n).groupBy("source").agg(F.count("*").alias("hits"), F.count_if(F.col("n") == 1).alias("only"))
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with `row`, their place from 0 in a total order, and `rows`, how many there are.
+
+    They are sorted by ranges and numbered within each; a range adds the rows of
+    those before it, so that no task holds all rows.
+    """
+    ranged = rows.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
+    ranged = scratch(rows.sparkSession).keep(ranged, "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each range
+    starts = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_start"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("rows"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("row", F.col("_own") + F.col("_start")).drop("_key", "_part", "_own", "_start")
+
+
 def bootstrap(rows: DataFrame, rounds: int, alpha: float, value: str = "f1") -> DataFrame:
     """(rounds, lower_bound): the value at rank int(alpha * rounds) of the means of resampled queries.
 
     The draws come from a linear congruence of round and place, the same in any engine.
     """
-    n = Window.orderBy("query_id")
-    numbered = rows.select((F.row_number().over(n) - 1).alias("i"), F.col(value).alias("x"))
-    total = rows.agg(F.count("*").alias("n"))
-    spark = rows.sparkSession
-    draws = spark.range(rounds).withColumnRenamed("id", "round").crossJoin(F.broadcast(total)).select("round", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    draws = draws.withColumn("i", F.expr("(((round * 7919 + j) * 1103515245 + 12345) % 2147483648) DIV 65536 % n"))
-    means = draws.join(F.broadcast(numbered), "i").groupBy("round").agg(F.round(F.avg("x"), 6).alias("mean"))
-    w = Window.orderBy("mean", "round")
-    return means.withColumn("at", F.row_number().over(w) - 1).where(F.col("at") == int(alpha * rounds)).select(F.lit(rounds).alias("rounds"), F.col("mean").alias("lower_bound"))
+    some = numbered(rows.select("query_id", F.col(value).alias("x")), [F.col("query_id")]).select(F.col("row").alias("i"), "x", "rows")
+    total = some.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n"))
+    places = some.select(F.col("i").alias("j")).crossJoin(F.broadcast(total))  # one row for each query
+    draws = places.crossJoin(F.broadcast(rows.sparkSession.range(rounds).withColumnRenamed("id", "round")))
+    draws = draws.select("round", F.expr("(((round * 7919 + j) * 1103515245 + 12345) % 2147483648) DIV 65536 % n").alias("i"))
+    means = draws.groupBy("round", "i").agg(F.count("*").alias("k")).join(some.select("i", "x"), "i").groupBy("round").agg(F.round(F.sum(F.col("x") * F.col("k")) / F.sum("k"), 6).alias("mean"))
+    first = means.orderBy("mean", "round").limit(int(alpha * rounds) + 1)  # of `rounds` means
+    return first.orderBy(F.desc("mean"), F.desc("round")).limit(1).select(F.lit(rounds).alias("rounds"), F.col("mean").alias("lower_bound"))
 
 
 def shape(predictions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def loo_quality(predicted: DataFrame) -> DataFrame:
     """(mae, pairwise_accuracy) of (name, public_score, predicted); equal scores form no pair."""
     a = predicted.select(F.col("name").alias("n1"), F.col("public_score").alias("s1"), F.col("predicted").alias("p1"))
     b = predicted.select(F.col("name").alias("n2"), F.col("public_score").alias("s2"), F.col("predicted").alias("p2"))
-    pairs = a.join(F.broadcast(b), (F.col("n1") < F.col("n2")) & (F.col("s1") != F.col("s2")))
+    pairs = a.join(b, (F.col("n1") < F.col("n2")) & (F.col("s1") != F.col("s2")))
     right = pairs.agg(F.round(F.avg(F.when((F.col("s1") - F.col("s2")) * (F.col("p1") - F.col("p2")) > 0, 1.0).otherwise(0.0)), 6).alias("pairwise_accuracy"))
     return predicted.agg(F.round(F.avg(F.abs(F.col("public_score") - F.col("predicted"))), 6).alias("mae")).crossJoin(right)
 
@@ -147,6 +161,20 @@ def combined_verdict(predicted: Column, anchor: Column, heuristic: Column) -> Co
     )
 
 
+#: What a citation of procedure holds.
+PROCEDURE = ["BGG", "StBOG", "422", "428", "429", "436", "135 Abs. 3", "135 Abs. 4", "390", "382", "385", "384", "393", "396", "100 Abs. 1"]
+
+
+def statute_histogram(gold: DataFrame) -> DataFrame:
+    """(code, kind, n): gold citations by statute, procedural or substantive; decisions have no code."""
+    c = F.col("citation")
+    procedural = F.lit(False)
+    for mark in PROCEDURE:
+        procedural = procedural | F.contains(c, F.lit(mark))
+    kind = F.when(~fn.is_law(c), "court").when(procedural, "procedural").otherwise("substantive")
+    return gold.select(F.when(fn.is_law(c), fn.statute_token(c)).otherwise("").alias("code"), kind.alias("kind")).groupBy("code", "kind").agg(F.count("*").alias("n"))
+
+
 def frequent(gold: DataFrame, least: int = 3) -> DataFrame:
     """Citations in at least so many gold sets, with the share of queries that have them."""
     total = gold.agg(F.count_distinct("query_id").alias("queries"))

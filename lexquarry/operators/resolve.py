@@ -64,10 +64,13 @@ def keep_last(rows: DataFrame, key: str, value: str, pos: str) -> DataFrame:
 def concat_parts(rows: DataFrame, key: str, text: str, pos: str, cap: int = 1500) -> DataFrame:
     """All texts of a key in order, joined by spaces, cut at `cap` with an ellipsis.
 
-    Of each key only the parts that can reach into the cap are gathered.
+    Of each key only the parts that can reach into the cap are gathered: the first
+    cap + 1, since each but the first takes a character at least, and of these
+    those that begin within it.
     """
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).where(F.col("_before") <= cap + 1)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(pos))).where(F.col("_n") <= cap + 2).drop("_n")
+    reach = first.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).where(F.col("_before") <= cap + 1)
     joined = reach.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), " ").alias(text))
     return joined.withColumn(text, fn.truncate(F.col(text), cap))
 

@@ -1,8 +1,9 @@
 """Keyword and vector retrieval.
 
-BM25 is a relational plan: term counts of the corpus, restricted to the terms of
-the queries, joined with document lengths and document frequencies, summed by
-(query, document).  Scores are rounded before they are ranked and ties end in
+BM25 is a relational plan over an inverted index: a written table of term counts,
+restricted to the terms of the queries where there are any, joined with what each
+query term weighs and summed by (query, document).  Vectors meet queries in blocks,
+by matrix products.  Scores are rounded before they are ranked and ties end in
 the key, so that results don't hang on the order of summation.
 """
 
@@ -10,17 +11,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
+from lexquarry.sources.io import existing
+from lexquarry.sources.scratch import scratch
 
 
 @dataclass(frozen=True)
 class Bm25:
+    """idf: "smooth", the logarithm of one more than the odds, or "okapi", where a negative one is epsilon times their mean."""
+
     k1: float = 1.5
     b: float = 0.75
     longer_than: int = 1
+    idf: str = "smooth"
+    epsilon: float = 0.25
+
+
+#: Stands for the document itself among its terms.
+DOCUMENT = ""
+#: Vectors, and query vectors, that are multiplied at once.
+VECTORS, QUERIES = 2048, 512
 
 
 def query_terms(queries: DataFrame, cfg: Bm25 = Bm25()) -> DataFrame:
@@ -28,35 +43,60 @@ def query_terms(queries: DataFrame, cfg: Bm25 = Bm25()) -> DataFrame:
     return queries.select("query_id", F.explode(fn.tokenize(F.col("query"), cfg.longer_than)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def lengths(corpus: DataFrame, cfg: Bm25 = Bm25()) -> DataFrame:
-    """(doc_id, dl): tokens of each document."""
-    return corpus.select("doc_id", F.size(fn.tokenize(F.col("text"), cfg.longer_than)).alias("dl"))
+def postings(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(term, doc_id, dl, ...scope, tf) of all terms, or of those that some query has."""
+    tokens = corpus.select("doc_id", *(scope or []), fn.tokenize(F.col("text"), cfg.longer_than).alias("tokens"))
+    rows = tokens.select("doc_id", *(scope or []), F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(DOCUMENT)), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term"))
+    if terms is not None:
+        own = terms.select("term").unionByName(corpus.sparkSession.createDataFrame([(DOCUMENT,)], "term string")).distinct()
+        rows = rows.join(own, "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "dl", *(scope or [])).agg(F.count("*").alias("tf"))
 
 
-def postings(corpus: DataFrame, terms: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, tf, dl, ...scope) for the terms that some query has."""
-    tokens = corpus.select("doc_id", *(scope or []), fn.tokenize(F.col("text"), cfg.longer_than).alias("tokens"))
-    rows = tokens.select("doc_id", *(scope or []), F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl", *(scope or [])).agg(F.count("*").alias("tf"))
+def index(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """The inverted index of a corpus as a written table, so that its texts are read and cut into tokens once.
+
+    A row (DOCUMENT, doc_id, dl, ...) stands for each document, which gives their
+    number and mean length.  With a path the index is kept there, for read_index.
+    """
+    return scratch(corpus.sparkSession).keep(postings(corpus, terms, cfg, scope), "index", to=path)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of every pair with a term in common.
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def search(index: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every pair with a term in common, from an index.
 
     With `scope`, document frequency, count and mean length are those of each
     part of the corpus, as separately built indexes would have them.
     """
-    scope = scope or []
-    terms = query_terms(queries, cfg)
-    post = postings(corpus, terms, cfg, scope)
-    stats = corpus.select("doc_id", *scope, F.size(fn.tokenize(F.col("text"), cfg.longer_than)).alias("dl")).groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    scope, terms = scope or [], query_terms(queries, cfg)
+    stats = index.where(F.col("term") == DOCUMENT).groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = index.where(F.col("term") != DOCUMENT)
     df = post.groupBy("term", *scope).agg(F.count("*").alias("df"))
-    joined = post.join(df, ["term", *scope])
-    joined = joined.join(F.broadcast(stats), scope) if scope else joined.crossJoin(F.broadcast(stats))  # a row for each part
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = df.join(F.broadcast(stats), scope) if scope else df.crossJoin(F.broadcast(stats))  # a row for each part
+    rest = F.col("n") - F.col("df") + 0.5
+    if cfg.idf == "okapi":
+        known = known.withColumn("idf", F.log(rest) - F.log(F.col("df") + 0.5))
+        mean = known.groupBy(*scope).agg(F.avg("idf").alias("mean"))
+        known = known.join(F.broadcast(mean), scope) if scope else known.crossJoin(F.broadcast(mean))
+        known = known.withColumn("idf", F.when(F.col("idf") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("idf")))
+    else:
+        known = known.withColumn("idf", F.log(rest / (F.col("df") + 0.5) + 1))
+    asked = terms.join(known, "term").select("query_id", "term", *scope, "avgdl", (F.col("idf") * F.col("qtf")).alias("w"))
     norm = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    weighed = joined.select("term", "doc_id", (idf * norm).alias("w"))
-    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    return post.join(asked, ["term", *scope]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * norm), 6).alias("score"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every pair with a term in common, from an index of the queries' terms.
+
+    The library formula needs the mean idf of all terms, so its index has them all.
+    """
+    terms = None if cfg.idf == "okapi" else query_terms(queries, cfg)
+    return search(index(corpus, terms, cfg, scope), queries, cfg, scope)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "doc_id", group: str = "query_id") -> DataFrame:
@@ -92,15 +132,67 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+def packed(vectors: DataFrame, key: str, rows: int) -> DataFrame:
+    """(ids, dims, data): blocks of (key, embedding) as matrices in double precision; rows without a vector are left out.
+
+    A task's vectors of one length go into blocks of at most so many.
+    """
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            for dims in np.unique(size):
+                part = batch.filter(pa.array(size == dims))
+                for at in range(0, len(part), rows):
+                    block = part.slice(at, rows)
+                    data = block.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([block.column(0).to_numpy()], pa.list_(pa.int64())), "dims": pa.array([dims], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    known = vectors.select(F.col(key).cast("long"), "embedding").where(f"{key} IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    return known.mapInArrow(run, "ids array<long>, dims int, data binary")
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score, rank) by inner product: every query against every vector.
+    """(query_id, key, score, rank) by inner product: every query against every vector."""
+    return dense_blocks(packed(queries, "query_id", QUERIES), packed(vectors, "key", VECTORS), k)
+
+
+def dense_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """dense_top_k of packed blocks: each block of queries meets each block of vectors in one matrix product.
 
-    The queries are the smaller side by contract (a search's query set); each
-    task of the vectors keeps k rows of a query before the shuffle.
+    A product leaves the k best of each query and their ties; these are ranked by
+    score and key.  Vectors meet queries of their own length only.
     """
-    pairs = vectors.crossJoin(queries.withColumnRenamed("embedding", "query_embedding"))
-    scored = pairs.select("query_id", "key", F.round(dot(F.col("embedding"), F.col("query_embedding")), 6).alias("score"))
-    return top_k(scored, k, "score", "key")
+    own = queries.select(F.col("ids").alias("asked"), F.col("dims").alias("wide"), F.col("data").alias("q"))
+    pairs = vectors.select("ids", "dims", "data").crossJoin(own)  # blocks of a stated query set against blocks of all rows
+
+    def run(batches):
+        for batch in batches:
+            for ids, dims, data, asked, wide, q in zip(*batch.columns):
+                ids, asked, dims = ids.values.to_numpy(), asked.values.to_numpy(), dims.as_py()
+                if dims != wide.as_py():
+                    continue
+                score = np.frombuffer(q.as_buffer(), np.float64).reshape(-1, dims) @ np.frombuffer(data.as_buffer(), np.float64).reshape(-1, dims).T
+                score = np.round(score, 6)
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                i, j = np.nonzero(score >= least[:, None])
+                yield pa.RecordBatch.from_pydict({"query_id": asked[i], "key": ids[j], "score": score[i, j]})
+
+    return top_k(pairs.mapInArrow(run, "query_id long, key long, score double"), k, "score", "key")
+
+
+def add_vectors(vectors: DataFrame, path: str) -> int:
+    """Adds (key, embedding) whose keys the blocks at `path` lack; returns how many.  Each added key counts once."""
+    spark = vectors.sparkSession
+    rows = vectors.where("key IS NOT NULL AND embedding IS NOT NULL").dropDuplicates(["key"])
+    if existing(spark, [path]):
+        rows = rows.join(read_index(spark, path).select(F.explode("ids").alias("key")), "key", "left_anti")
+    rows = scratch(spark).keep(rows, "vectors")
+    n = rows.count()
+    if n:
+        packed(rows, "key", VECTORS).write.mode("append").parquet(path)
+    scratch(spark).drop(rows)
+    return n
 
 
 def rank_step(rank: Column, steps: list[tuple[int, float]], otherwise: float) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,29 +72,26 @@ def must_first(scored: DataFrame, target: Column, score: str = "prob") -> DataFr
 
 
 def forced(scored: DataFrame, target: int, court_cap: int, threshold: float, floor: int) -> DataFrame:
-    """Sequential selection with forced rows, one query's candidates at a time.
+    """Selection with forced rows: those that the query names, whatever the caps say; kept buckets within the court cap; then greedily.
 
-    Rows named by the query are taken whatever the caps say, kept buckets within
-    the court cap, then the rest greedily; the last step depends on what was
-    taken before, so a query's candidates go to one task in sorted order.
+    Each stage takes courts up to what the stages before have left of the cap, so
+    a row's fate is its rank in its stage; `position` is the order of selection.
     """
-    schema = T.StructType([*scored.schema.fields, T.StructField("position", T.IntegerType())])
-
-    def run(rows):
-        rows = rows.sort_values(["prob", "citation"], ascending=[False, True], kind="stable")
-        taken, courts = [], 0
-        for stage in ("explicit", "kept", "rest"):
-            for i, r in rows.iterrows():
-                if i in taken or stage == "explicit" and not r.is_explicit or stage == "kept" and r.auto_bucket != "auto_keep":
-                    continue
-                if stage != "explicit" and r.kind == "court" and courts >= court_cap:
-                    continue
-                if stage == "rest" and (len(taken) >= target or r.prob < threshold and len(taken) >= floor):
-                    break
-                taken.append(i)
-                courts += r.kind == "court"
-        out = rows.loc[taken].copy()
-        out["position"] = range(1, len(taken) + 1)
-        return out
-
-    return scored.groupBy("query_id").applyInPandas(run, schema)
+    q, court = Window.partitionBy("query_id"), F.col("kind") == "court"
+    stage = F.when(F.col("is_explicit"), 1).when(F.col("auto_bucket") == "auto_keep", 2).otherwise(3)
+    rows = scored.withColumn("stage", stage)
+    rows = rows.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "stage", "kind").orderBy(F.desc("prob"), "citation")))
+    left = F.greatest(F.lit(0), F.lit(court_cap) - F.count_if(court & (F.col("stage") == 1)).over(q))
+    rows = rows.withColumn("left", left)
+    kept = F.least(F.count_if(court & (F.col("stage") == 2)).over(q), F.col("left"))
+    rows = rows.withColumn("cap", F.when(F.col("stage") == 2, F.col("left")).otherwise(F.col("left") - kept))
+    rows = rows.where(~court | (F.col("stage") == 1) | (F.col("of_kind") <= F.col("cap")))
+    rows = rows.withColumn("position", F.row_number().over(q.orderBy("stage", F.desc("prob"), "citation")))
+    good = (F.col("position") <= target) & ((F.col("prob") >= threshold) | (F.col("position") <= floor))
+    return rows.where((F.col("stage") < 3) | good).select(*scored.columns, "position")
+
+
+def meta_target(estimate: Column, mult: Column, bias: Column, least: Column, most: Column, least_first: bool = True) -> Column:
+    """A target that follows the estimate, halves to even; with `least_first` the largest output beats the smallest, else the other way."""
+    raw = F.bround(estimate * mult + bias)
+    return F.least(most, F.greatest(least, raw)) if least_first else F.greatest(least, F.least(most, raw))

@@ -18,7 +18,7 @@ HITS = [
     "CASE event_id % 7 WHEN 0 THEN 'dense' WHEN 1 THEN 'bm25' WHEN 2 THEN 'gpt_full' WHEN 3 THEN 'gpt_specific' WHEN 4 THEN 'gpt_case' WHEN 5 THEN 'court_dense' ELSE 'cocitation' END AS source",
     "CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS score", "event_id % 4 AS freq",
     "CASE WHEN event_id % 7 = 0 THEN event_id % 150 + 1 END AS dense_rank", "CASE WHEN event_id % 7 = 1 THEN event_id % 150 + 1 END AS bm25_rank",
-    "event_id % 97 = 0 AS is_explicit",
+    "CASE WHEN event_id % 7 = 5 THEN event_id % 150 + 1 END AS court_dense_rank", "event_id % 97 = 0 AS is_explicit", "event_id % 89 = 0 AS is_query_case",
 ]
 CITED = [
     "l_orderkey", "l_linenumber", "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos", "l_orderkey % 40 AS query_id", "l_quantity", "l_tax",
@@ -81,7 +81,7 @@ WITH_CITED = f"WITH cited AS (SELECT {', '.join(CITED)} FROM lineitem)"
 GOLD = "gold AS (SELECT DISTINCT query_id, citation FROM hits WHERE score >= 0.8)"
 IDS = "queries AS (SELECT range AS query_id FROM range(42))"
 RUNS = """runs AS (SELECT DISTINCT unnest(CASE source WHEN 'dense' THEN [0, 3] WHEN 'bm25' THEN [0, 1, 4] WHEN 'gpt_full' THEN [1, 2] WHEN 'gpt_specific' THEN [2, 3] WHEN 'gpt_case' THEN [0, 3, 4] WHEN 'court_dense' THEN [1, 4] ELSE [2] END) AS variant, query_id, citation FROM hits WHERE score >= 0.55)"""
-FUSED = "fused AS (SELECT query_id, citation, max(score) AS raw_score, list_sort(list(DISTINCT source)) AS sources, max(freq) AS freq, min(dense_rank) AS dense_rank, min(bm25_rank) AS bm25_rank, bool_or(is_explicit) AS is_explicit FROM hits GROUP BY ALL)"
+FUSED = "fused AS (SELECT query_id, citation, max(score) AS raw_score, list_sort(list(DISTINCT source)) AS sources, max(freq) AS freq, min(dense_rank) AS dense_rank, min(bm25_rank) AS bm25_rank, min(court_dense_rank) AS court_dense_rank, bool_or(is_explicit) AS is_explicit, bool_or(is_query_case) AS is_query_case FROM hits GROUP BY ALL)"
 CANDIDATES = FUSED + """, boosted AS (SELECT *, CASE WHEN citation LIKE 'Art.%' THEN 'law' ELSE 'court' END AS kind, query_id % 30 + 3 AS estimate,
   round(CASE WHEN len(sources) >= 3 THEN least(least(raw_score * 1.25, 0.96) * 1.35, 0.98) WHEN len(sources) >= 2 THEN least(raw_score * 1.25, 0.96) ELSE raw_score END, 6) AS final_score FROM fused),
 candidates AS (SELECT *, final_score AS score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, citation) AS baseline_rank FROM boosted)"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexquarry.plans import base, evaluation, extra, retrieval, selection
+from lexquarry.plans import base, evaluation, extra, more, retrieval, selection
 
 FLAGSHIP = "retrieval_f1"
-MODULES = (retrieval, selection, evaluation, extra)
+MODULES = (retrieval, selection, evaluation, extra, more)
 
 
 def queries() -> dict[str, Callable]:

@@ -97,7 +97,9 @@ _ALL = f"""counts AS (SELECT variant, query_id, count(*) AS n_pred, count(g.quer
 per AS (SELECT variant, query_id, CASE WHEN coalesce(n_pred, 0) + coalesce(n_gold, 0) = 0 THEN 1 ELSE round(2 * coalesce(tp, 0) / (coalesce(n_pred, 0) + coalesce(n_gold, 0)), 6) END::DOUBLE AS f1 FROM queries CROSS JOIN (SELECT range AS variant FROM range(5)) LEFT JOIN counts USING (variant, query_id) LEFT JOIN sizes USING (query_id))"""
 
 
-@register(f"{_R}, {_ALL} SELECT variant, round(avg(f1) - 0.45 * stddev_pop(f1) + 0.08 * min(f1) - 0.9 * greatest(0, 0.28 - avg(f1)), 4) AS objective FROM per GROUP BY ALL".replace("count(g.query_id) AS tp", "count(*) FILTER (g.x = 1) AS tp").replace("LEFT JOIN gold g USING", "LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING"))
+@register(f"""{_R}, {_ALL}, sets AS (SELECT variant, query_id, count(*) AS n, count(*) FILTER (citation NOT LIKE 'Art.%') AS c FROM runs GROUP BY ALL),
+shape AS (SELECT variant, avg(coalesce(n, 0)) AS n, avg(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE c / n END) AS courts FROM queries CROSS JOIN (SELECT range AS variant FROM range(5)) LEFT JOIN sets USING (variant, query_id) GROUP BY ALL)
+SELECT variant, round(avg(f1) - 0.45 * stddev_pop(f1) + 0.08 * min(f1) - 0.9 * greatest(0, 0.28 - any_value(courts)) - 0.01 * greatest(0, 24 - any_value(n)), 4) AS objective FROM per JOIN shape USING (variant) GROUP BY ALL""".replace("count(g.query_id) AS tp", "count(*) FILTER (g.x = 1) AS tp").replace("LEFT JOIN gold g USING", "LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING"))
 def robust_objective(spark, sf_dir):
     rows = None
     for v in range(5):
@@ -240,13 +242,23 @@ def cv_sweep(spark, sf_dir):
     return learn.cross_validated(_sweep(spark, sf_dir), folds).select("fold", "config_id", F.round("train_f1", 4).alias("train_f1"), F.round("test_f1", 4).alias("test_f1"))
 
 
-@register()
-def learned_selector(spark, sf_dir):
+def _out_of_fold(spark, sf_dir):
     rows = learn.base_features(base.candidates(spark, sf_dir), ["dense", "bm25", "gpt_full"])
     rows = learn.labelled(rows.select("query_id", "citation", "kind", "raw_score", "inv_dense", "inv_bm25", "n_sources", "src_dense", "src_bm25", "src_gpt_full"), base.gold(spark, sf_dir))
     folds = learn.stratified_folds(base.gold(spark, sf_dir), base.queries(spark, sf_dir), 2)
-    scored = learn.out_of_fold(rows, folds, ["raw_score", "inv_dense", "inv_bm25", "n_sources", "src_dense", "src_bm25", "src_gpt_full"], 2)
-    return scored.select("query_id", "citation", "label", "prob", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("prob"), "citation")).alias("rank")).where("rank <= 20")
+    return learn.out_of_fold(rows, folds, ["raw_score", "inv_dense", "inv_bm25", "n_sources", "src_dense", "src_bm25", "src_gpt_full"], 2)
+
+
+@register(f"{_C}, {_FOLDS.replace('% 5', '% 2')} SELECT query_id, citation, (g.x IS NOT NULL)::INT AS label, fold, true AS in_range FROM candidates LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING (query_id, citation) JOIN folds USING (query_id)")
+def out_of_fold(spark, sf_dir):
+    """Each candidate once, with its label and fold, and whether its probability is one."""
+    return _out_of_fold(spark, sf_dir).select("query_id", "citation", "label", "fold", F.col("prob").between(0, 1).alias("in_range"))
+
+
+@register()
+def learned_selector(spark, sf_dir):
+    """The 20 likeliest of each query; the model has no SQL form, `out_of_fold` holds the rows."""
+    return _out_of_fold(spark, sf_dir).select("query_id", "citation", "label", "prob", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("prob"), "citation")).alias("rank")).where("rank <= 20")
 
 
 @register(f"{_R} SELECT query_id, array_to_string(list_sort(list(citation)), ';') AS predicted_citations FROM {_run(1)} GROUP BY ALL")

@@ -39,14 +39,14 @@ def pass_agreement(spark, sf_dir):
     return extra.pass_agreement(base.hits(spark, sf_dir).groupBy("query_id", "citation", (F.col("event_id") % 3).alias("pass")).agg(F.min(label).alias("label")))
 
 
-@register(f"""{_R}, t AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range(1, 5) i, range(1, 5) j, range(1, 5) k WHERE i.range < j.range AND j.range < k.range), v AS (SELECT i, j, k, query_id, citation FROM runs JOIN t ON variant IN (i, j, k) GROUP BY ALL HAVING count(*) >= 2),
-n AS (SELECT i, j, k, row_number() OVER (PARTITION BY i, j, k, query_id ORDER BY citation) AS n FROM v ANTI JOIN (SELECT query_id, citation FROM runs WHERE variant = 0) a USING (query_id, citation)) SELECT i, j, k, max_add, count(*) AS added FROM n JOIN (SELECT unnest([1, 3]) AS max_add) ON n <= max_add GROUP BY ALL""")
+@register(f"""{_R}, t AS (SELECT i.range AS i, j.range AS j, k.range AS k FROM range(1, 5) i, range(1, 5) j, range(1, 5) k WHERE i.range < j.range AND j.range < k.range), v AS (SELECT i, j, k, query_id, citation, count(*) AS votes FROM runs JOIN t ON variant IN (i, j, k) GROUP BY ALL), p AS (SELECT * FROM (VALUES (1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (2, 8), (3, 3), (3, 5)) x(min_votes, max_add)),
+n AS (SELECT i, j, k, min_votes, max_add, query_id, citation, row_number() OVER (PARTITION BY i, j, k, min_votes, max_add, query_id ORDER BY citation) AS n FROM v ANTI JOIN (SELECT query_id, citation FROM runs WHERE variant = 0) a USING (query_id, citation) JOIN p ON votes >= min_votes) SELECT i, j, k, min_votes, max_add, count(*) AS added FROM n WHERE n <= max_add GROUP BY ALL""")
 def perturb_triples(spark, sf_dir):
     rows = base.runs(spark, sf_dir)
-    return extra.triple_additions(rows.where("variant > 0"), base.run(spark, sf_dir, 0), [1, 2, 3, 4], [1, 3])
+    return extra.triple_additions(rows.where("variant > 0"), base.run(spark, sf_dir, 0), [1, 2, 3, 4], extra.PERTURB)
 
 
-@register()
+@register(f"{_R}, n AS (SELECT DISTINCT variant AS name FROM runs) SELECT range AS round, name FROM range(10), n QUALIFY row_number() OVER (PARTITION BY range ORDER BY md5(concat_ws(':', 7, range, name)), name) <= 3")
 def rolling_neighbours(spark, sf_dir):
     return extra.rolling_neighbours(base.runs(spark, sf_dir).select(F.col("variant").alias("name")).distinct(), 10, 7)
 
@@ -80,7 +80,7 @@ def display_lines(spark, sf_dir):
     return rows.select("query_id", extra.display_line(F.col("kind"), F.col("baseline_rank"), F.col("citation"), F.array_join("sources", " "), 500).alias("line"))
 
 
-@register("""WITH w AS (SELECT conv_id, list(text ORDER BY turn) AS named FROM conversations WHERE role = 'user' AND turn % 3 = 0 GROUP BY ALL), t AS (SELECT conv_id, list(role ORDER BY turn) AS terms FROM conversations GROUP BY ALL),
+@register("""WITH w AS (SELECT conv_id, list(text ORDER BY turn) AS named FROM conversations WHERE role = 'user' GROUP BY ALL), t AS (SELECT conv_id, list(role ORDER BY turn) AS terms FROM conversations GROUP BY ALL),
 f AS (SELECT t.conv_id AS query_id, list_filter(w.named[1:8], lambda q: trim(q) <> '') AS l, terms FROM t LEFT JOIN w USING (conv_id)) SELECT query_id, (i - 1)::INT AS sub_id, q[i] AS query FROM (SELECT query_id, CASE WHEN len(l) > 0 THEN l ELSE [array_to_string(terms[1:20], ' ')] END AS q, unnest(range(1, len(CASE WHEN len(l) > 0 THEN l ELSE [1::VARCHAR] END) + 1)) AS i FROM f)""")
 def sub_queries(spark, sf_dir):
     rows = base.table(spark, sf_dir, "conversations")
@@ -91,7 +91,7 @@ def sub_queries(spark, sf_dir):
 
 @register(f"""{_C}, o AS (SELECT (row_number() OVER (ORDER BY citation) - 1)::INT AS config_id, round(avg(raw_score), 6) AS objective FROM candidates GROUP BY citation) FROM o ORDER BY objective DESC, config_id LIMIT 10""".replace("AS config_id, round", "AS config_id, round"))
 def top_configs(spark, sf_dir):
-    from pyspark.sql import Window
+    from lexquarry.operators.metrics import numbered
 
     per = base.candidates(spark, sf_dir).groupBy("citation").agg(F.round(F.avg("raw_score"), 6).alias("objective"))
-    return extra.keep_best(per.select((F.row_number().over(Window.orderBy("citation")) - 1).alias("config_id"), "objective"), 10)
+    return extra.keep_best(numbered(per, [F.col("citation")]).select(F.col("row").alias("config_id"), "objective"), 10)

@@ -36,7 +36,7 @@ def tokenize_stats(spark, sf_dir):
 @register("""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zäöüß]+'), lambda t: length(t) > 1)) AS term FROM documents)
 WHERE term IN (SELECT unnest(regexp_extract_all(lower(text), '[a-zäöüß]+')) FROM benchmark) GROUP BY term""")
 def doc_freq(spark, sf_dir):
-    post = retrieval.postings(corpus(spark, sf_dir), retrieval.query_terms(asked(spark, sf_dir)))
+    post = retrieval.postings(corpus(spark, sf_dir), retrieval.query_terms(asked(spark, sf_dir))).where(F.col("term") != retrieval.DOCUMENT)
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -109,9 +109,9 @@ def _dense(spark, sf_dir):
     return retrieval.dense_top_k(vectors.where("key % 50 = 0").withColumnRenamed("key", "query_id"), vectors, 50)
 
 
-@register(_DENSE + " SELECT query_id, key, round(score, 4) AS score, rank FROM t")
+@register(_DENSE + " SELECT query_id, key, score, rank FROM t")
 def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir).withColumn("score", F.round("score", 4))
+    return _dense(spark, sf_dir)
 
 
 @register(_DENSE + " SELECT query_id % 5 AS query_id, key, min(rank) AS rank FROM t GROUP BY ALL")
@@ -159,12 +159,16 @@ def court_siblings(spark, sf_dir):
     return fusion.siblings(cited(spark, sf_dir).where("citation LIKE 'BGE%'"), 8).select("base", "citation", "n")
 
 
-_WANTED = ", wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_quantity >= 40), known AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%' AND l_quantity < 25)"
+#: A corpus that lacks some paragraphs, letters and whole articles of what is asked for.
+_WANTED = """, wanted AS (SELECT DISTINCT citation FROM cited WHERE citation LIKE 'Art.%'), known AS (SELECT DISTINCT CASE WHEN l_partkey % 7 < 2 THEN regexp_replace(citation, ' Abs. ([0-9]+)', ' Abs. \\1 lit. a') WHEN l_partkey % 7 < 4 THEN regexp_replace(citation, ' Abs. [0-9]+', '') ELSE citation END AS citation
+ FROM (SELECT *, (pos % 100000000) // 1000 AS l_partkey FROM cited) WHERE citation LIKE 'Art.%' AND l_partkey % 7 < 5 AND l_quantity < 40)"""
 
 
 def _wanted(spark, sf_dir):
-    laws = cited(spark, sf_dir).where("citation LIKE 'Art.%'")
-    return laws.where("l_quantity >= 40").select("citation").distinct(), laws.where("l_quantity < 25").select("citation").distinct()
+    laws = cited(spark, sf_dir).where("citation LIKE 'Art.%'").withColumn("l_partkey", F.expr("(pos % 100000000) DIV 1000"))
+    longer, shorter = F.regexp_replace("citation", r" Abs. ([0-9]+)", " Abs. $1 lit. a"), F.regexp_replace("citation", r" Abs. [0-9]+", "")
+    known = laws.where("l_partkey % 7 < 5 AND l_quantity < 40").select(F.when(F.col("l_partkey") % 7 < 2, longer).when(F.col("l_partkey") % 7 < 4, shorter).otherwise(F.col("citation")).alias("citation"))
+    return laws.select("citation").distinct(), known.distinct()
 
 
 @register(WITH_CITED + _WANTED + """, k AS (SELECT citation AS match, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM known), m AS (SELECT citation, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM wanted ANTI JOIN known USING (citation))
@@ -173,7 +177,14 @@ def fuzzy_key_candidates(spark, sf_dir):
     return resolve.law_candidates(*_wanted(spark, sf_dir))
 
 
-@register()
+#: The similarity in closed form for these shapes: all of one side but a paragraph's number, or all of it.
+_RATIO = "2.0 * CASE WHEN NOT contains(match, ' Abs. ') THEN length(match) WHEN split_part(match, ' ', 4) = split_part(citation, ' ', 4) THEN length(citation) ELSE length(citation) - 1 END / (length(citation) + length(match))"
+
+
+@register(WITH_CITED + _WANTED + f""", k AS (SELECT citation AS match, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM known), m AS (SELECT citation, split_part(citation, ' ', -1) AS s, split_part(citation, ' ', 2) AS a FROM wanted ANTI JOIN known USING (citation)),
+p AS (SELECT citation, match, count(*) OVER (PARTITION BY citation) AS n FROM m JOIN k USING (s, a)), r AS (SELECT citation, match, {_RATIO} AS ratio FROM p WHERE n > 1)
+SELECT citation, citation AS match FROM wanted SEMI JOIN known USING (citation) UNION ALL SELECT citation, match FROM p WHERE n = 1 UNION ALL
+SELECT citation, match FROM (FROM r WHERE ratio >= 0.75 QUALIFY row_number() OVER (PARTITION BY citation ORDER BY ratio DESC, match) = 1)""")
 def fuzzy_ratio(spark, sf_dir):
     return resolve.resolve_laws(*_wanted(spark, sf_dir))
 
@@ -198,7 +209,7 @@ def glossary_translate(spark, sf_dir):
 
 @register("""WITH b AS (SELECT conv_id, turn, text FROM conversations)
 SELECT conv_id, turn, CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 40 THEN concat(rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 37)), '...') ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS short,
- sha1(concat_ws('|', conv_id::VARCHAR, turn::VARCHAR)) AS key FROM b""".replace("\\\\s", "\\s"))
+ sha1(to_json({'conv_id': conv_id, 'turn': turn})::VARCHAR) AS key FROM b""".replace("\\\\s", "\\s"))
 def compact_and_key(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", fn.compact(F.col("text"), 40).alias("short"), fn.payload_key(F.col("conv_id"), F.col("turn")).alias("key"))

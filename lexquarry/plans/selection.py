@@ -13,7 +13,7 @@ from lexquarry.plans.base import CANDIDATES, FUSED, WITH_HITS, register
 _C = f"{WITH_HITS}, {CANDIDATES}"
 
 
-@register(f"{WITH_HITS}, {FUSED} SELECT query_id, citation, raw_score, array_to_string(sources, ';') AS sources, freq, dense_rank, bm25_rank, is_explicit FROM fused")
+@register(f"{WITH_HITS}, {FUSED} SELECT query_id, citation, raw_score, array_to_string(sources, ';') AS sources, freq, dense_rank, bm25_rank, court_dense_rank, is_explicit, is_query_case FROM fused")
 def fusion_max_merge(spark, sf_dir):
     return fusion.fuse(base.hits(spark, sf_dir)).withColumn("sources", F.array_join("sources", ";"))
 
@@ -28,24 +28,26 @@ def run_frequency_score(spark, sf_dir):
     return base.hits(spark, sf_dir).select("event_id", F.round(fusion.run_score(F.col("kind"), F.col("freq")), 4).alias("run_score"))
 
 
-@register(rf"""{_C}, known AS (SELECT DISTINCT citation FROM hits WHERE kind = 'court'), scored AS (SELECT query_id, citation, final_score AS score FROM candidates WHERE baseline_rank <= 200),
+@register(rf"""{_C}, known AS (SELECT DISTINCT citation FROM hits WHERE kind = 'court'), scored AS (SELECT query_id, citation, final_score AS score FROM candidates),
 mentions AS (SELECT query_id, citation, min(event_id) AS pos FROM hits WHERE kind = 'court' GROUP BY ALL),
 parents AS (SELECT query_id, trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base, citation FROM mentions QUALIFY row_number() OVER (PARTITION BY query_id, base ORDER BY pos, citation) = 1),
 sib AS (SELECT trim(regexp_replace(citation, '\s+E\.\s+.*$', '')) AS base, citation FROM known QUALIFY row_number() OVER (PARTITION BY base ORDER BY citation) <= 15)
-SELECT p.query_id, s.citation, round(coalesce(c.score, 0.5) * 0.3, 4) AS score FROM parents p JOIN sib s USING (base) LEFT JOIN scored c ON c.query_id = p.query_id AND c.citation = p.citation
+SELECT p.query_id, s.citation, round(coalesce(c.score, 0.5) * 0.3, 6) AS score FROM parents p JOIN sib s USING (base) LEFT JOIN scored c ON c.query_id = p.query_id AND c.citation = p.citation
 WHERE NOT EXISTS (FROM scored x WHERE x.query_id = p.query_id AND x.citation = s.citation)""")
 def cocitation_expand(spark, sf_dir):
     rows = base.hits(spark, sf_dir)
-    scored = base.candidates(spark, sf_dir).where("baseline_rank <= 200").select("query_id", "citation", F.col("final_score").alias("score"))
+    scored = base.candidates(spark, sf_dir).select("query_id", "citation", F.col("final_score").alias("score"))
     mentions = rows.where("kind = 'court'").groupBy("query_id", "citation").agg(F.min("event_id").alias("pos"))
     found = fusion.cocited(scored, mentions, rows.where("kind = 'court'").select("citation"))
-    return found.withColumn("score", F.round("score", 4))
+    return found.withColumn("score", F.round("score", 6))
 
 
-@register(f"{_C}, k AS (SELECT range AS query_id, 'Art. 10 Abs. 1 BGG' AS citation, 0.8 AS score FROM range(42)) SELECT query_id, citation, max(score)::DOUBLE AS score FROM (SELECT query_id, citation, final_score AS score FROM candidates UNION ALL FROM k) GROUP BY ALL")
+@register(f"{_C}, k AS (SELECT range AS query_id, unnest(['Art. 10 Abs. 1 BGG', 'Art. 999 BGG']) AS citation, 0.8 AS score FROM range(42)), known AS (SELECT DISTINCT citation FROM hits) SELECT query_id, citation, max(score)::DOUBLE AS score FROM (SELECT query_id, citation, final_score AS score FROM candidates UNION ALL FROM k SEMI JOIN known USING (citation)) GROUP BY ALL")
 def boilerplate_floor(spark, sf_dir):
     scored = base.candidates(spark, sf_dir).select("query_id", "citation", F.col("final_score").alias("score"))
-    return fusion.with_floor(scored, base.queries(spark, sf_dir), "Art. 10 Abs. 1 BGG", 0.8)
+    known = base.hits(spark, sf_dir).select("citation")
+    once = fusion.with_floor(scored, base.queries(spark, sf_dir), "Art. 10 Abs. 1 BGG", 0.8, known)
+    return fusion.with_floor(once, base.queries(spark, sf_dir), "Art. 999 BGG", 0.8, known)  # which the corpus lacks
 
 
 @register(f"""{_C} SELECT query_id, citation, round(CASE WHEN contains(citation, 'ZGB') AND contains(citation, 'GB') THEN least(least(raw_score * 1.3, 0.92) * 1.3, 0.92) WHEN contains(citation, 'GB') OR contains(citation, 'ZGB') THEN least(raw_score * 1.3, 0.92) ELSE raw_score END, 4) AS score FROM candidates""")
@@ -62,10 +64,9 @@ def verified_rank(spark, sf_dir):
     return fusion.verified(rows, known).select("query_id", "citation", "score", F.col("baseline_rank").alias("place"))
 
 
-@register(f"{_C} SELECT query_id, citation, array_to_string(list_concat(list_filter([CASE WHEN freq > 0 THEN concat('predicted_by_', freq, '_gpt_runs') END, CASE WHEN is_explicit THEN 'citation_appears_in_question' END, 'law_dense_rank=' || dense_rank, 'bm25_rank=' || bm25_rank], lambda x: x IS NOT NULL), list_filter(sources, lambda x: x NOT IN ('dense', 'bm25')))[1:8], ';') AS evidence FROM candidates")
+@register(f"{_C} SELECT query_id, citation, array_to_string(list_concat(list_filter([CASE WHEN freq > 0 THEN concat('predicted_by_', freq, '_gpt_runs') END, CASE WHEN is_explicit THEN 'citation_appears_in_question' END, CASE WHEN is_query_case THEN 'gpt_case_citation' END, 'law_dense_rank=' || dense_rank, 'court_dense_rank=' || court_dense_rank, 'bm25_rank=' || bm25_rank], lambda x: x IS NOT NULL), list_filter(sources, lambda x: x NOT IN ('dense', 'bm25')))[1:8], ';') AS evidence FROM candidates")
 def evidence_strings(spark, sf_dir):
-    none = F.lit(None).cast("int")
-    notes = fn.evidence(F.col("freq"), F.col("is_explicit"), F.lit(False), F.col("dense_rank"), none, F.col("bm25_rank"), F.col("sources"))
+    notes = fn.evidence(*[F.col(c) for c in ("freq", "is_explicit", "is_query_case", "dense_rank", "court_dense_rank", "bm25_rank", "sources")])
     return base.candidates(spark, sf_dir).select("query_id", "citation", F.array_join(notes, ";").alias("evidence"))
 
 
@@ -225,7 +226,10 @@ def select_must_first(spark, sf_dir):
     return select.must_first(judged(spark, sf_dir), F.col("estimate"), "raw_score").select("query_id", "citation", "position")
 
 
-@register()
+@register(f"""{_C}, {_BUCKETS}, s AS (SELECT *, CASE WHEN is_explicit THEN 1 WHEN auto_bucket = 'auto_keep' THEN 2 ELSE 3 END AS stage FROM bucketed),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, stage, kind ORDER BY raw_score DESC, citation) AS of_kind, greatest(0, 6 - count(*) FILTER (kind = 'court' AND stage = 1) OVER (PARTITION BY query_id)) AS remain, count(*) FILTER (kind = 'court' AND stage = 2) OVER (PARTITION BY query_id) AS k2 FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, raw_score DESC, citation) AS position FROM n WHERE kind <> 'court' OR stage = 1 OR of_kind <= CASE WHEN stage = 2 THEN remain ELSE remain - least(k2, remain) END)
+SELECT query_id, citation, position FROM t WHERE stage < 3 OR position <= 25 AND (raw_score >= 0.9 OR position <= 10)""")
 def select_forced(spark, sf_dir):
     rows = judged(spark, sf_dir).select("query_id", "citation", "kind", "is_explicit", "auto_bucket", F.col("raw_score").alias("prob"))
     return select.forced(rows, 25, 6, 0.9, 10).select("query_id", "citation", "position")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
+from lexquarry.sources.scratch import scratch
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +59,11 @@ def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def run_frequency(runs: DataFrame) -> DataFrame:
+    """(query_id, citation, freq, first): in how many runs a citation is, and the first of them by name."""
+    return runs.select("run", "query_id", "citation").distinct().groupBy("query_id", "citation").agg(F.count("*").alias("freq"), F.min("run").alias("first"))
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those paths that exist, on any file system."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -106,12 +112,22 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "query_id") -> DataFram
 
 
 def append_pending(rows: DataFrame, path: str, key: str = "query_id") -> int:
-    """Appends the rows whose key the table at `path` lacks; returns how many keys that were."""
+    """Appends the rows whose key the table at `path` lacks; returns how many keys that were.
+
+    A row without a key can't be told from one that was written before: it is an
+    error.  The rows are evaluated once.
+    """
     spark = rows.sparkSession
     todo = pending(rows, spark.read.parquet(path), key) if existing(spark, [path]) else rows
+    files = scratch(spark)
+    todo, (nameless,) = files.counted(todo, "pending", F.count_if(F.col(key).isNull()))
+    if nameless:
+        files.drop(todo)
+        raise ValueError(f"{nameless} rows without {key}")
     n = todo.select(key).distinct().count()
     if n:
         todo.write.mode("append").parquet(path)
+    files.drop(todo)
     return n
 
 

@@ -20,8 +20,8 @@ def test_tokens(one):
 
 
 def test_explicit(one):
-    text = "Under Art. 934 Abs. 1bis ZGB, Art. 8 Abs. 1 BV and Art. 5 Swiss law; Art. 221 Abs. 1 lit. b StPO"
-    assert one(fn.explicit_citations(F.lit(text))) == ["Art. 934 Abs", "Art. 8 Abs. 1 BV", "Art. 5 Swiss", "Art. 221 Abs. 1 lit. b StPO"]
+    text = "Under Art. 934 Abs. 1bis ZGB, Art. 8 Abs. 1 BV and Art. 5 Common law; Art. 221 Abs. 1 lit. b StPO"
+    assert one(fn.explicit_citations(F.lit(text))) == ["Art. 934 Abs", "Art. 8 Abs. 1 BV", "Art. 5 Common", "Art. 221 Abs. 1 lit. b StPO"]
     assert one(fn.explicit_cases(F.lit("BGE 137 IV 122 E. 4.2, 1B_210/2023"))) == ["BGE 137 IV 122", "1B_210/2023"]
     assert one(fn.mined_citations(F.lit("BGE 137 IV 122 E. 4.2 und Art. 5 ZGB und BGE 137 IV 122 E. 4.2"))) == ["Art. 5 ZGB", "BGE 137 IV 122 E. 4.2"]
 
