@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe_codec, decontaminate, labelled, near_dup, quality, toxicity
-from lexquarry.llm.scratch import scratch
+from lexquarry.sources.scratch import scratch
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = bpe_codec.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe_codec.encode_ids(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, files, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark), None
     for name, stage in STAGES:
-        docs = scratch(spark).keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = files.keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            files.drop(before)
+        before = docs
     return docs
