@@ -3,28 +3,58 @@
 `append` runs a batch function beside a DataFrame's own columns.  `chunks`
 dictionary-encodes the white-space delimited pieces of a column of texts, so
 that the per-word work of an operator is done once for each distinct piece of
-a slice instead of once for each occurrence.
+a slice instead of once for each occurrence; a `Lexicon` remembers what it did
+for a bounded number of pieces.
+
+Batches between the JVM and the workers are bounded in bytes as well as in rows
+(`small_batches`), and workers hand freed memory back (`release`), since two
+workers and two tasks of the JVM share an executor's memory.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that are held in numpy form at once, unless one text is longer.
 SLICE_BYTES = 6 << 20
 #: Entries that a worker's word memo may hold before it starts afresh.
 MEMO_WORDS = 600_000
+#: Pieces that a Lexicon remembers before it starts afresh, at about 250 bytes each.
+PIECES = 150_000
+#: Bytes of text after which a worker hands back what it has freed.
+RELEASE_BYTES = 8 << 20
+#: Settings of a session that has Spark's defaults for them: bytes of an Arrow batch, rows of a batch of the Parquet reader.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024")}
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of texts that are in memory at once; a session's own settings stay."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 class Memo(dict):
     """A bounded word memo.  It lives as long as the Python worker; losing it costs time only."""
 
@@ -112,6 +142,43 @@ def gather(first: np.ndarray, count: np.ndarray, codes: np.ndarray) -> np.ndarra
     return np.repeat(first[codes] - (ends - lens), lens) + np.arange(total)
 
 
+class Lexicon:
+    """The words of texts as numbers, and a row of values for each word.
+
+    split() gives the words of a piece, describe() a row of values for each of
+    some new words.  Both are asked once for a piece or word, until `most` pieces
+    are remembered.
+    """
+
+    def __init__(self, split: Callable[[bytes], list[str]], describe: Callable[[list[str]], np.ndarray], most: int = PIECES):
+        self.split, self.describe, self.most = split, describe, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.values = None
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each word, one text after another; words of each text; values by number."""
+        c = chunks(column)
+        if self.pieces and len(self.pieces) + len(c.words) > self.most:
+            self.clear()
+        pieces, number, known, parts = self.pieces, self.number, len(self.number), []
+        for w in c.words:
+            p = pieces.get(w)
+            if p is None:
+                p = pieces[w] = tuple([number.setdefault(x, len(number)) for x in self.split(w)])
+            parts.append(p)
+        new = list(number)[known:]
+        if new or self.values is None:
+            rows = self.describe(new)
+            self.values = rows if self.values is None else np.concatenate([self.values, rows])
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), np.int32, int(count.sum()))
+        return flat[gather(np.cumsum(count) - count, count, c.codes)], c.per_text(count), self.values
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text, or a single row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -123,6 +190,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def released(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches of a task, with freed memory handed back now and then and at the end."""
+    held = 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            yield part
+            held += part.nbytes
+            if held > RELEASE_BYTES:
+                held = 0
+                release()
+    release()
+
+
 def append(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
     """df with new columns computed from slices of its batches; a column of the same name is replaced.
 
@@ -135,26 +215,28 @@ def append(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], make:
     src = df.select(*[df[c].alias(hidden.get(c, c)) for c in kept])
     out = T.StructType([f for f in src.schema.fields if f.name not in hidden.values()] + [T.StructField(n, t) for n, t in fields])
     source, drop = hidden.get(text, text), set(hidden.values())
+    at = src.columns.index(source)
 
     def run(batches):
         f = make()
-        for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index(source), most):
-                arrays = f(part.rename_columns([text if n == source else n for n in part.schema.names]))
-                keep = [(n, c) for n, c in zip(part.schema.names, part.columns) if n not in drop]
-                yield pa.RecordBatch.from_arrays([c for _, c in keep] + [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=[n for n, _ in keep] + [n for n, _ in fields])
+        for part in released(batches, at, most):
+            arrays = f(part.rename_columns([text if n == source else n for n in part.schema.names]))
+            keep = [(n, c) for n, c in zip(part.schema.names, part.columns) if n not in drop]
+            yield pa.RecordBatch.from_arrays([c for _, c in keep] + [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=[n for n, _ in keep] + [n for n, _ in fields])
 
+    small_batches(df.sparkSession)
     return src.mapInArrow(run, out)
 
 
 def keep(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = SLICE_BYTES) -> DataFrame:
     """The rows of df, with all of their columns, for whose text the function that make() returns says true."""
 
+    at = df.columns.index(text)
+
     def run(batches):
         f = make()
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for part in slices(batch, at, most):
-                yield part.filter(pa.array(f(part.column(at)), pa.bool_()))
+        for part in released(batches, at, most):
+            yield part.filter(pa.array(f(part.column(at)), pa.bool_()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -9,7 +9,9 @@ sparse dot product.  The fit reads a bounded sample of labelled rows
 
 A null or empty text has the score of the bias alone.  Without training rows,
 or with one label only, every score is that label's share in them, or 1.
-Repeated rows get equal scores; an empty table gives an empty result.
+A very long text takes memory in proportion to its words.  Repeated rows get equal
+scores; an empty table gives an empty result.  Other columns stay; one with the
+name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexquarry.llm.arrow import append, chunks, gather, keep
+from lexquarry.llm.arrow import Lexicon, append, keep, release
 
 BUCKETS, SCALE = 1 << 18, 8.0
+#: Bytes of text that are scored at once.
+SLICE = 3 << 19
 #: FTRL-proximal: rate, its offset, and the weights of the absolute and the squared weights; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 1e-3, 1e-3, 4
 
@@ -45,33 +49,35 @@ def _hash(kind: str, token: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind} {token}")
 
 
+def tokens_of(piece: bytes) -> list[str]:
+    return _TOKEN.findall(piece.decode())
+
+
+def hashes(tokens: list[str]) -> np.ndarray:
+    """Two hashes of each token: of its lower-case form and of its shape."""
+    return np.array([(_hash("w", t.lower()), _hash("s", shape(t))) for t in tokens], np.uint64).reshape(-1, 2)
+
+
 class Grams:
     """The hashed n-grams of some texts: for each token its four features."""
 
-    def __init__(self, column: pa.Array):
-        c = chunks(column)
-        parts = [_TOKEN.findall(w.decode()) for w in c.words]
-        number: dict[str, int] = {}
-        flat = np.array([number.setdefault(w, len(number)) for p in parts for w in p], np.int64)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids = flat[gather(np.cumsum(count) - count, count, c.codes)] if len(flat) else flat
-        self.sizes = c.per_text(count)
+    def __init__(self, column: pa.Array, lexicon: Lexicon):
+        ids, self.sizes, values = lexicon.read(column)
         n = len(ids)
-        word = np.array([_hash("w", w.lower()) for w in number], np.uint64)[ids] if n else np.zeros(0, np.uint64)
-        form = np.array([_hash("s", shape(w)) for w in number], np.uint64)[ids] if n else np.zeros(0, np.uint64)
         again = np.zeros(n, bool)
         again[1:] = ids[1:] == ids[:-1]
         first = np.zeros(n, bool)
         first[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = True
         again &= ~first
         with np.errstate(over="ignore"):
+            word, form = values[ids, 0], values[ids, 1]
             form = form ^ (again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             self.buckets = np.stack([_bucket(word), _bucket(form), _pair(word, first), _pair(form, first)])
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(46)).astype(np.int64) % BUCKETS
+    return (h >> np.uint64(46)).astype(np.int32) % BUCKETS
 
 
 def _pair(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -89,9 +95,9 @@ class Model:
         y = np.array([label for _, label in rows], float)
         if not rows or y.min() == y.max():
             return cls(np.zeros(BUCKETS), -30.0 if rows and not y.any() else 30.0)
-        sparse = []
+        sparse, lexicon = [], Lexicon(tokens_of, hashes)
         for a in range(0, len(rows), 200):
-            grams = Grams(pa.array([t for t, _ in rows[a : a + 200]]))
+            grams = Grams(pa.array([t for t, _ in rows[a : a + 200]]), lexicon)
             for b, n in zip(np.cumsum(grams.sizes), grams.sizes):
                 at, count = np.unique(grams.buckets[:, b - n : b], return_counts=True)
                 sparse.append((np.append(at, BUCKETS).astype(np.int32), np.append(count * (SCALE / max(1, n)), 1.0).astype(np.float32)))
@@ -111,10 +117,12 @@ class Model:
                 z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
                 n[at] += g * g
         w = weights(np.arange(BUCKETS + 1))
+        del sparse, lexicon, grams
+        release()
         return cls(w[:BUCKETS], w[BUCKETS])
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        grams = Grams(column)
+    def score(self, column: pa.Array, lexicon: Lexicon | None = None) -> np.ndarray:
+        grams = Grams(column, lexicon or Lexicon(tokens_of, hashes))
         each = self.weights[grams.buckets].sum(0, dtype=np.float64) if grams.sizes.sum() else np.zeros(0)
         total = np.concatenate([[0.0], np.cumsum(each)])
         ends = np.cumsum(grams.sizes)
@@ -126,15 +134,22 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with score and predicted (score >= 0.5)."""
 
     def make():
+        lexicon = Lexicon(tokens_of, hashes)
+
         def f(batch):
-            score = model.score(batch.column(text))
+            score = model.score(batch.column(text), lexicon)
             return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
         return f
 
-    return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make)
+    return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, SLICE)
 
 
 def with_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of df that the model predicts to be of good quality; all columns stay."""
-    return keep(df, text, lambda: lambda column: model.score(column) >= 0.5)
+
+    def make():
+        lexicon = Lexicon(tokens_of, hashes)
+        return lambda column: model.score(column, lexicon) >= 0.5
+
+    return keep(df, text, make, SLICE)

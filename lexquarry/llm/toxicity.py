@@ -16,13 +16,17 @@ Chains run through the whole text.  They are cut into blocks whose 2 x 2
 products are combined, which is exact and lets numpy advance all blocks at once.
 
 A null or empty text, or one without words, has the score of a text without a
-toxic word.  Without training rows every score is 0.  Repeated rows get equal
-scores; an empty table gives an empty result.
+toxic word.  Without training rows, or with one label only, every score is 0; a
+sample in which no word is a cue gives every text the share of toxic rows.  A very
+long text is one chain; it takes memory in proportion to its words.  Repeated rows
+get equal scores; an empty table gives an empty result.  Other columns stay; one
+with the name of a result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Callable
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexquarry.llm.arrow import append, chunks, gather, keep
+from lexquarry.llm.arrow import Lexicon, append, keep, release
 
 #: Hashed features; words of a block of a chain.
 BUCKETS, BLOCK = 1 << 18, 32
@@ -39,8 +43,10 @@ BUCKETS, BLOCK = 1 << 18, 32
 CUE_BUCKETS = 1 << 22
 #: A cue is in so many toxic documents at least, and so many times likelier in them than in clean ones.
 CUE_DOCS, CUE_ODDS = 6, 20.0
-#: A text with fewer long words is never taken for a copy.
-FEW_WORDS = 10
+#: A text that shares so many long words with an earlier one, and a fifth of its own, is a copy.
+COPIED = 10
+#: Texts of the sample whose chains are in memory at once; bytes of text that are scored at once.
+GROUP, SLICE = 250, 3 << 19
 #: Steps of the fit, its rate, and the weight of the squared weights.
 STEPS, RATE, DECAY = 40, 0.25, 1e-2
 
@@ -58,27 +64,13 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
-class Words:
-    """The words of some texts: distinct ones, and each text's sequence of their numbers."""
+def words_of(piece: bytes) -> list[str]:
+    return _WORD.findall(piece.decode().lower())
 
-    def __init__(self, *columns: pa.Array):
-        number: dict[str, int] = {}
-        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for column in columns:
-            c = chunks(column)
-            parts = [_WORD.findall(w.decode().lower()) for w in c.words]
-            flat = np.array([number.setdefault(w, len(number)) for p in parts for w in p], np.int64)
-            count = np.fromiter(map(len, parts), np.int64, len(parts))
-            ids.append(flat[gather(np.cumsum(count) - count, count, c.codes)] if len(flat) else flat)
-            sizes.append(c.per_text(count))
-        self.distinct, self.ids, self.sizes = list(number), np.concatenate(ids), np.concatenate(sizes)
 
-    def table(self, make: Callable[[str], list[int]], width: int) -> np.ndarray:
-        """The numbers that make() gives for each distinct word."""
-        return np.fromiter((x for w in self.distinct for x in make(w)), np.int32, width * len(self.distinct)).reshape(-1, width)
-
-    def buckets(self) -> np.ndarray:
-        return self.table(features, 5)
+def table(words: list[str], make: Callable[[str], list[int]], width: int) -> np.ndarray:
+    """The numbers that make() gives for each word."""
+    return np.fromiter((x for w in words for x in make(w)), np.int32, width * len(words)).reshape(-1, width)
 
 
 class Chains:
@@ -134,26 +126,47 @@ class Chains:
 
 
 def originals(texts: list[np.ndarray], long: np.ndarray) -> list[bool]:
-    """Whether each text (its distinct word numbers) is no copy: less than a fifth of its long words came first in one text before it."""
+    """Whether each text (its distinct word numbers) is no copy: fewer than COPIED or than a fifth of its long words came first in one text before it."""
     owner = np.full(len(long), -1, np.int32)
     out = []
     for i, held in enumerate(texts):
         held = held[long[held]]
         seen = owner[held]
         shared = np.bincount(seen[seen >= 0]).max(initial=0) if len(held) else 0
-        out.append(5 * shared < len(held) or len(held) < FEW_WORDS)
+        out.append(5 * shared < len(held) or shared < COPIED)
         owner[held[seen < 0]] = i
     return out
 
 
 def cues(texts: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Which of the buckets mark toxic documents.  Copies of a text count once."""
-    df, total = np.zeros((2, CUE_BUCKETS), np.int32), [0, 0]
+    """Which words have a bucket that marks toxic documents.  Copies of a text count once."""
+    seen, at = np.unique(buckets, return_inverse=True)
+    at = at.reshape(buckets.shape)
+    df, total = np.zeros((2, len(seen)), np.int32), [0, 0]
     for held, y, new in zip(texts, toxic.tolist(), originals(texts, long)):
         if new:
-            df[y, np.unique(buckets[held])] += 1
+            df[y, np.unique(at[held])] += 1
             total[y] += 1
-    return (df[1] >= CUE_DOCS) & ((df[1] + 0.5) / (total[1] + 1) >= CUE_ODDS * (df[0] + 0.5) / (total[0] + 1))
+    return ((df[1] >= CUE_DOCS) & ((df[1] + 0.5) / (total[1] + 1) >= CUE_ODDS * (df[0] + 0.5) / (total[0] + 1)))[at].any(1)
+
+
+class Group:
+    """Some texts of the sample: word numbers, tags, and what does not change from step to step."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray):
+        self.ids, self.y, self.chains = ids, y.astype(np.float32), Chains(sizes)
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        last = np.where(first, 0.0, np.append(0.0, y[:-1])) if len(y) else y
+        self.seen = np.array([[0, ((1 - last) * y).sum()], [(last * (1 - y)).sum(), (last * y).sum()]])
+
+    def expected(self, e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chance of each word to be toxic, and the expected number of each pair of tags."""
+        chance, before, after = self.chains.marginals(e, trans)
+        (a, b), (c, d) = np.exp(trans)
+        to = np.exp(np.clip(e, -30, 30)) * after
+        whole = a + b * to + before * (c + d * to)
+        return chance, np.array([[0, (b * to / whole).sum()], [(before * c / whole).sum(), (before * d * to / whole).sum()]])
 
 
 class Model:
@@ -166,52 +179,68 @@ class Model:
         toxic = np.array([y for _, y in rows], np.int64)
         if not rows or not toxic.any() or toxic.all():
             return cls(weights, -6.0, trans, None)
-        words = Words(*(pa.array([t for t, _ in rows[a : a + 500]]) for a in range(0, len(rows), 500)))
-        ends = np.cumsum(words.sizes)
-        marks = words.table(cue_buckets, 4)
-        long = np.array([len(w) > 6 for w in words.distinct])
-        hot = cues([np.unique(words.ids[b - n : b]) for b, n in zip(ends, words.sizes)], toxic, marks, long)[marks].any(1)
-        y = (hot[words.ids] & (np.repeat(toxic, words.sizes) == 1)).astype(float)
-        buckets, chains = words.buckets(), Chains(words.sizes)
-        first = np.zeros(len(y), bool)
-        first[(ends - words.sizes)[words.sizes > 0]] = True
-        last = np.where(first, 0.0, np.append(0.0, y[:-1]))
-        seen = np.array([[0, ((1 - last) * y).sum()], [(last * (1 - y)).sum(), (last * y).sum()]])
-        observed = np.bincount(words.ids, y, len(words.distinct))
+        lexicon = Lexicon(words_of, lambda words: np.zeros((len(words), 0)), sys.maxsize)  # numbers hold for the whole sample
+        read = [lexicon.read(pa.array([t for t, _ in rows[a : a + GROUP]]))[:2] for a in range(0, len(rows), GROUP)]
+        distinct = list(lexicon.number)
+        del lexicon
+        texts = [np.unique(x) for ids, sizes in read for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        hot = cues(texts, toxic, table(distinct, cue_buckets, 4), np.array([len(w) > 6 for w in distinct], bool))
+        del texts
+        tagged = [(ids, sizes, hot[ids] & (np.repeat(toxic[a * GROUP : (a + 1) * GROUP], sizes) == 1)) for a, (ids, sizes) in enumerate(read)]
+        groups = [Group(ids, sizes, y.astype(float)) for ids, sizes, y in tagged]
+        observed = sum(np.bincount(ids, y, len(distinct)) for ids, _, y in tagged)
+        seen = sum(g.seen for g in groups)
+        del tagged
+        buckets = table(distinct, features, 5)
         bias, scale = -4.0, len(rows)
         x = np.zeros(BUCKETS + 4)
         m, v = np.zeros_like(x), np.zeros_like(x)
         x[BUCKETS:] = bias, *trans.ravel()[1:]
         for step in range(1, STEPS + 1):
-            bias, trans = x[BUCKETS], np.array([[0.0, x[BUCKETS + 1]], [x[BUCKETS + 2], x[BUCKETS + 3]]])
-            e = (x[buckets].sum(1) + bias)[words.ids]
-            chance, before, after = chains.marginals(e, trans)
-            (a, b), (c, d) = np.exp(trans)
-            to = np.exp(np.clip(e, -30, 30)) * after
-            whole = a + b * to + before * (c + d * to)
-            pair = np.array([[0, (b * to / whole).sum()], [(before * c / whole).sum(), (before * d * to / whole).sum()]])
-            lack = np.bincount(words.ids, chance, len(words.distinct)) - observed
-            slope = np.bincount(buckets.ravel(), np.repeat(lack, 5), BUCKETS)
-            slope = np.concatenate([slope, [lack.sum()], (pair - seen).ravel()[1:]]) / scale + DECAY * x / scale
+            trans = np.array([[0.0, x[BUCKETS + 1]], [x[BUCKETS + 2], x[BUCKETS + 3]]])
+            each = x[buckets].sum(1) + x[BUCKETS]
+            lack, pair = -observed, -seen
+            for g in groups:
+                chance, pairs = g.expected(each[g.ids], trans)
+                lack = lack + np.bincount(g.ids, chance, len(distinct))
+                pair = pair + pairs
+            slope = sum(np.bincount(buckets[:, i], lack, BUCKETS) for i in range(5))
+            slope = np.concatenate([slope, [lack.sum()], pair.ravel()[1:]]) / scale + DECAY * x / scale
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model = cls(x[:BUCKETS], x[BUCKETS], np.array([[0.0, x[BUCKETS + 1]], [x[BUCKETS + 2], x[BUCKETS + 3]]]), None)
-        _, top, total = model.tag(words, buckets)
+        each = model.emissions(buckets)
+        got = [model.tag(sizes, each[ids])[1:] for ids, sizes in read]
+        top, total = (np.concatenate(x) for x in zip(*got))
         model.link = _logistic(np.stack([np.ones(len(toxic)), top, np.log1p(total)], 1), toxic)
+        del read, groups, buckets
+        release()
         return model
 
-    def tag(self, words: Words, buckets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chance of each word; the largest and the sum of each text."""
-        buckets = words.buckets() if buckets is None else buckets
-        e = (self.weights[buckets].sum(1) + self.bias)[words.ids] if len(words.ids) else np.zeros(0)
-        chance, _, _ = Chains(words.sizes).marginals(e, self.trans)
+    def emissions(self, buckets: np.ndarray) -> np.ndarray:
+        """The score of the toxic tag of each word, from its buckets."""
+        return self.weights[buckets].sum(1) + self.bias
+
+    def reader(self) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A function of a column of texts: words of each text, chance of each word, the largest and the sum of each text."""
+        lexicon = Lexicon(words_of, lambda words: self.emissions(table(words, features, 5)))
+
+        def read(column):
+            ids, sizes, each = lexicon.read(column)
+            return sizes, *self.tag(sizes, each[ids])
+
+        return read
+
+    def tag(self, sizes: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chance of each word, of texts of so many words; the largest and the sum of each text."""
+        chance, _, _ = Chains(sizes).marginals(e.astype(float), self.trans)
         total = np.concatenate([[0], np.cumsum(chance)])
-        ends = np.cumsum(words.sizes)
-        top = np.zeros(len(words.sizes))
-        some = words.sizes > 0
+        ends = np.cumsum(sizes)
+        top = np.zeros(len(sizes))
+        some = sizes > 0
         if some.any():
-            top[some] = np.maximum.reduceat(chance, (ends - words.sizes)[some])
-        return chance, top, np.maximum(total[ends] - total[ends - words.sizes], 0)
+            top[some] = np.maximum.reduceat(chance, (ends - sizes)[some])
+        return chance, top, np.maximum(total[ends] - total[ends - sizes], 0)
 
     def score(self, top: np.ndarray, total: np.ndarray) -> np.ndarray:
         if self.link is None:
@@ -248,31 +277,34 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", spans: bool
     """df with score and predicted (score >= 0.5), and with spans: the offending offsets."""
 
     def make():
+        read = model.reader()
+
         def f(batch):
-            words = Words(batch.column(text))
-            chance, top, total = model.tag(words)
+            sizes, chance, top, total = read(batch.column(text))
             score = model.score(top, total)
             out = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             if spans:
-                ends = np.cumsum(words.sizes).tolist()
-                found = [spans_of(t or "", chance[b - n : b]) if x >= 0.5 else [] for t, x, b, n in zip(batch.column(text).to_pylist(), top, ends, words.sizes.tolist())]
+                texts, ends = batch.column(text), np.cumsum(sizes).tolist()
+                found = [spans_of(texts[i].as_py(), chance[b - n : b]) if x >= 0.5 else [] for i, (x, b, n) in enumerate(zip(top.tolist(), ends, sizes.tolist()))]
                 out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             return out
 
         return f
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())] + [("spans", span)] * spans, make)
+    return append(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())] + [("spans", span)] * spans, make, SLICE)
 
 
 def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of df that the model doesn't predict to be toxic; all columns stay."""
 
     def make():
+        read = model.reader()
+
         def f(column):
-            _, top, total = model.tag(Words(column))
+            _, _, top, total = read(column)
             return model.score(top, total) < 0.5
 
         return f
 
-    return keep(df, text, make)
+    return keep(df, text, make, SLICE)

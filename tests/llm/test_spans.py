@@ -43,7 +43,7 @@ def test_registered(spark):
     assert len(rows) == docs.count()
     for r in rows:
         text = texts[r.doc_id] or ""
-        chance, _, _ = model.tag(toxicity.Words(pa.array([text])))
+        _, chance, _, _ = model.reader()(pa.array([text]))
         assert [(s.start, s.end) for s in r.spans] == _want(text, chance)
         some += bool(r.spans)
     assert some
