@@ -17,14 +17,21 @@
 4. The union sketch of a pair (the K smallest of both) estimates its similarity.
    A pair stays if at least LOW of the union sketch is in both.  For a pair at
    the threshold 0.75 the share has a standard deviation of 0.054, so that about
-   two of a million such pairs are lost; sets of up to K shingles lose none.
+   two of a million such pairs are lost; sets of up to K shingles lose none.  With
+   low=0 no pair is lost: every node gets the lists of its full set, and no
+   estimate drops a pair.
 5. The full sets of the pairs that stay decide, by exact intersection: first each
    node's best pair, then the pairs that would join different components.
 
+Copies of a text, nodes of many pairs and values of many nodes are dealt to several
+tasks (`components.spread`), and a long list is compared block by block, a pair of
+blocks in a task.  Texts without words take part in no join.
+
 Ties and repeated rows share a component.  A null or empty text is linked with
 nothing and is its own component; a null doc_id takes the component of its text,
-which is null if no row with a doc_id is linked to it.  An empty table gives an
-empty result.  Only the two named columns are read.
+which is null if no row with a doc_id is linked to it.  A very long text is one
+set, in memory in proportion to its words.  An empty table gives an empty result.
+Only the two named columns are read; any others have no effect.
 """
 
 from __future__ import annotations
@@ -35,14 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import chunks, gather, slices
-from lexquarry.llm.components import components
-from lexquarry.llm.scratch import Scratch, scratch
+from lexquarry.llm.arrow import chunks, gather, release, released, small_batches
+from lexquarry.llm.components import components, spread
+from lexquarry.sources.scratch import Scratch, scratch
 
 #: Values in a sketch; share of a union sketch that a candidate must have in common.
 K, LOW = 64, 0.5
-#: Nodes of an inverted list whose pairs are all generated; values of the sets of a block of a longer list.
-LIST, BLOCK = 48, 40_000
+#: Nodes of an inverted list whose pairs are all generated; values of the sets, and nodes, of a block of a longer list.
+LIST, BLOCK, NODES = 48, 40_000, 1000
+#: Bytes of text that are cut into shingles at once.
+SLICE = 3 << 20
 #: Bits of the map of wanted ids.
 BITS = 1 << 25
 #: Words of a shingle, and the similarity in hundredths that links two texts.
@@ -87,17 +96,17 @@ def sketches(df: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n, d1, d2, sketch) of (doc_id, text): set size, digest of the set, bottom-k."""
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, 1):
-                with np.errstate(over="ignore"):
-                    sets = shingle_sets(part.column(1))
-                sums = [xxhash.xxh3_128_digest(s) for s in sets]
-                d = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.minimum(sizes, k))]).astype(np.int32)
-                values = pa.array(np.concatenate([s[:k] for s in sets]) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "n", "d1", "d2", "sketch"])
-
+        for part in released(batches, 1, SLICE):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(part.column(1))
+            sums = [xxhash.xxh3_128_digest(s) for s in sets]
+            d = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.minimum(sizes, k))]).astype(np.int32)
+            values = pa.array(np.concatenate([s[:k] for s in sets]) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "n", "d1", "d2", "sketch"])
+
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
@@ -120,31 +129,42 @@ def full_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         mask = np.unpackbits(bits.value).view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(mask[batch.column(2).to_numpy()]))
-            for part in slices(batch, 1, 3 << 20):
-                with np.errstate(over="ignore"):
-                    sets = shingle_sets(part.column(1))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
+        for part in released((b.filter(pa.array(mask[b.column(2).to_numpy()])) for b in batches), 1, SLICE):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(part.column(1))
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "set"])
 
     hashed = df.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit"))
     return hashed.mapInArrow(run, "id long, set array<long>")
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, share) of the pairs (a, b) whose union sketch passes."""
-    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb)")
-    both = both.withColumn("joint", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {K})"))
+def with_node(files: Scratch, pairs: DataFrame, total: int, nodes: DataFrame, side: str, columns: dict[str, str]) -> DataFrame:
+    """`total` pairs(a, b, ...) with columns of the node on one side."""
+    counts = pairs.groupBy(side).agg(F.count("*").alias("k"))
+    one = nodes.select(F.col("id").alias(side), *[F.col(c).alias(n) for c, n in columns.items()])
+    return spread(files, pairs, one, side, ["b" if side == "a" else "a"], counts, total)
+
+
+def estimated(files: Scratch, pairs: DataFrame, nodes: DataFrame, low: float, hubs: bool) -> DataFrame:
+    """(a, b, share) of the pairs (a, b) whose union sketch passes, written; without hubs no node has more than K * LIST pairs."""
+    if hubs:
+        pairs, (n,) = files.counted(pairs.select("a", "b"), "pairs", F.count(F.lit(1)))
+        both = with_node(files, with_node(files, pairs, n, nodes, "a", {"n": "na", "sketch": "sa"}), n, nodes, "b", {"n": "nb", "sketch": "sb"})
+    else:
+        a, b = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
+        both = pairs.join(a, "a").join(b, "b")
+    both = both.where(f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb)").withColumn("joint", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {K})"))
     share = F.expr("size(array_intersect(joint, array_intersect(sa, sb))) / size(joint)")
-    return both.select("a", "b", share.alias("share")).where(F.col("share") >= LOW)
+    out = files.keep(both.select("a", "b", share.alias("share")).where(F.col("share") >= low), "likely")
+    if hubs:
+        files.drop(pairs)
+    return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+def confirmed(files: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough, written."""
 
     def run(batches):
         for batch in batches:
@@ -155,8 +175,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= ALIKE * (len(x) + len(y) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs, (n,) = files.counted(pairs.select("a", "b"), "pairs", F.count(F.lit(1)))
+    joined = with_node(files, with_node(files, pairs, n, sets, "a", {"set": "sa"}), n, sets, "b", {"set": "sb"})
+    out = files.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    files.drop(pairs)
+    return out
 
 
 def all_pairs(lists: DataFrame) -> DataFrame:
@@ -164,49 +187,59 @@ def all_pairs(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode(F.expr("flatten(transform(ids, a -> transform(filter(ids, b -> b > a), b -> struct(a as a, b as b))))")).alias("p")).select("p.a", "p.b")
 
 
-def likely_pairs(values: DataFrame, info: DataFrame) -> DataFrame:
+def likely_pairs(values: DataFrame, info: DataFrame, low: float) -> DataFrame:
     """Pairs of short lists that may share enough of their sketches, given what they could share in long ones."""
     short = values.where(F.col("df") <= LIST).groupBy("value").agg(F.collect_list("id").alias("ids"))
     counted = all_pairs(short).groupBy("a", "b").agg(F.count("*").alias("c"))
     a, b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
-    fit = f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb) AND c + least(ha, hb) >= {LOW} * least({K}, greatest(na, nb))"
+    fit = f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb) AND c + least(ha, hb) >= {low} * least({K}, greatest(na, nb))"
     return counted.join(a, "a").join(b, "b").where(fit).select("a", "b")
 
 
-def full_lists(sets: DataFrame, hot: DataFrame) -> DataFrame:
+def listed(files: Scratch, own: DataFrame, total: int) -> DataFrame:
+    """`total` rows own(value, id, ...) of values that several nodes have, with the number `df` of these nodes."""
+    counts = own.groupBy("value").agg(F.count("*").alias("k"))
+    return spread(files, own, counts.where("k > 1").select("value", F.col("k").alias("df")), "value", ["id"], counts, total)
+
+
+def full_lists(files: Scratch, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """(value, id, n, h): for the nodes in hot(id, h), the values that a set at the threshold must meet."""
-    own = sets.join(hot, "id").select("id", F.size("set").alias("n"), "h", F.explode("set").alias("value"))
-    often = own.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = own.join(often, "value").groupBy("id", "n", "h").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    nodes, (total,) = files.counted(sets.join(hot, "id").select("id", F.size("set").alias("n"), "h", "set"), "hot-sets", F.sum("n"))
+    often = listed(files, nodes.select("id", "n", "h", F.explode("set").alias("value")), total)
+    ranked = often.groupBy("id", "n", "h").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     meet = F.expr(f"n - CAST(ceil({ALIKE} * n / 100) AS INT) + 1 - (n - size(v))")  # values that no other node has come first
-    return ranked.where(meet > 0).select("id", "n", "h", F.explode(F.slice("v", F.lit(1), meet)).alias("x")).select(F.col("x.value").alias("value"), "id", "n", "h")
+    out = files.keep(ranked.where(meet > 0).select("id", "n", "h", F.explode(F.slice("v", F.lit(1), meet)).alias("x")).select(F.col("x.value").alias("value"), "id", "n", "h"), "full-lists")
+    files.drop(nodes)
+    return out
 
 
-def pivots(lists: DataFrame) -> DataFrame:
-    """Pairs of each node with the node of its list that has most long-list values."""
+def pivots(files: Scratch, lists: DataFrame, total: int) -> DataFrame:
+    """Pairs of each node with the node of its list that has most long-list values; the lists have `total` rows."""
     rank = F.shiftleft(F.col("h").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    best = lists.groupBy("value").agg(F.max_by("id", rank).alias("pivot"))
-    return lists.join(best, "value").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    best = lists.groupBy("value").agg(F.max_by("id", rank).alias("pivot"), F.count("*").alias("k"))
+    pairs = spread(files, lists, best.select("value", "pivot"), "value", ["id"], best, total)
+    return pairs.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
-def across(lists: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def across(files: Scratch, lists: DataFrame, total: int, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components within a long list.
 
     Only nodes outside their list's largest component are compared, each block of
-    them with each block of the list; a list within one component costs a count.
-    Of a pair of blocks come links that join components, fewer than it has rows.
+    them with each block of the list, a pair of blocks at a time; a list within one
+    component costs a count.  Of a pair of blocks come links that join components,
+    fewer than it has rows.
     """
     named = lists.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("value", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
-    mass = sizes.groupBy("value").agg(F.max_by("component", F.shiftleft("k", 32) + F.pmod(F.xxhash64("component"), F.lit(1 << 31))).alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = named.join(mass, "value").join(sets, "id")
+    mass = sizes.groupBy("value").agg(F.max_by("component", F.shiftleft("k", 32) + F.pmod(F.xxhash64("component"), F.lit(1 << 31))).alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts"), F.sum("k").alias("k")).where("parts > 1")
+    count = F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("k") / NODES))
+    mixed = spread(files, named, mass.select("value", "most", count.alias("count")), "value", ["id"], mass, total).join(sets, "id")
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / BLOCK))
-        return rows.groupBy("value", block.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "set")).alias(name))
+    def blocks(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.groupBy("value", F.pmod(F.xxhash64("id"), F.col("count")).alias(f"{name}_block"), *more).agg(F.collect_list(F.struct("id", "component", "set")).alias(name))
 
-    mine, whole = blocks(mixed.where("component <> most"), "mine"), blocks(mixed, "whole")
-    return mine.join(whole, "value").select("mine", "whole").mapInArrow(_compare, "a long, b long").distinct()
+    mine = blocks(mixed.where("component <> most"), "mine", "count").withColumn("whole_block", F.explode(F.expr("sequence(0L, count - 1)")))
+    return mine.join(blocks(mixed, "whole"), ["value", "whole_block"]).select("mine", "whole").mapInArrow(_compare, "a long, b long").distinct()
 
 
 def _compare(batches):
@@ -219,7 +252,10 @@ def _compare(batches):
                 part = common[at : at + 2048]
                 shared += _incidence(x, part) @ _incidence(y, part).T
             alike = 100 * shared >= ALIKE * (x[3][:, None] + y[3][None, :] - shared)
-            i, j = np.nonzero(alike & (x[1][:, None] != y[1][None, :]))
+            alike &= x[1][:, None] != y[1][None, :]
+            i, j = np.nonzero(alike)
+            (own, p), (other, q) = np.unique(x[1], return_inverse=True), np.unique(y[1], return_inverse=True)
+            _, first = np.unique(p[i] * len(other) + q[j], return_index=True)  # one pair of two components
             links, root = [], {}
 
             def top(c):
@@ -227,11 +263,12 @@ def _compare(batches):
                     c = root[c]
                 return c
 
-            for a, b, p, q in zip(x[0][i].tolist(), y[0][j].tolist(), x[1][i].tolist(), y[1][j].tolist()):
+            for a, b, p, q in zip(x[0][i[first]].tolist(), y[0][j[first]].tolist(), x[1][i[first]].tolist(), y[1][j[first]].tolist()):
                 if (p := top(p)) != (q := top(q)):
                     root[max(p, q)] = min(p, q)
                     links.append((min(a, b), max(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], names=["a", "b"])
+            release()
 
 
 def _block(rows: pa.StructArray):
@@ -248,46 +285,55 @@ def _incidence(block, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def find(spark: SparkSession, df: DataFrame) -> DataFrame:
+def find(spark: SparkSession, df: DataFrame, low: float = LOW) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of df(doc_id, text)."""
     files: Scratch = scratch(spark)
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    rows = files.keep(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = files.keep(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("row").alias("row")), "classes")
-    nodes = files.keep(rows.select("row", "n", "sketch").join(classes.where("id IS NOT NULL").select("row", "id"), "row").select("id", "n", "sketch"), "nodes")
+    rows, (total,) = files.counted(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches", F.count(F.lit(1)))
+    classes = files.keep(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("k")), "classes")
+    nodes, (size,) = files.counted(rows.select("row", "n", "sketch").join(classes.where("id IS NOT NULL").select("row", "id"), "row").select("id", "n", "sketch"), "nodes", F.sum(F.size("sketch")))
 
-    listed = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
-    often = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    values = files.keep(listed.join(often, "value"), "values")
+    values = files.keep(listed(files, nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value")), size), "values")
     info = files.keep(values.groupBy("id", "n").agg(F.count_if(F.col("df") > LIST).alias("h")), "info")
-    hot = info.where(F.col("h") >= F.expr(f"{LOW} * least({K}, n)")).select("id", "h")
-    likely = files.keep(estimated(likely_pairs(values, info), nodes), "likely")
+    hot = info.where(F.col("h") >= F.expr(f"{low} * least({K}, n)")).select("id", "h") if low else nodes.select("id", F.lit(0).cast("long").alias("h"))
+    likely = estimated(files, likely_pairs(values, info, low), nodes, low, False)
+    files.drop(values)
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
     sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text"), wanted), "sets")
-    lists = files.keep(full_lists(sets, hot), "full-lists")
+    lists = full_lists(files, sets, hot)
     sizes = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     short = lists.join(sizes.where(F.col("df") <= LIST), "value").groupBy("value").agg(F.collect_list("id").alias("ids"))
-    long = files.keep(lists.join(sizes.where(F.col("df") > LIST).select("value"), "value"), "long-lists")
-    more = files.keep(estimated(all_pairs(short).unionByName(pivots(long)).distinct(), nodes), "likely")
-    likely = likely.unionByName(more)
+    long, (length,) = files.counted(lists.join(sizes.where(F.col("df") > LIST).select("value"), "value"), "long-lists", F.count(F.lit(1)))
+    central = files.keep(pivots(files, long, length).distinct(), "pivots")
+    more = estimated(files, all_pairs(short).unionByName(central).distinct(), nodes, low, True)
+    files.drop(lists, info, nodes)
+    both = likely.unionByName(more)
 
-    ends = likely.select(F.col("a").alias("id"), F.col("b").alias("other"), "share").unionByName(likely.select(F.col("b").alias("id"), F.col("a").alias("other"), "share"))
+    ends = both.select(F.col("a").alias("id"), F.col("b").alias("other"), "share").unionByName(both.select(F.col("b").alias("id"), F.col("a").alias("other"), "share"))
     rank = F.floor(F.col("share") * 1024).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("other"), F.lit(1 << 40))
     best = ends.groupBy("id").agg(F.max_by("other", rank).alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    best = best.unionByName(pivots(long).join(more, ["a", "b"], "left_semi")).distinct()
-    first = files.keep(confirmed(best, sets), "links")
-    parts = files.keep(components(files, first, rounds=2), "parts")
+    best = best.unionByName(central.join(more, ["a", "b"], "left_semi")).distinct()
+    first = confirmed(files, best, sets)
+    parts = components(files, first, rounds=2)
 
     a, b = parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = likely.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
-    links = first.unionByName(confirmed(apart, sets)).unionByName(across(long, parts, sets))
-    found = files.keep(components(files, links), "components")
-
-    named = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(files.keep(named, "named"), ["d1", "d2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    apart = both.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
+    second = confirmed(files, apart, sets)
+    found = components(files, first.unionByName(second).unionByName(across(files, long, length, parts, sets)))
+    files.drop(likely, more, central, sets, long, first, second, parts)
+
+    named = classes.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    named = files.keep(named.where("k > 1 OR component_id <> id").select(_digest().alias("digest"), "component_id", "k"), "named")
+    files.drop(classes, found)
+    some = rows.where("n > 0").select("doc_id", "n", "row", _digest().alias("digest"))
+    out = spread(files, some, named.select("digest", "component_id"), "digest", ["row"], named, total, "left")
+    out = out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _digest():
+    return F.struct("d1", "d2")
 
 
 def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:

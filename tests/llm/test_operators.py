@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexquarry.llm import bpe_codec, decontaminate, fingerprint, huffman, labelled, license_scan, main_text, near_dup, quality, token_count, token_files, toxicity
+from lexquarry.llm import bpe_codec, components, decontaminate, fingerprint, huffman, labelled, license_scan, main_text, near_dup, quality, token_count, token_files, toxicity
 
 WORDS = ["the", "Anat", "thnd###", "éeauou", "of,", "Licence", "各国語", "a1b2", "x" * 70, "don't", "<|endoftext|>", " ", "Straße!!", "J̌", "🙂"]
 texts = st.lists(st.sampled_from(WORDS + [" ", "  ", "\n", "\t "]), max_size=30).map(" ".join) | st.text(max_size=60)
@@ -156,10 +156,13 @@ def brute_components(rows):
     return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
 
 
-@pytest.mark.parametrize(("short", "block"), [(48, 40_000), (2, 200)])
-def test_near_dup(spark, docs, monkeypatch, short, block):
+@pytest.mark.parametrize(("short", "block", "low", "split"), [(48, 40_000, near_dup.LOW, 64), (2, 200, near_dup.LOW, 1), (2, 200, 0, 1)])
+def test_near_dup(spark, docs, monkeypatch, short, block, low, split):
+    """Short and long lists, with and without estimates, hubs dealt out or not."""
     monkeypatch.setattr(near_dup, "LIST", short)
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(components, "SPLIT", split)
+    monkeypatch.setattr(components, "SALTS", 5)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     base = rng.choices(words, k=90)
@@ -171,7 +174,7 @@ def test_near_dup(spark, docs, monkeypatch, short, block):
         rows.append((100 + i, " ".join(text) if i % 2 else " ".join(text).upper()))
     rows += [(200 + i, " ".join(base[:60] + rng.choices(words, k=30))) for i in range(15)]
     rows.append((100, dict(rows)[100]))
-    got = near_dup.find(spark, spark.createDataFrame(rows + [(None, "alone")], "doc_id long, text string")).collect()
+    got = near_dup.find(spark, spark.createDataFrame(rows + [(None, "alone")], "doc_id long, text string"), low).collect()
     want = brute_components(dict(rows).items())
     assert len(got) == len(rows) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
