@@ -11,7 +11,9 @@ than letters and digits as one space.
 
 Nulls, empty texts and items without a letter or digit match nothing.  Repeated
 rows give repeated results, repeated items (by item_id) one result each; equal
-items under different ids both match.  An empty table on either side gives an
+items under different ids both match.  A very long text is searched whole, in memory
+in proportion to it and to the places where pieces stand.  Only the two named columns
+count; others stay in what clean() keeps.  An empty table on either side gives an
 empty result.  The items go to the executors in blocks of at most BLOCK_CHARS
 characters, with a pass over the texts for each block.
 """
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import keep, slices
+from lexquarry.llm.arrow import keep, slices, small_batches
 
 #: Edits for each character of an item, and characters of the items of one pass.
 RATE, BLOCK_CHARS = 0.1, 4 << 20
 #: Places whose alignments are near another are looked at together; places of one batch.
 NEAR, PLACES = 32, 4096
+#: Bytes of text that are searched at once.
+SLICE = 3 << 20
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -140,6 +144,18 @@ class Matcher:
         return least.tolist(), (start + end).tolist()
 
 
+_matchers: dict[tuple, Matcher] = {}
+
+
+def matcher_of(items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a block, which a worker keeps from task to task until it gets another block."""
+    key = (rate, *map(tuple, items))
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(items, rate)
+    return _matchers[key]
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items of (item_id, text), in blocks of bounded size; each block is fetched when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates(["item_id", "text"])
@@ -152,13 +168,14 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(df: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, budget, ends_at) for each text of df(doc_id, text) that holds an item."""
     schema = "doc_id long, item_id long, distance long, budget long, ends_at long"
+    small_batches(df.sparkSession)
     docs, out = df.select(F.col("doc_id").cast("long"), "text"), None
     for items in blocks(benchmark):
 
         def run(batches, items=items):
-            matcher = Matcher(items, rate)
+            matcher = matcher_of(items, rate)
             for batch in batches:
-                for part in slices(batch, 1):
+                for part in slices(batch, 1, SLICE):
                     got = matcher.find([plain_text(t) for t in part.column(1).to_pylist()])
                     doc = part.column(0).to_pylist()
                     rows = [(doc[k], matcher.items[at][0], d, int(matcher.budget[at]), end) for k, at, d, end in got]
@@ -174,7 +191,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", rate: float =
     for items in blocks(benchmark):
 
         def make(items=items):
-            matcher = Matcher(items, rate)
+            matcher = matcher_of(items, rate)
 
             def f(column):
                 held = {k for k, *_ in matcher.find([plain_text(t) for t in column.to_pylist()])}
@@ -182,5 +199,5 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", rate: float =
 
             return f
 
-        df = keep(df, text, make)
+        df = keep(df, text, make, SLICE)
     return df

@@ -6,11 +6,12 @@ none at the ends.  Its digest is 128 bits wide: two xxhash values from
 different seeds, as 32 hexadecimal digits.
 
 Texts of one digest are compared byte by byte, as the grouping of (digest,
-canonical form) does.  Where that shows two forms of one digest, every
-fingerprint of that digest is lengthened by the SHA-256 of its form, so that
-equal fingerprints mean equal forms.
+canonical form) does; edited texts, which have no copies to speak of, are told
+apart from each other and from texts of their digest by the SHA-256 of their form.
+Where either shows two forms of one digest, every fingerprint of that digest is
+lengthened by the SHA-256 of its form, so that equal fingerprints mean equal forms.
 
-A null is an empty text.  Repeated rows stay, with equal fingerprints.  A null
+A null is an empty text.  A very long text is one value of a row.  Repeated rows stay, with equal fingerprints.  A null
 doc_id comes before all others; rows of one doc_id are ordered by their text.
 An empty table gives an empty result.
 """
@@ -100,20 +101,23 @@ def fingerprints(spark: SparkSession, df: DataFrame, bits: int = 64) -> DataFram
         (F.col("form") == F.col("edited_form")).cast("double").alias("near_edited"), (F.col("form") == F.col("next_form")).cast("double").alias("near_next"),
         "form", "edited_form",
     )
+    full = full.withColumns({"x": F.unhex(F.sha2("form", 256)), "y": F.unhex(F.sha2("edited_form", 256))})
     light = files.keep(full.drop("form", "edited_form"), "fingerprints")
     own = df.select(canonical(F.coalesce("text", F.lit(""))).alias("form"))
     a, b = digest(F.col("form"), bits)
     groups = own.select(a.alias("a"), b.alias("b"), "form").groupBy("a", "b", "form").agg(F.count("*").alias("n"))
-    clash = groups.groupBy("a", "b").agg(F.count("*").alias("forms")).where("forms > 1").select("a", "b")
-    shown = light.withColumns({"x": F.lit(None).cast("string"), "y": F.lit(None).cast("string")})
-    if not clash.isEmpty():
-        bad = files.keep(clash, "clashes")
-        full = full.withColumns({"x": F.sha2("form", 256), "y": F.sha2("edited_form", 256)}).drop("form", "edited_form")
-        full = full.join(bad.withColumn("bad", F.lit(True)), ["a", "b"], "left")
-        full = full.join(bad.select(F.col("a").alias("c"), F.col("b").alias("d"), F.lit(True).alias("worse")), ["c", "d"], "left")
-        shown = full.withColumns({"x": F.when(F.col("bad"), F.col("x")), "y": F.when(F.col("worse"), F.col("y"))})
-    same = (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")) & (F.col("near_edited") == 0)  # of one digest, yet other bytes
-    tail = F.when(F.col("y").isNotNull(), F.concat(F.lit("-"), "y")).when(same, F.concat(F.lit("-"), "edited_sha256")).otherwise("")
+    every = light.select("a", "b", "x").unionByName(light.select(F.col("c").alias("a"), F.col("d").alias("b"), F.col("y").alias("x"))).groupBy("a", "b", "x").agg(F.count("*").alias("n"))
+    clash = [g.groupBy("a", "b").agg(F.count("*").alias("forms")).where("forms > 1").select("a", "b") for g in (groups, every)]
+    bad, (found,) = files.counted(clash[0].unionByName(clash[1]).distinct(), "clashes", F.count(F.lit(1)))
+    none = F.lit(None).cast("string")
+    if not found:
+        files.drop(bad)
+        shown = light.withColumns({"x": none, "y": none})
+    else:
+        shown = light.join(bad.withColumn("bad", F.lit(True)), ["a", "b"], "left")
+        shown = shown.join(bad.select(F.col("a").alias("c"), F.col("b").alias("d"), F.lit(True).alias("worse")), ["c", "d"], "left")
+        shown = shown.withColumns({"x": F.when(F.col("bad"), F.lower(F.hex("x"))), "y": F.when(F.col("worse"), F.lower(F.hex("y")))})
+    tail = F.coalesce(F.concat(F.lit("-"), "y"), F.lit(""))
     return shown.select(
         "doc_id", "n_chars", "edited_sha256",
         F.concat(_hex("a", "b"), F.coalesce(F.concat(F.lit("-"), "x"), F.lit(""))).alias("fingerprint"),

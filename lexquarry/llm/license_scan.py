@@ -12,7 +12,8 @@ largest coverage, 1 where a base phrase stands.  `spans` are all places of base
 phrases and covered templates: the number of the phrase (base phrases, then
 TEMPLATES), its label, its first and last word in the text, and the coverage.
 
-Nulls and empty texts have no words and score 0.  Ties, repeated rows and
+Nulls and empty texts have no words and score 0.  A very long text takes memory in
+proportion to its words.  A column with the name of a result is replaced.  Ties, repeated rows and
 repeated phrases keep all their places; an empty table gives an empty result.
 """
 
@@ -30,7 +31,7 @@ from lexquarry.llm.arrow import append, chunks, gather
 
 #: Phrases that give a label wherever they stand.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices whose labels hold where enough of them stands.
+#: Notices and clauses whose labels hold where enough of them stands.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
@@ -43,6 +44,20 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 #: Share of a template that gives its label; words of a run that counts; words that a chain may skip.
 COVER, RUN, GAP = 0.6, 3, 4
