@@ -57,9 +57,10 @@ def index(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(),
     """The inverted index of a corpus as a written table, so that its texts are read and cut into tokens once.
 
     A row (DOCUMENT, doc_id, dl, ...) stands for each document, which gives their
-    number and mean length.  With a path the index is kept there, for read_index.
+    number and mean length.  A document's terms lie together, so that a search sums
+    its scores before it shuffles them.  With a path the index is kept there, for read_index.
     """
-    return scratch(corpus.sparkSession).keep(postings(corpus, terms, cfg, scope), "index", to=path)
+    return scratch(corpus.sparkSession).keep(postings(corpus, terms, cfg, scope).repartition("doc_id"), "index", to=path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
