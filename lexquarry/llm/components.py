@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexquarry.sources.scratch import Scratch
 
-#: A key with more rows than both SPLIT and a HUBS-th of all rows is a hub; its rows go to SALTS tasks.
-SPLIT, HUBS, SALTS = 64, 10_000, 64
+#: A key with more rows than both SPLIT (what a task does in a second) and a HUBS-th of all rows is a hub; its rows go to SALTS tasks.
+SPLIT, HUBS, SALTS = 20_000, 10_000, 64
 
 
 def spread(files: Scratch, rows: DataFrame, one: DataFrame, key: str, by: list[str], counts: DataFrame, total: int, how: str = "inner") -> DataFrame:

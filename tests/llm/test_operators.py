@@ -156,7 +156,7 @@ def brute_components(rows):
     return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
 
 
-@pytest.mark.parametrize(("short", "block", "low", "split"), [(48, 40_000, near_dup.LOW, 64), (2, 200, near_dup.LOW, 1), (2, 200, 0, 1)])
+@pytest.mark.parametrize(("short", "block", "low", "split"), [(48, 40_000, near_dup.LOW, 20_000), (2, 200, near_dup.LOW, 1), (2, 200, 0, 1)])
 def test_near_dup(spark, docs, monkeypatch, short, block, low, split):
     """Short and long lists, with and without estimates, hubs dealt out or not."""
     monkeypatch.setattr(near_dup, "LIST", short)
