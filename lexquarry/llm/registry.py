@@ -87,6 +87,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import whitening
+
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import collocations
+
+    return collocations.collocations(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
