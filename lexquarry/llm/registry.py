@@ -87,6 +87,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexquarry.llm import katz, labelled
+
+    fold = labelled.fold("doc_id", 7)
+    scored, model = katz.evaluate(spark, documents(spark, sf_dir), fold != 2)
+    tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexquarry.llm import whitening
 
