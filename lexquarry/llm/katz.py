@@ -40,7 +40,7 @@ named columns are read, any others have no effect.
 from __future__ import annotations
 
 import dataclasses
-import math
+import gc
 from itertools import chain
 
 import numpy as np
@@ -51,13 +51,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import chunks, gather, release, released, small_batches
+from lexquarry.llm.arrow import chunks, distinct, gather, release, released, small_batches
 from lexquarry.sources.scratch import Scratch, scratch
 
 #: Length of the longest n-grams; counts up to which losses are estimated one by one.
 ORDER, K = 3, 5
 #: Bytes of text of a block; n-grams of a part, and parts at least; a context with more than this share of all tokens is hot.
-BLOCK, GROUP, PARTS, HOT = 8 << 20, 1_500_000, 64, 1000
+BLOCK, GROUP, PARTS, HOT = 8 << 20, 800_000, 64, 1000
 #: Blocks of stored counts and of sums over parts.
 STORED, SUMMED = -1, -2
 #: Word numbers of a token that was never seen and of the start.
@@ -94,27 +94,6 @@ def unpack_words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
-def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the rows, where distinct ones start in it, and the distinct row that each row is."""
-    low = [int(c.min(initial=0)) for c in columns]
-    span = [int(c.max(initial=0)) - a + 1 for c, a in zip(columns, low)]
-    if math.prod(span) < 1 << 63:  # one number tells the rows apart
-        key = np.zeros(len(columns[0]), np.int64)
-        for c, a, n in zip(columns, low, span):
-            key = key * n + (c - a)
-        columns, order = [key], np.argsort(key)
-    else:
-        order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), inverse
-
-
 def losses(counts: list[int]) -> np.ndarray:
     """What a count of 0 .. K loses (0 loses nothing), from the numbers of n-grams with counts 1 .. K + 1."""
     once, twice = counts[0], counts[1]
@@ -402,6 +381,12 @@ def _evaluated(table: pa.Table, model: Model, upto: int) -> tuple[Block, dict]:
     return b, own
 
 
+def swept(spark: SparkSession) -> None:
+    """Asks the driver for a collection, so that Spark drops the shuffle files of the steps that are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _asker(m: int, model: Model):
     def run(table):
         b, own = _evaluated(table, model, m - 1)
@@ -438,6 +423,8 @@ def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None,
             wanted = wanted.unionByName(old.tables[m - 1].select("block", "part", "words", "data"))
         told = files.keep(wanted.groupBy("part").applyInArrow(add_words(parts) if m == 1 else add_grams(m, model), ANSWERED), f"counts-{m}")
         answers.append(told)
+        wanted = None
+        swept(spark)
         if not old:
             model = _learned(told, m, model, parts)
     done = dataclasses.replace(model, tables=())
