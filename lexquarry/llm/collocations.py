@@ -27,9 +27,6 @@ named columns are read; any others have no effect.
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import chunks, gather, released, small_batches
+from lexquarry.llm.arrow import distinct, plain, released, small_batches
 from lexquarry.sources.scratch import scratch
 
 #: Words of a phrase; its least count; phrases of each language that are returned.
@@ -47,8 +44,9 @@ WITHIN = 50
 #: A beginning with more than this share of all words is dealt out further; bytes of text counted at once; words of a sorted partition.
 HEAVY, SLICE, PARTITION = 10_000, 12 << 20, 4_000_000
 
-_TOKEN = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+|[^ \t.,;:!?\n\x0b\x0c\r]+")
-_BREAK = frozenset(b".,;:!?\n\x0b\x0c\r")
+_BREAK, _APART = np.zeros(256, bool), np.zeros(256, bool)
+_BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
+_APART[list(b" \t.,;:!?\n\x0b\x0c\r")] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,30 +55,34 @@ def _escape(word: bytes) -> bytes:
 
 
 def piece_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words; the number of each word of all texts, -1 where a piece ends; the text of each."""
-    c = chunks(column, lower="all")
-    number: dict[bytes, int] = {}
-    parts = [[-1 if t[0] in _BREAK else number.setdefault(t, len(number)) for t in _TOKEN.findall(w)] for w in c.words]
-    count = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter(chain.from_iterable(parts), np.int64, int(count.sum()))
-    codes, per = flat[gather(np.cumsum(count) - count, count, c.codes)], c.per_text(count)
-    texts = np.repeat(np.arange(len(per)), per)
-    return [_escape(w) for w in number], np.insert(codes, np.cumsum(per), -1), np.insert(texts, np.cumsum(per), np.arange(len(per)))
+    """The distinct words; the number of each word of all texts, -1 where a piece ends; the text of each (of an end, any)."""
+    data, offsets = plain(column)
+    if not len(data):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.where(data - np.uint8(65) < 26, data + np.uint8(32), data)
+    inside = ~_APART[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    start[first] = inside[first]
+    starts = np.flatnonzero(start)
+    before = np.cumsum(inside) - inside
+    bytes_at = np.append(before[starts], int(inside.sum())).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bytes_at), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+    texts, piece = np.searchsorted(offsets, starts, side="right") - 1, np.cumsum(_BREAK[data])[starts]
+    new = np.flatnonzero((np.diff(texts) != 0) | (np.diff(piece) != 0)) + 1
+    codes = words.indices.to_numpy().astype(np.int64)
+    distinct_words = words.dictionary.to_pylist()
+    if int(data.min()) < 2:
+        distinct_words = [_escape(w) for w in distinct_words]
+    return distinct_words, np.append(np.insert(codes, new, -1), -1), np.append(np.insert(texts, new, texts[new]), 0)
 
 
 def distinct_rows(columns: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows, in order, and how often each stands there, or the sum of its weights."""
-    if not len(columns[0]):
-        return columns, np.zeros(0, np.int64)
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    starts = np.flatnonzero(new)
-    sums = np.diff(np.append(starts, len(order))) if weight is None else np.add.reduceat(weight[order], starts)
-    return [c[starts] for c in columns], sums
+    order, starts, inverse = distinct(columns)
+    sums = np.bincount(inverse, weight, len(starts)).astype(np.int64)
+    return [x[order[starts]] for x in columns], sums
 
 
 def slice_suffixes(texts: pa.Array, langs: pa.Array, length: int) -> tuple[pa.Array, list[bytes], list[np.ndarray], np.ndarray]:
