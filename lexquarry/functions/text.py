@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once; an expression that lambdas name would be computed for each of their elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokenize(text: Column, longer_than: int = 1) -> Column:
     """Lower-case letter runs of more than so many letters, repeats included."""
     return F.filter(_all(F.lower(text), TOKEN), lambda t: F.length(t) > longer_than)

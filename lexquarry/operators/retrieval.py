@@ -1,8 +1,8 @@
 """Keyword and vector retrieval.
 
-BM25 is a relational plan over an inverted index: a written table of term counts,
-restricted to the terms of the queries where there are any, joined with what each
-query term weighs and summed by (query, document).  Vectors meet queries in blocks,
+BM25 is a relational plan over a written table of documents with the counts of their
+terms, restricted to those of the queries where there are any; they are joined with
+what each query term weighs and summed by (query, document).  Vectors meet queries in blocks,
 by matrix products.  Scores are rounded before they are ranked and ties end in
 the key, so that results don't hang on the order of summation.
 """
@@ -32,8 +32,8 @@ class Bm25:
     epsilon: float = 0.25
 
 
-#: Stands for the document itself among its terms.
-DOCUMENT = ""
+#: Distinct query terms, and (query, term) rows, up to which both are sent to every task.
+LISTED, ASKED = 20_000, 200_000
 #: Vectors, and query vectors, that are multiplied at once.
 VECTORS, QUERIES = 2048, 512
 
@@ -43,40 +43,42 @@ def query_terms(queries: DataFrame, cfg: Bm25 = Bm25()) -> DataFrame:
     return queries.select("query_id", F.explode(fn.tokenize(F.col("query"), cfg.longer_than)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, dl, ...scope, tf) of all terms, or of those that some query has."""
+def counted(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(doc_id, ...scope, dl, terms): a row for each document, with the counts of its terms, or of those that some query has.
+
+    Everything is counted within the row, so nothing is shuffled.  Query terms are
+    sent to the tasks if there are at most LISTED; beyond that all terms are counted,
+    and the search leaves out the others.
+    """
+    listed = terms.select("term").distinct().limit(LISTED + 1).collect() if terms is not None else []
     tokens = corpus.select("doc_id", *(scope or []), fn.tokenize(F.col("text"), cfg.longer_than).alias("tokens"))
-    rows = tokens.select("doc_id", *(scope or []), F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(DOCUMENT)), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term"))
-    if terms is not None:
-        own = terms.select("term").unionByName(corpus.sparkSession.createDataFrame([(DOCUMENT,)], "term string")).distinct()
-        rows = rows.join(own, "term", "left_semi")
-    return rows.groupBy("term", "doc_id", "dl", *(scope or [])).agg(F.count("*").alias("tf"))
+    own = F.col("tokens")
+    if terms is not None and len(listed) <= LISTED:
+        own = F.filter(own, lambda t: t.isin([r["term"] for r in listed]))
+    own = F.array_sort(F.coalesce(own, F.array().cast("array<string>")))
+    starts = lambda t: F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+    count = lambda t, at: F.transform(at, lambda p, j: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(t)) - p).cast("long").alias("tf")))
+    terms = fn.let(own, lambda t: fn.let(starts(t), lambda at: count(t, at)))
+    return tokens.select("doc_id", *(scope or []), F.size("tokens").alias("dl"), terms.alias("terms"))
 
 
-def index(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """The inverted index of a corpus as a written table, so that its texts are read and cut into tokens once.
+def postings(counts: DataFrame) -> DataFrame:
+    """(doc_id, ...scope, dl, term, tf) of counted()."""
+    return counts.select(*[c for c in counts.columns if c != "terms"], F.inline("terms"))
 
-    A row (DOCUMENT, doc_id, dl, ...) stands for each document, which gives their
-    number and mean length.  A document's terms lie together, so that a search sums
-    its scores before it shuffles them.  With a path the index is kept there, for read_index.
-    """
-    return scratch(corpus.sparkSession).keep(postings(corpus, terms, cfg, scope).repartition("doc_id"), "index", to=path)
+
+def index(corpus: DataFrame, terms: DataFrame | None = None, cfg: Bm25 = Bm25(), scope: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """counted() as a written table, so that texts are read and cut into tokens once.  With a path it is kept there, for read_index."""
+    return scratch(corpus.sparkSession).keep(counted(corpus, terms, cfg, scope), "index", to=path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def search(index: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of every pair with a term in common, from an index.
-
-    With `scope`, document frequency, count and mean length are those of each
-    part of the corpus, as separately built indexes would have them.
-    """
-    scope, terms = scope or [], query_terms(queries, cfg)
-    stats = index.where(F.col("term") == DOCUMENT).groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = index.where(F.col("term") != DOCUMENT)
-    df = post.groupBy("term", *scope).agg(F.count("*").alias("df"))
+def weights(df: DataFrame, stats: DataFrame, terms: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(query_id, term, ...scope, avgdl, w): idf times the query's count, from df(term, ...scope, df) and stats(...scope, n, avgdl)."""
+    scope = scope or []
     known = df.join(F.broadcast(stats), scope) if scope else df.crossJoin(F.broadcast(stats))  # a row for each part
     rest = F.col("n") - F.col("df") + 0.5
     if cfg.idf == "okapi":
@@ -86,9 +88,30 @@ def search(index: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list
         known = known.withColumn("idf", F.when(F.col("idf") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("idf")))
     else:
         known = known.withColumn("idf", F.log(rest / (F.col("df") + 0.5) + 1))
-    asked = terms.join(known, "term").select("query_id", "term", *scope, "avgdl", (F.col("idf") * F.col("qtf")).alias("w"))
-    norm = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    return post.join(asked, ["term", *scope]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * norm), 6).alias("score"))
+    return terms.join(known, "term").select("query_id", "term", *scope, "avgdl", (F.col("idf") * F.col("qtf")).alias("w"))
+
+
+def tf_norm(tf: Column, dl: Column, cfg: Bm25) -> Column:
+    return tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.col("avgdl")))
+
+
+def search(index: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every pair with a term in common, from an index.
+
+    With `scope`, document frequency, count and mean length are those of each part
+    of the corpus, as separately built indexes would have them.  What the queries'
+    terms weigh goes to every task, if it has at most ASKED rows, so that a
+    document's terms are summed before scores are shuffled.
+    """
+    scope, terms = scope or [], query_terms(queries, cfg)
+    stats = index.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = postings(index)
+    own = post if cfg.idf == "okapi" else post.join(terms.select("term").distinct(), "term", "left_semi")
+    df = own.groupBy("term", *scope).agg(F.count("*").alias("df"))
+    asked = scratch(index.sparkSession).keep(weights(df, stats, terms, cfg, scope), "weights")
+    if asked.count() <= ASKED:
+        asked = F.broadcast(asked)
+    return post.join(asked, ["term", *scope]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * tf_norm(F.col("tf"), F.col("dl"), cfg)), 6).alias("score"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, cfg: Bm25 = Bm25(), scope: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
@@ -36,7 +38,7 @@ def tokenize_stats(spark, sf_dir):
 @register("""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zäöüß]+'), lambda t: length(t) > 1)) AS term FROM documents)
 WHERE term IN (SELECT unnest(regexp_extract_all(lower(text), '[a-zäöüß]+')) FROM benchmark) GROUP BY term""")
 def doc_freq(spark, sf_dir):
-    post = retrieval.postings(corpus(spark, sf_dir), retrieval.query_terms(asked(spark, sf_dir))).where(F.col("term") != retrieval.DOCUMENT)
+    post = retrieval.postings(retrieval.counted(corpus(spark, sf_dir), retrieval.query_terms(asked(spark, sf_dir))))
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -45,6 +47,20 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)), 20)
 
 
+@register(_bm25() + " " + _TOP.format(k=20))
+def index_topk(spark, sf_dir):
+    """bm25_topk by an index that took the texts of three groups of languages one after another and merged two segments."""
+    from lexquarry.operators.topk_index import TopkIndex
+    from lexquarry.sources.scratch import scratch
+
+    index = TopkIndex(spark, f"{scratch(spark).root}/topk-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    for name, rows in (("en", docs.where("lang = 'en'")), ("fr", docs.where("lang IN ('en', 'fr')")), ("rest", docs)):
+        index.add(rows, name)
+    index.merge(["fr", "rest"], "merged")
+    return index.search(asked(spark, sf_dir), 20).ranking
+
+
 @register(_bm25() + ", a AS (" + _TOP.format(k=20) + """), m AS (SELECT query_id % 10 AS query_id, doc_id, max(score) AS score, min(rank) AS rank FROM a WHERE score > 0 GROUP BY ALL)
 SELECT query_id, doc_id, score, rank AS best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 15""".replace("AS rank FROM m QUALIFY rank", "AS place FROM m QUALIFY place"))
 def bm25_multi_query_merge(spark, sf_dir):
