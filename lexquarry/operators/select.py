@@ -71,23 +71,50 @@ def must_first(scored: DataFrame, target: Column, score: str = "prob") -> DataFr
     return scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= target)
 
 
-def forced(scored: DataFrame, target: int, court_cap: int, threshold: float, floor: int) -> DataFrame:
-    """Selection with forced rows: those that the query names, whatever the caps say; kept buckets within the court cap; then greedily.
+@dataclass(frozen=True)
+class Forced:
+    """The target is mult * estimate + bias, halves to even, at least min_output, then at most max_output; courts have a share of it."""
+
+    mult: float = 1.0
+    bias: float = 0.0
+    min_output: int = 5
+    max_output: int = 40
+    threshold: float = 0.5
+    court_fraction: float = 0.25
+    keep_explicit: bool = True
+    keep_auto: bool = True
+
+
+def forced(scored: DataFrame, cfg: Forced = Forced()) -> DataFrame:
+    """Selection with forced rows: first those that the query names, whatever target and cap say; then kept buckets; then greedily.
 
-    Each stage takes courts up to what the stages before have left of the cap, so
-    a row's fate is its rank in its stage; `position` is the order of selection.
+    scored has query_id, citation, kind, prob, is_explicit, auto_bucket, final_score,
+    baseline_rank and estimate.  A kept bucket that fills the target ends the
+    selection, and the first one is taken even if the named rows have filled it.  In
+    the third stage the target, and the threshold once min_output rows are there, end
+    it.  Courts beyond their cap are passed over in the last two stages.  So a row's
+    fate is its rank in its stage; `position` is the order of selection.  Null flags
+    are false; a null prob is below every threshold.
     """
     q, court = Window.partitionBy("query_id"), F.col("kind") == "court"
-    stage = F.when(F.col("is_explicit"), 1).when(F.col("auto_bucket") == "auto_keep", 2).otherwise(3)
-    rows = scored.withColumn("stage", stage)
-    rows = rows.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "stage", "kind").orderBy(F.desc("prob"), "citation")))
-    left = F.greatest(F.lit(0), F.lit(court_cap) - F.count_if(court & (F.col("stage") == 1)).over(q))
-    rows = rows.withColumn("left", left)
-    kept = F.least(F.count_if(court & (F.col("stage") == 2)).over(q), F.col("left"))
-    rows = rows.withColumn("cap", F.when(F.col("stage") == 2, F.col("left")).otherwise(F.col("left") - kept))
+    named, kept = F.coalesce("is_explicit", F.lit(False)), F.coalesce(F.col("auto_bucket") == "auto_keep", F.lit(False))
+    target = F.least(F.greatest(F.bround(F.col("estimate") * cfg.mult + cfg.bias), F.lit(cfg.min_output)), F.lit(cfg.max_output))
+    order = [F.desc("prob"), named.desc(), kept.desc(), F.desc("final_score"), F.asc("baseline_rank"), F.asc("citation")]
+    stage = F.lit(3)
+    if cfg.keep_auto:
+        stage = F.when(kept, 2).otherwise(stage)
+    if cfg.keep_explicit:
+        stage = F.when(named, 1).otherwise(stage)
+    rows = scored.withColumn("ord", F.row_number().over(q.orderBy(*order))).withColumn("stage", stage).withColumn("target", target)
+    rows = rows.withColumn("left", F.greatest(F.lit(0), F.greatest(F.lit(0), F.bround(F.col("target") * cfg.court_fraction)) - F.count_if(court & (F.col("stage") == 1)).over(q)))
+    rows = rows.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "stage", "kind").orderBy("ord")))
+    second = F.least(F.count_if(court & (F.col("stage") == 2)).over(q), F.col("left"))
+    rows = rows.withColumn("cap", F.col("left") - F.when(F.col("stage") == 3, second).otherwise(0))
     rows = rows.where(~court | (F.col("stage") == 1) | (F.col("of_kind") <= F.col("cap")))
-    rows = rows.withColumn("position", F.row_number().over(q.orderBy("stage", F.desc("prob"), "citation")))
-    good = (F.col("position") <= target) & ((F.col("prob") >= threshold) | (F.col("position") <= floor))
+    rows = rows.withColumn("first", F.count_if(F.col("stage") == 1).over(q)).withColumn("of_stage", F.row_number().over(Window.partitionBy("query_id", "stage").orderBy("ord")))
+    rows = rows.where((F.col("stage") != 2) | (F.col("of_stage") <= F.greatest(F.lit(1), F.col("target") - F.col("first"))))
+    rows = rows.withColumn("position", F.row_number().over(q.orderBy("stage", "ord")))
+    good = (F.col("position") <= F.col("target")) & (F.coalesce(F.col("prob") >= cfg.threshold, F.lit(False)) | (F.col("position") <= cfg.min_output))
     return rows.where((F.col("stage") < 3) | good).select(*scored.columns, "position")
 
 

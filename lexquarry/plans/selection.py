@@ -226,13 +226,22 @@ def select_must_first(spark, sf_dir):
     return select.must_first(judged(spark, sf_dir), F.col("estimate"), "raw_score").select("query_id", "citation", "position")
 
 
-@register(f"""{_C}, {_BUCKETS}, s AS (SELECT *, CASE WHEN is_explicit THEN 1 WHEN auto_bucket = 'auto_keep' THEN 2 ELSE 3 END AS stage FROM bucketed),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id, stage, kind ORDER BY raw_score DESC, citation) AS of_kind, greatest(0, 6 - count(*) FILTER (kind = 'court' AND stage = 1) OVER (PARTITION BY query_id)) AS remain, count(*) FILTER (kind = 'court' AND stage = 2) OVER (PARTITION BY query_id) AS k2 FROM s),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, raw_score DESC, citation) AS position FROM n WHERE kind <> 'court' OR stage = 1 OR of_kind <= CASE WHEN stage = 2 THEN remain ELSE remain - least(k2, remain) END)
-SELECT query_id, citation, position FROM t WHERE stage < 3 OR position <= 25 AND (raw_score >= 0.9 OR position <= 10)""")
+#: The loop of the selection, a row a step: what is chosen, how many courts are, and whether it has ended.
+_FORCED = f"""{_C}, {_BUCKETS}, o AS (SELECT query_id, citation, kind, raw_score AS prob, is_explicit, auto_bucket = 'auto_keep' AS keep, least(28, greatest(6, round_even(estimate * 0.8 + 1.5, 0)))::INT AS target,
+  row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, is_explicit DESC, auto_bucket = 'auto_keep' DESC, final_score DESC, baseline_rank, citation) AS ord FROM bucketed),
+steps AS (SELECT *, greatest(0, round_even(target * 0.3, 0))::INT AS cap, row_number() OVER (PARTITION BY query_id ORDER BY stage, ord) AS step FROM (SELECT *, 1 AS stage FROM o WHERE is_explicit UNION ALL SELECT *, 2 FROM o WHERE keep UNION ALL SELECT *, 3 FROM o)),
+scan AS (SELECT query_id, 0::BIGINT AS step, []::VARCHAR[] AS chosen, 0 AS courts, false AS done FROM steps GROUP BY query_id UNION ALL
+  SELECT query_id, step, CASE WHEN take THEN list_append(chosen, citation) ELSE chosen END, courts + CASE WHEN take AND kind = 'court' THEN 1 ELSE 0 END, done OR stop OR (take AND stage = 2 AND len(chosen) + 1 >= target) FROM (
+    SELECT *, NOT done AND NOT stop AND NOT list_contains(chosen, citation) AND (stage = 1 OR kind <> 'court' OR courts < cap) AS take FROM (
+      SELECT s.*, c.chosen, c.courts, c.done, s.stage = 3 AND (len(c.chosen) >= s.target OR (s.prob < 0.9 AND len(c.chosen) >= 6)) AS stop FROM scan c JOIN steps s ON s.query_id = c.query_id AND s.step = c.step + 1)))
+SELECT query_id, unnest(chosen) AS citation, generate_subscripts(chosen, 1) AS position FROM (SELECT query_id, arg_max(chosen, step) AS chosen FROM scan GROUP BY query_id)"""
+
+
+@register(_FORCED.replace("WITH ", "WITH RECURSIVE ", 1))
 def select_forced(spark, sf_dir):
-    rows = judged(spark, sf_dir).select("query_id", "citation", "kind", "is_explicit", "auto_bucket", F.col("raw_score").alias("prob"))
-    return select.forced(rows, 25, 6, 0.9, 10).select("query_id", "citation", "position")
+    rows = judged(spark, sf_dir).withColumn("prob", F.col("raw_score"))
+    cfg = select.Forced(mult=0.8, bias=1.5, min_output=6, max_output=28, threshold=0.9, court_fraction=0.3)
+    return select.forced(rows, cfg).select("query_id", "citation", "position")
 
 
 @register(f"""{_C}, s AS (SELECT query_id, citation, round(greatest(raw_score, final_score, coalesce(1.0 / (1 + bm25_rank), 0), coalesce(1.0 / (1 + dense_rank), 0)), 6) AS signal FROM candidates) SELECT query_id, citation, signal, row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, citation) AS rank FROM s QUALIFY rank <= 30""")
