@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
+from lexquarry.operators import substrings
 
 
 def containing(corpus: DataFrame, asked: DataFrame, most: int = 100) -> DataFrame:
     """(asked, citation, n): the first citations, in corpus order, that hold each text asked for.
 
-    `asked` is a short list of statutes; corpus has (citation, pos).
+    corpus has (citation, pos).
     """
-    hit = corpus.join(F.broadcast(asked.select("asked").distinct()), F.contains("citation", "asked"))
-    return _first(hit, most)
+    return _first(substrings.holding(corpus.select("citation", "pos"), "citation", asked, "asked"), most)
 
 
 def starting(corpus: DataFrame, asked: DataFrame, most: int | None = None) -> DataFrame:
     """(asked, citation, n): the citations that begin with each decision asked for; a shorter number matches longer ones too."""
     base = asked.select("asked", fn.court_base(F.col("asked")).alias("base")).distinct()
-    return _first(corpus.join(F.broadcast(base), F.startswith("citation", "base")), most)
+    return _first(substrings.beginning(corpus.select("citation", "pos"), "citation", base, "base"), most)
 
 
 def _first(hit: DataFrame, most: int | None) -> DataFrame:

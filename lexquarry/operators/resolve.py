@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.functions import text as fn
+from lexquarry.operators import substrings
 from lexquarry.operators.fusion import siblings
 
 
@@ -77,7 +78,10 @@ def concat_parts(rows: DataFrame, key: str, text: str, pos: str, cap: int = 1500
 
 def translate(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query_id, terms): the German terms whose English form a query holds, longest first, or the query itself."""
-    hit = queries.join(F.broadcast(glossary), F.contains(F.lower("query"), F.lower("en")), "left")
+    own = queries.select("query_id", "query").withColumn("_text", F.lower("query"))
+    known = glossary.select("en", "de", F.lower("en").alias("_en"))
+    held = substrings.holding(own.select("_text").distinct(), "_text", known, "_en").join(known, "_en").select("_text", "en", "de")
+    hit = own.join(held, "_text", "left")
     terms = F.transform(F.array_sort(F.collect_list(F.when(F.col("de").isNotNull(), F.struct((-F.length("en")).alias("n"), "en", "de")))), lambda x: x["de"])
     return hit.groupBy("query_id", "query").agg(terms.alias("t")).select("query_id", F.when(F.size("t") > 0, F.array_join("t", " ")).otherwise(F.col("query")).alias("terms"))
 
