@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
-from lexquarry.operators import ensemble, extra, features, generations, learn, lookup, metrics, resolve, retrieval, select
+from lexquarry.operators import config_grid, ensemble, extra, features, generations, learn, lookup, metrics, resolve, retrieval, select
 from lexquarry.operators.retrieval import Bm25
 from lexquarry.plans import base
 from lexquarry.plans.base import CANDIDATES, GOLD, IDS, RUNS, WITH_CITED, WITH_HITS, asked, cited, corpus, register, table
@@ -382,7 +382,7 @@ def prior_channels(spark, sf_dir):
 WEIGHTS = {n: round(((i * 37) % 19 - 6) / 10, 1) for i, n in enumerate([*ensemble.PLAIN, *ensemble.SOURCES, *ensemble.PRIORS, *ensemble.PENALTIES])}
 
 
-def _hybrid_sql() -> str:
+def _hybrid_sql(weights: dict | None = None) -> str:
     def count(channel, level):
         key = "citation" if level == "exact" else f"CASE WHEN citation LIKE 'Art.%' THEN {_BASE} END"
         n = f"round(ln(1 + coalesce((SELECT n FROM channels WHERE channel = '{channel}' AND level = '{level}' AND key = {key}), 0)), 9)"
@@ -391,22 +391,78 @@ def _hybrid_sql() -> str:
     plain = ["in_left", "in_right", "in_left AND in_right", "auto_bucket = 'auto_keep'", "is_explicit", "judge_label = 'must_include'", "judge_label = 'plausible'", "judge_label = 'reject'", "judge_confidence", "final_score", "raw_score", "freq", "len(sources)", "law", "NOT law"]
     terms = [f"coalesce(({e})::DOUBLE, 0)" for e in plain] + [f"coalesce(list_contains(sources, '{s}')::DOUBLE, 0)" for s in ensemble.SOURCES.values()] + [count(*x) for x in ensemble.PRIORS.values()]
     terms += ["coalesce((sources = ['court_dense'])::DOUBLE, 0)", "coalesce((len(sources) <= 1)::DOUBLE, 0)"]
-    return " + ".join(f"{w} * {t}" for w, t in zip(WEIGHTS.values(), terms))
+    weights = WEIGHTS if weights is None else weights
+    return " + ".join(f"{weights[n]} * {t}" for n, t in zip(WEIGHTS, terms) if weights[n])
 
 
-@register(f"""{_J}, {_CHANNELS}, pool AS (SELECT query_id, citation, bool_or(v = 1) AS in_left, bool_or(v = 2) AS in_right FROM (SELECT query_id, citation, variant AS v FROM runs WHERE variant IN (1, 2) UNION ALL SELECT query_id, citation, 0 FROM judged WHERE baseline_rank <= 60) GROUP BY ALL),
-z AS (SELECT p.query_id, p.citation, in_left, in_right, j.* EXCLUDE (query_id, citation), j.citation IS NOT NULL AS found, coalesce(j.kind = 'law', p.citation LIKE 'Art.%') AS law FROM pool p LEFT JOIN (FROM judged WHERE baseline_rank <= 60) j ON j.query_id = p.query_id AND j.citation = p.citation)
-SELECT query_id, citation, round({_hybrid_sql()}, 4) AS score FROM z""")
-def hybrid_score(spark, sf_dir):
-    """All 32 weights over the candidates and two prediction sets."""
+def _pooled(spark, sf_dir):
+    """Two prediction sets and the best candidates as one pool, these candidates, and the priors."""
     found = judged(spark, sf_dir).where("baseline_rank <= 60")
     marks = lambda df, l, r: df.select("query_id", "citation", F.lit(l).alias("in_left"), F.lit(r).alias("in_right"))
     pool = marks(base.run(spark, sf_dir, 1), True, False).unionByName(marks(base.run(spark, sf_dir, 2), False, True)).unionByName(marks(found, False, False))
     pool = pool.groupBy("query_id", "citation").agg(F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"))
-    terms = ensemble.hybrid_terms(pool, found, _channels(spark, sf_dir))
+    return pool, found, _channels(spark, sf_dir)
+
+
+_POOLED = """pool AS (SELECT query_id, citation, bool_or(v = 1) AS in_left, bool_or(v = 2) AS in_right FROM (SELECT query_id, citation, variant AS v FROM runs WHERE variant IN (1, 2) UNION ALL SELECT query_id, citation, 0 FROM judged WHERE baseline_rank <= 60) GROUP BY ALL),
+z AS (SELECT p.query_id, p.citation, in_left, in_right, j.* EXCLUDE (query_id, citation), j.citation IS NOT NULL AS found, coalesce(j.kind = 'law', p.citation LIKE 'Art.%') AS law FROM pool p LEFT JOIN (FROM judged WHERE baseline_rank <= 60) j ON j.query_id = p.query_id AND j.citation = p.citation)"""
+
+
+@register(f"{_J}, {_CHANNELS}, {_POOLED} SELECT query_id, citation, round({_hybrid_sql()}, 4) AS score FROM z")
+def hybrid_score(spark, sf_dir):
+    """All 32 weights over the candidates and two prediction sets."""
+    terms = ensemble.hybrid_terms(*_pooled(spark, sf_dir))
     return terms.select("query_id", "citation", F.round(ensemble.linear_score(terms, WEIGHTS), 4).alias("score"))
 
 
+#: The whole grid around one configuration: fixed values.
+GRID = config_grid.Grid.of(
+    {**dict.fromkeys(WEIGHTS, 0.0), "v7_bonus": 0.5, "v11_bonus": 2.0, "auto_keep_bonus": 0.5, "must_bonus": 1.0, "plausible_bonus": 0.5, "conf_weight": 1.5, "final_weight": 2.0, "raw_weight": 0.3, "gpt_freq_weight": 0.8, "single_source_penalty": -0.5},
+    {"both_bonus": [0.0, 0.5, 1.0], "court_bonus": [-1.0, -0.8, -0.5, -0.2, 0.0], "court_dense_bonus": [-0.8, -0.5, -0.2, 0.0], "exact_train_weight": [0.0, 0.1, 0.3], "law_base_train_weight": [0.0, 0.1, 0.3, 0.5], "dense_law_base_train_weight": [0.0, 0.2, 0.5, 0.8]},
+    law_per_base=[0, 1, 2, 3], court_per_base=[0, 1, 2], court_fraction=[0.15, 0.2, 0.25],
+)
+DRAWN = [(i * 7919 + 13) % 103_680 for i in range(16)]
+
+
+def _grid_rows(spark, sf_dir):
+    return config_grid.terms(*_pooled(spark, sf_dir), base.gold(spark, sf_dir))
+
+
+@register()
+def hybrid_grid(spark, sf_dir):
+    """The 100 best of all 103,680 configurations by objective; tests hold the grid against a loop, hybrid_grid_drawn against SQL."""
+    scores = config_grid.grid_scores(config_grid.selected_counts(_grid_rows(spark, sf_dir), GRID), base.gold(spark, sf_dir), base.queries(spark, sf_dir))
+    return scores.orderBy(F.desc("objective"), "config_id").limit(100)
+
+
+def _grid_sql() -> str:
+    """The loop of the selection for the drawn configurations, a candidate a step."""
+    varied = ["both_bonus", "court_bonus", "court_dense_bonus", "exact_train_weight", "law_base_train_weight", "dense_law_base_train_weight"]
+    rows = [(i, *[GRID.config(i)[x] for x in (*varied, "law_per_base", "court_per_base", "court_fraction")]) for i in DRAWN]
+    fixed = {n: (n if n in varied else w) for n, w in zip(GRID.names, GRID.weights[0].tolist())}
+    return f"""{_J}, {_CHANNELS}, {_POOLED}, cfg(config_id, {', '.join(varied)}, law_per_base, court_per_base, court_fraction) AS (VALUES {', '.join(map(str, rows))}),
+    est AS (SELECT query_id, max(estimate) AS est FROM z WHERE found GROUP BY ALL),
+    zl AS (SELECT z.*, coalesce(g.x, 0) AS label FROM z LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING (query_id, citation)),
+    sc AS (SELECT config_id, query_id, citation, NOT law AS court, CASE WHEN law THEN {_BASE} ELSE trim(regexp_replace(citation, '\\s+E\\.\\s+.*$', '')) END AS base, label, law_per_base, court_per_base,
+      least(32, greatest(8, round_even(est * 1.0, 0) + 2))::INT AS target, court_fraction, row_number() OVER (PARTITION BY config_id, query_id ORDER BY round({_hybrid_sql(fixed)}, 6) DESC, coalesce(in_left, false) DESC, coalesce(in_right, false) DESC, citation) AS step FROM zl JOIN est USING (query_id) CROSS JOIN cfg),
+    scan AS (SELECT config_id, query_id, 0::BIGINT AS step, 0 AS n, 0 AS tp, 0 AS courts, []::VARCHAR[] AS bases FROM sc GROUP BY ALL UNION ALL
+      SELECT config_id, query_id, step, n + take::INT, tp + CASE WHEN take THEN label ELSE 0 END, courts + (take AND court)::INT, CASE WHEN take THEN list_append(bases, key) ELSE bases END FROM (
+        SELECT *, n < target AND NOT (court AND courts >= round_even(target * court_fraction::DOUBLE, 0)) AND NOT (NOT court AND law_per_base > 0 AND has >= law_per_base) AND NOT (court AND court_per_base > 0 AND has >= court_per_base) AS take FROM (
+          SELECT s.*, concat(s.court, s.base) AS key, c.n, c.tp, c.courts, c.bases, len(list_filter(c.bases, lambda b: b = concat(s.court, s.base))) AS has FROM scan c JOIN sc s ON s.config_id = c.config_id AND s.query_id = c.query_id AND s.step = c.step + 1))),
+    ends AS (SELECT config_id, query_id, arg_max(n, step) AS n, arg_max(tp, step) AS tp, arg_max(courts, step) AS courts FROM scan GROUP BY ALL),
+    per AS (SELECT config_id, CASE WHEN coalesce(n, 0) + coalesce(m, 0) = 0 THEN 1.0 ELSE 2 * coalesce(tp, 0) / (coalesce(n, 0) + coalesce(m, 0)) END::DOUBLE AS f1, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE courts / n END::DOUBLE AS share
+      FROM queries CROSS JOIN (SELECT config_id FROM cfg) LEFT JOIN ends USING (config_id, query_id) LEFT JOIN (SELECT query_id, count(*) AS m FROM gold GROUP BY ALL) USING (query_id)),
+    means AS (SELECT config_id, avg(f1) AS f, avg(n) AS k, avg(share) AS c FROM per GROUP BY ALL)
+    SELECT config_id::INT AS config_id, round(f, 6) AS macro_f1, round(k, 6) AS avg_n, round(c, 6) AS court_fraction, round(f - greatest(0, 0.28 - c) * 0.9 - greatest(0, 24 - k) * 0.01, 6) AS objective FROM means""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register(_grid_sql())
+def hybrid_grid_drawn(spark, sf_dir):
+    """Sixteen configurations of the grid by the same operator."""
+    counts = config_grid.selected_counts(_grid_rows(spark, sf_dir), GRID, DRAWN)
+    return config_grid.grid_scores(counts, base.gold(spark, sf_dir), base.queries(spark, sf_dir))
+
+
 # Searches of configurations, folds and selections.
 
 _OPTIONS = dict(target_mult=[0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7], bias=[-8, -6, -4, -2, 0, 2], min_out=[2, 4, 6, 8], max_out=[8, 10, 12, 14, 16, 18, 20], thresh=[0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 0.8, 0.9], court_cap_frac=[0.0, 0.05, 0.1, 0.15, 0.2, 0.25])
