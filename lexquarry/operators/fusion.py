@@ -30,11 +30,12 @@ def run_score(kind: Column, freq: Column) -> Column:
     return F.when(kind == "law", F.least(F.lit(0.80) + freq * 0.05, F.lit(0.95))).otherwise(F.least(F.lit(0.78) + freq * 0.05, F.lit(0.93)))
 
 
-def siblings(corpus: DataFrame, most: int) -> DataFrame:
-    """(base, citation, n): the first considerations of each decision in key order."""
+def siblings(corpus: DataFrame, most: int | None = None) -> DataFrame:
+    """(base, citation, n): the first considerations of each decision in key order, or all."""
     w = Window.partitionBy("base").orderBy("citation")
     named = corpus.select(fn.court_base(F.col("citation")).alias("base"), "citation").distinct()
-    return named.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    placed = named.withColumn("n", F.row_number().over(w))
+    return placed if most is None else placed.where(F.col("n") <= most)
 
 
 def cocited(scored: DataFrame, mentions: DataFrame, corpus: DataFrame, most: int = 15, share: float = 0.3, default: float = 0.5) -> DataFrame:

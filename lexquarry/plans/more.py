@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as fn
@@ -244,6 +246,7 @@ def json_salvage(spark, sf_dir):
 
 # Generations.
 
+_KEY_STATUTES = "CASE query_id % 3 WHEN 0 THEN ['StPO', 'ZGB', 'OR'] WHEN 1 THEN ['OR', 'Art. 1'] ELSE ['BGG'] END"
 _STATE = "CASE WHEN citation IN (FROM known) THEN 'known' WHEN kind = 'court' AND query_id % 2 = 0 THEN 'sibling' WHEN length(citation) % 2 = 0 THEN 'fuzzy' ELSE 'unknown' END"
 
 
@@ -251,20 +254,29 @@ def _gen_sql() -> str:
     def value(x):
         return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x!r}::VARCHAR[]" if isinstance(x, list) else repr(x)
 
-    rows = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in generations.ROWS)
-    return f"""{WITH_HITS}, g AS (SELECT * FROM (VALUES {rows}) t({', '.join(generations.SCHEMA_AT)})), known AS (SELECT DISTINCT citation FROM hits WHERE score < 0.5),
+    columns = [x.split()[0] for x in re.sub("<[^>]*>", "", generations.SCHEMA).split(",")]
+    rows = ", ".join("(" + ", ".join(value(x) for x, n in zip(r, columns) if n not in ("boost", "ranks", "rank_else")) + ")" for r in generations.ROWS)
+    named = [n for n in columns if n not in ("boost", "ranks", "rank_else")]
+    return f"""{WITH_HITS}, g AS (SELECT * FROM (VALUES {rows}) t({', '.join(named)})), known AS (SELECT DISTINCT citation FROM hits WHERE score < 0.5),
 h AS (SELECT query_id, citation, kind, CASE WHEN is_explicit THEN 'explicit' ELSE source END AS source, CASE WHEN NOT is_explicit AND source = 'bm25' THEN score * 30 ELSE score END AS score, event_id % 150 + 1 AS rank, freq, {_STATE} AS state FROM hits),
 x AS (SELECT *, max(CASE WHEN source = 'bm25' THEN score END) OVER (PARTITION BY generation, query_id) AS best FROM h, g),
 w AS (SELECT *, round(CASE source WHEN 'dense' THEN score * dense * CASE WHEN rank <= dense_top THEN dense_lift ELSE 1 END WHEN 'bm25' THEN CASE WHEN rank <= bm25_top THEN score / coalesce(bm25_div, best) * bm25 END
  WHEN 'gpt_full' THEN CASE WHEN by_freq THEN CASE WHEN state <> 'unknown' THEN CASE WHEN kind = 'law' THEN least(0.80::DOUBLE + freq * 0.05::DOUBLE, 0.95) - CASE WHEN state = 'fuzzy' THEN 0.05::DOUBLE ELSE 0 END WHEN state = 'sibling' THEN 0.70 WHEN state = 'fuzzy' THEN 0.85 ELSE least(0.78::DOUBLE + freq * 0.05::DOUBLE, 0.93) END END
    WHEN kind = 'law' THEN CASE WHEN state = 'known' THEN law ELSE law_else END ELSE CASE WHEN state = 'known' THEN court ELSE court_else END END
  WHEN 'explicit' THEN CASE WHEN state = 'known' THEN explicit WHEN state <> 'unknown' THEN coalesce(explicit_fuzzy, explicit_else) ELSE explicit_else END
- WHEN 'court_dense' THEN CASE WHEN generation IN ('v8', 'v11') THEN CASE WHEN rank <= 10 THEN 0.72 WHEN rank <= 25 THEN 0.66 WHEN rank <= 50 THEN 0.58 WHEN rank <= 100 THEN 0.50 ELSE 0.44 END WHEN generation = 'v1' THEN score END
+ WHEN 'court_dense' THEN CASE WHEN generation = 'v8' THEN CASE WHEN rank - 1 < 20 THEN 0.68 WHEN rank - 1 < 50 THEN 0.60 WHEN rank - 1 < 100 THEN 0.52 ELSE 0.42 END WHEN generation = 'v11' THEN CASE WHEN rank <= 10 THEN 0.72 WHEN rank <= 25 THEN 0.66 WHEN rank <= 50 THEN 0.58 WHEN rank <= 100 THEN 0.50 ELSE 0.44 END WHEN generation = 'v1' THEN score END
  WHEN 'gpt_specific' THEN CASE WHEN state = 'known' THEN 0.92 WHEN state <> 'unknown' THEN 0.88 END WHEN 'gpt_case' THEN CASE WHEN state = 'known' THEN 0.85 END END::DOUBLE, 9) AS worth FROM x),
-o AS (SELECT generation, query_id, citation, max(worth) AS raw_score, list_sort(list(DISTINCT source)) AS sources FROM w WHERE worth IS NOT NULL GROUP BY ALL),
-c AS (SELECT o.*, two, two_cap, three, three_cap, statutes, CASE WHEN list_contains(counted, '*') THEN len(sources) ELSE len(list_intersect(sources, counted)) END AS n FROM o JOIN g USING (generation)),
-b AS (SELECT *, CASE WHEN n >= 2 THEN least(raw_score * two, two_cap) ELSE raw_score END AS t2 FROM c), d AS (SELECT *, CASE WHEN n >= 3 THEN least(t2 * three, three_cap) ELSE t2 END AS t3 FROM b),
-s AS (SELECT generation, query_id, citation, raw_score, round(CASE WHEN statutes AND (contains(citation, 'StPO') OR contains(citation, 'ZGB') OR contains(citation, 'OR')) THEN least(t3 * 1.3, 0.92) ELSE t3 END, 6) AS score, sources FROM d)"""
+o AS (SELECT generation, query_id, citation, max(worth) AS raw_score, max(CASE WHEN NOT (generation IN ('v3', 'v4') AND source = 'gpt_case') THEN worth END) AS early, max(CASE WHEN generation IN ('v3', 'v4') AND source = 'gpt_case' THEN worth END) AS late, list_sort(list(DISTINCT source)) AS sources FROM w WHERE worth IS NOT NULL GROUP BY ALL),
+k AS (SELECT o.*, CASE WHEN (generation = 'v3' AND list_contains(sources, 'bm25')) OR generation = 'v4' THEN len(list_filter({_KEY_STATUTES}, lambda s: contains(citation, s))) ELSE 0 END AS times FROM o),
+l AS (SELECT *, CASE times WHEN 0 THEN early WHEN 1 THEN least(early * 1.3, 0.92) ELSE least(least(early * 1.3, 0.92) * 1.3, 0.92) END AS lifted FROM k),
+c AS (SELECT l.*, two, two_cap, three, three_cap, CASE WHEN list_contains(counted, '*') THEN len(sources) ELSE len(list_intersect(sources, counted)) END AS n FROM l JOIN g USING (generation)),
+b AS (SELECT *, CASE WHEN n >= 2 THEN least(lifted * two, two_cap) ELSE lifted END AS t2 FROM c), d AS (SELECT *, CASE WHEN n >= 3 THEN least(t2 * three, three_cap) ELSE t2 END AS t3 FROM b),
+s AS (SELECT generation, query_id, citation, raw_score, round(greatest(t3, late), 6) AS score, sources FROM d)"""
+
+
+def _key_statutes(spark, sf_dir):
+    """The key statutes of each query."""
+    return base.queries(spark, sf_dir).select("query_id", F.expr(_KEY_STATUTES.replace("[", "array(").replace("]", ")")).alias("statutes"))
 
 
 def _generation_hits(spark, sf_dir):
@@ -277,7 +289,7 @@ def _generation_hits(spark, sf_dir):
 
 @register(_gen_sql() + " SELECT generation, query_id, citation, raw_score, score, array_to_string(sources, ';') AS sources FROM s")
 def generation_scores(spark, sf_dir):
-    rows = generations.scored(_generation_hits(spark, sf_dir), generations.table(spark))
+    rows = generations.scored(_generation_hits(spark, sf_dir), generations.table(spark), _key_statutes(spark, sf_dir))
     return rows.select("generation", "query_id", "citation", "raw_score", "score", F.array_join("sources", ";").alias("sources"))
 
 
@@ -286,7 +298,7 @@ def generation_lists(spark, sf_dir):
     """Every generation's final list: scored, with siblings, verified, cut; tests hold each cut against its own operator."""
     configs = generations.table(spark)
     known = base.hits(spark, sf_dir).where("score < 0.5").select("citation")
-    rows = generations.scored(_generation_hits(spark, sf_dir), configs)
+    rows = generations.scored(_generation_hits(spark, sf_dir), configs, _key_statutes(spark, sf_dir))
     rows = generations.with_siblings(rows, known.where("citation LIKE 'BGE%'"), configs)
     estimates = base.queries(spark, sf_dir).withColumn("estimate", F.col("query_id") % 30 + 3)
     before = configs.withColumn("verify", F.when(F.col("verify") == "after", "none").otherwise(F.col("verify")))
