@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -307,3 +309,38 @@ def scorecard(spark, sf_dir):
     size = metrics.shape(base.run(spark, sf_dir, 1), queries).select("avg_n")
     like = metrics.jaccard(base.run(spark, sf_dir, 1), base.run(spark, sf_dir, 3), queries).agg(F.round(F.avg("jaccard"), 4).alias("jaccard"))
     return quality.crossJoin(size).crossJoin(like)  # three single rows
+
+
+_FED = "CASE WHEN source IN ('dense', 'bm25') THEN 0 WHEN source LIKE 'gpt%' THEN 1 ELSE 2 END"
+
+
+@register(f"{WITH_HITS} SELECT concat(query_id, '/', citation) AS key, arg_max(source, {_FED} * 1000000000000 + event_id) AS label, arg_max(event_id, {_FED} * 1000000000000 + event_id) AS pos FROM hits GROUP BY ALL")
+def judge_cache_stream(spark, sf_dir):
+    """Answers that come in three batches, one of them twice, and are compacted: the last of each key."""
+    from lexquarry.sources.committed import Committed
+    from lexquarry.sources.scratch import scratch
+    from lexquarry.streaming import cache
+
+    root = f"{scratch(spark).root}/stream-{uuid.uuid4().hex}"
+    rows = base.hits(spark, sf_dir).select(F.concat(F.col("query_id").cast("string"), F.lit("/"), "citation").alias("key"), F.col("source").alias("label"), F.col("event_id").alias("pos"), F.expr(_FED).alias("fed"))
+    table = Committed(spark, f"{root}/table")
+    for batch in range(3):  # a file each, so a batch each
+        rows.where(F.col("fed") == batch).drop("fed").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        cache.follow_into(spark, f"{root}/in", "key string, label string, pos long", table, f"{root}/checkpoint").awaitTermination()
+    cache.keeper(table)(rows.where("fed = 0").drop("fed"), 0)  # a batch that comes again
+    cache.compact(table)
+    cache.keeper(table)(rows.where("fed = 1").drop("fed"), 1)
+    return cache.current(table).select("key", "label", "pos")
+
+
+@register("""WITH RECURSIVE q AS (SELECT conv_id AS session, turn, length(text) % 17 + 1 AS estimate, length(text) % 40 AS available, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations),
+r AS (SELECT session, 0::BIGINT AS step, 0::BIGINT AS turn, 0::BIGINT AS target, 0::BIGINT AS taken, 0::BIGINT AS total FROM q GROUP BY ALL UNION ALL
+  SELECT session, step, turn, target, least(target, available), total + least(target, available) FROM (SELECT q.session, q.step, q.turn, q.available, r.total, CASE WHEN r.step = 0 THEN q.estimate ELSE greatest(q.estimate, floor(r.total / r.step * 0.8::DOUBLE)::BIGINT) END AS target FROM r JOIN q ON q.session = r.session AND q.step = r.step + 1))
+SELECT session, turn, target, taken FROM r WHERE step > 0""")
+def session_targets(spark, sf_dir):
+    """Each turn's target, which follows what the conversation has taken before."""
+    from lexquarry.streaming import cache
+
+    size = F.length("text")
+    rows = base.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", (size % 17 + 1).alias("estimate"), (size % 40).alias("available"))
+    return cache.carried(rows, pos="turn").select("session", "turn", "target", "taken")

@@ -55,18 +55,19 @@ class Committed:
         return out
 
     def append(self, rows: DataFrame, name: str, instead_of: list[str] | None = None, **facts) -> bool:
-        """Publishes rows as a batch; False if one of this name is there already.  `facts` are kept with it.
+        """Publishes rows as a batch; False if one of this name is there already, or was.  `facts` are kept with it.
 
-        With instead_of, the named batches leave in the same step.
+        With instead_of, the named batches leave in the same step; their names stay taken.
         """
         version = self.version()
         before = self.batches(version)
-        if any(b["name"] == name for b in before):
+        if any(name == b["name"] or name in b["held"] for b in before):
             return False
         folder, seen = uuid.uuid4().hex, Observation()
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/data/{folder}")
         kept = [b for b in before if b["name"] not in (instead_of or [])]
-        own = {"name": name, "folder": folder, "rows": seen.get["rows"], "schema": _ddl(rows), **facts}
+        held = sorted({n for b in before if b["name"] in (instead_of or []) for n in (b["name"], *b["held"])})
+        own = {"name": name, "held": held, "folder": folder, "rows": seen.get["rows"], "schema": _ddl(rows), **facts}
         self._publish(version + 1, [*kept, own])
         return True
 
