@@ -100,20 +100,35 @@ def appended_rows(spark, sf_dir):
     return spark.read.parquet(path).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
-@register("SELECT unnest(['a.csv', 'c.csv']) AS name")
+@register("""SELECT regexp_replace(r_name, '[^A-Za-z0-9_.-]+', '_', 'g') || '.csv' AS name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS tests, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_name < 'J') AS vals
+FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_name < 'J') AND EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)""")
 def file_pairs(spark, sf_dir):
-    path = _folder(spark, "pairs")
-    for name in ("test_submission_a.csv", "val_pred_a.csv", "test_submission_b.csv", "val_pred_c.csv", "test_submission_c.csv"):
-        spark.range(1).write.csv(f"{path}/{name}")
-    return io.pair_files(spark, path).select("name")
+    """A file of nations for each region, and one of its first nations where it has some; the pairs are found by name and read."""
+    path, name = _folder(spark, "pairs"), F.concat(fn.safe_name(F.col("r_name")), F.lit(".csv"))
+    rows = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(name.alias("name"), "n_name")
+    for prefix, part in (("test_submission_", rows), ("val_pred_", rows.where("n_name < 'J'"))):
+        for r in part.select("name").distinct().collect():  # regions
+            part.where(F.col("name") == r["name"]).select("n_name").write.csv(f"{path}/{prefix}{r['name']}", header=True)
+    out = None
+    for p in io.pair_files(spark, path).collect():
+        sides = [spark.read.csv(p[side], header=True).agg(F.count("n_name").alias(n)) for side, n in (("left", "tests"), ("right", "vals"))]
+        one = sides[0].crossJoin(sides[1]).select(F.lit(p["name"]).alias("name"), "tests", "vals")  # a row each
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "name string, tests long, vals long")
 
 
-@register("SELECT 0.5::DOUBLE AS thresh, 40 AS target")
+_CONFIG = "cfg AS (SELECT round(avg(raw_score), 3) AS thresh, count(DISTINCT kind) * 5 AS target FROM candidates)"
+
+
+@register(f"{WITH_HITS}, {CANDIDATES}, {_CONFIG} SELECT query_id, citation, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, citation) AS position FROM candidates, cfg WHERE raw_score >= thresh QUALIFY position <= min(target) OVER ()")
 def saved_config(spark, sf_dir):
-    path = _folder(spark, "config")
-    extra.save_config({"thresh": 0.5, "target": 40}, path, spark)
+    """A configuration that is taken from the candidates, saved, loaded and applied to them."""
+    path, rows = _folder(spark, "config"), base.candidates(spark, sf_dir)
+    found = rows.agg(F.round(F.avg("raw_score"), 3), F.count_distinct("kind") * 5).first()
+    extra.save_config({"thresh": found[0], "target": found[1]}, path, spark)
     c = extra.load_config(path, spark)
-    return spark.createDataFrame([(c["thresh"], c["target"])], "thresh double, target int")
+    chosen = select.greedy(rows, F.lit(c["target"]), F.lit(1 << 30), F.lit(c["thresh"]), F.lit(0), score="raw_score")
+    return chosen.select("query_id", "citation", "position")
 
 
 # Saved indexes.
