@@ -137,14 +137,22 @@ def sweep(scored: DataFrame, gold: DataFrame, queries: DataFrame, configs: DataF
 
 
 def _sweep(scored: DataFrame, gold: DataFrame, queries: DataFrame, configs: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """A query's candidates are one array, best first, each with its rank among the courts.
+
+    What a configuration keeps is the beginning of what its court cap leaves of the
+    array, so candidates are shuffled once, whatever the number of configurations.
+    """
     order = [F.desc("prob"), F.asc("citation")]
     marks = labelled(scored.select("query_id", "citation", "kind", "prob"), gold)
-    ranks = marks.withColumn("kind_rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(*order)))
-    every = ranks.crossJoin(F.broadcast(configs)) if sizes is None else ranks.join(sizes, "query_id")
-    pairs = every.where((F.col("kind") != "court") | (F.col("kind_rank") <= F.col("court_cap")))
-    place = pairs.withColumn("position", F.row_number().over(Window.partitionBy("config_id", "query_id").orderBy(*order)))
-    kept = place.where((F.col("position") <= F.col("target")) & ((F.col("prob") >= F.col("thresh")) | (F.col("position") <= F.col("min_out"))))
-    got = kept.groupBy("config_id", "query_id").agg(F.count("*").alias("n_pred"), F.sum("label").alias("tp"))
+    court_rank = F.when(F.col("kind") == "court", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(*order))).otherwise(0)
+    ranks = marks.withColumn("court_rank", court_rank).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    lists = ranks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "court_rank", "prob", "label"))).alias("all"))
+    every = lists.crossJoin(F.broadcast(configs)) if sizes is None else lists.join(sizes, "query_id")  # a row for each query and configuration
+    left = F.filter("all", lambda x: x["court_rank"] <= F.col("court_cap"))
+    sure = lambda rows: F.size(F.filter(rows, lambda x: x["prob"] >= F.col("thresh")))
+    count = lambda rows: F.greatest(F.lit(0), F.least(F.col("target"), F.size(rows), F.greatest(sure(rows), F.col("min_out")))).cast("int")
+    right = lambda rows, n: F.aggregate(F.slice(rows, F.lit(1), n), F.lit(0), lambda s, x: s + x["label"])
+    got = every.select("config_id", "query_id", fn.let(left, lambda rows: fn.let(count(rows), lambda n: F.struct(n.alias("n_pred"), right(rows, n).alias("tp")))).alias("got")).select("config_id", "query_id", "got.n_pred", "got.tp")
     size = queries.select("query_id").distinct().join(gold.groupBy("query_id").agg(F.count_distinct("citation").alias("n_gold")), "query_id", "left").fillna(0, ["n_gold"])
     rows = size.crossJoin(F.broadcast(configs.select("config_id"))).join(got, ["config_id", "query_id"], "left").fillna(0, ["n_pred", "tp"])
     empty = (F.col("n_pred") == 0) & (F.col("n_gold") == 0)
