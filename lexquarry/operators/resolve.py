@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What sequence_ratio cannot exceed: the letters that both have, as often as both have them, are all that blocks can match."""
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
+    times = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    common = F.aggregate(letters, F.lit(0), lambda s, c: s + F.least(times(a, c), times(b, c)))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * common / F.greatest(F.lit(1), total))
+
+
+def likely_matches(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (citation, match) whose ratio may be `least` or more; the others are never compared block by block."""
+    return pairs.where(ratio_bound(F.col("citation"), F.col("match")) >= least - 1e-9)
+
+
 def law_candidates(wanted: DataFrame, corpus: DataFrame) -> DataFrame:
     """(citation, match, n): for what the corpus lacks, its citations of the same statute and article, and how many."""
     key = lambda df, name: df.select("citation", fn.law_key(F.col("citation")).alias("key")).where("key IS NOT NULL").select(F.col("citation").alias(name), "key.statute", "key.article").distinct()
@@ -33,7 +47,7 @@ def resolve_laws(wanted: DataFrame, corpus: DataFrame, least: float = 0.75) -> D
     own = wanted.select("citation").distinct().join(corpus.select("citation"), "citation", "left_semi").withColumn("match", F.col("citation"))
     pairs = law_candidates(wanted, corpus)
     single = pairs.where("n = 1").select("citation", "match")
-    rated = pairs.where("n > 1").withColumn("ratio", sequence_ratio("citation", "match"))
+    rated = likely_matches(pairs.where("n > 1"), least).withColumn("ratio", sequence_ratio("citation", "match"))
     w = Window.partitionBy("citation").orderBy(F.desc("ratio"), F.asc("match"))
     several = rated.where(F.col("ratio") >= least).withColumn("r", F.row_number().over(w)).where("r = 1").select("citation", "match")
     return own.unionByName(single).unionByName(several)
