@@ -174,18 +174,22 @@ class Stack:
     def read(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np.ndarray) -> list[tuple[bytes, int, int]]:
         """Takes suffixes in reverse order; gives (key, words, count) of prefixes that closed and count."""
         last, self.last = self.last, data[starts[-1] : ends[-1]].tobytes()
-        data = np.concatenate([np.frombuffer(last, np.uint8), data])
-        starts, ends = starts + len(last), ends + len(last)
-        before, stop = np.append(0, starts[:-1]), np.append(len(last), ends[:-1])
-        shared, live, k = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
-        while len(live):  # bytes in common with the suffix before
-            live = live[(starts[live] + k < ends[live]) & (before[live] + k < stop[live])]
-            live = live[data[starts[live] + k] == data[before[live] + k]]
-            k += 1
-            shared[live] = k
         marks = np.flatnonzero(data == 0)
         first = np.searchsorted(marks, starts)
         count = np.searchsorted(marks, ends) - first
+        # the parts of all keys, each with the NUL behind it, as numbers
+        bounds = np.append(0, marks + 1).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode().indices.to_numpy()
+        shared = np.zeros(len(starts), np.int64)  # parts in common with the suffix before
+        alike = np.ones(len(starts), bool)
+        alike[0] = False
+        for depth in range(self.depths):
+            alike[1:] &= (count[1:] > depth) & (count[:-1] > depth)
+            at = np.flatnonzero(alike)
+            alike[at] = parts[first[at] + depth] == parts[first[at - 1] + depth]
+            shared[alike] = depth + 1
+        own, before = data[starts[0] : ends[0]].tobytes().split(b"\0")[:-1], last.split(b"\0")[:-1]
+        shared[0] = next((i for i, (x, y) in enumerate(zip(own, before)) if x != y), min(len(own), len(before)))
         out = []
         for depth in range(1, self.depths + 1):
             rows = np.flatnonzero(count >= depth)
@@ -193,7 +197,7 @@ class Stack:
                 out += self.close(depth, last)
                 continue
             size = marks[first[rows] + depth - 1] + 1 - starts[rows]
-            new = shared[rows] < size
+            new = shared[rows] < depth
             if rows[0] and not new[0]:
                 raise ValueError("suffixes are not in order")
             if new[0]:
