@@ -40,7 +40,7 @@ named columns are read, any others have no effect.
 from __future__ import annotations
 
 import dataclasses
-import gc
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -63,6 +63,8 @@ STORED, SUMMED = -1, -2
 #: Word numbers of a token that was never seen and of the start.
 UNSEEN, START = -1, -2
 
+#: Spark's setting that drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASKED = "block long, part int, words binary, data binary"
 ANSWERED = f"{ASKED}, counts array<long>, hot array<long>, low double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -381,10 +383,18 @@ def _evaluated(table: pa.Table, model: Model, upto: int) -> tuple[Block, dict]:
     return b, own
 
 
-def swept(spark: SparkSession) -> None:
-    """Asks the driver for a collection, so that Spark drops the shuffle files of the steps that are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of the jobs within are dropped as soon as each is done, since what they lead to is written; the session's setting comes back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def _asker(m: int, model: Model):
@@ -421,10 +431,9 @@ def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None,
             wanted = _with_answers(files, cut, answers).applyInArrow(_asker(m, model), ASKED)
         if old:
             wanted = wanted.unionByName(old.tables[m - 1].select("block", "part", "words", "data"))
-        told = files.keep(wanted.groupBy("part").applyInArrow(add_words(parts) if m == 1 else add_grams(m, model), ANSWERED), f"counts-{m}")
+        with cleaned(spark):
+            told = files.keep(wanted.groupBy("part").applyInArrow(add_words(parts) if m == 1 else add_grams(m, model), ANSWERED), f"counts-{m}")
         answers.append(told)
-        wanted = None
-        swept(spark)
         if not old:
             model = _learned(told, m, model, parts)
     done = dataclasses.replace(model, tables=())
