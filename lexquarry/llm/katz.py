@@ -88,6 +88,32 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Which rows differ from the row before in some column; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def pack_grams(keys: list[np.ndarray], *rest: np.ndarray) -> bytes:
+    """pack() of rows in the order of their keys: each key as its step from the row before, or itself where an earlier key is another one."""
+    steps = [np.diff(keys[0], prepend=0)]
+    for k in range(1, len(keys)):
+        steps.append(np.where(_starts(keys[:k]), keys[k], np.diff(keys[k], prepend=0)))
+    return pack(*steps, *rest)
+
+
+def unpack_grams(data: bytes, m: int) -> list[np.ndarray]:
+    out = unpack(data)
+    out[0] = np.cumsum(out[0])
+    for k in range(1, m):
+        starts, total = np.flatnonzero(_starts(out[:k])), np.cumsum(out[k])
+        out[k] = total - np.repeat((total - out[k])[starts], np.diff(starts, append=len(total)))
+    return out
+
+
 def pack_words(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
 
@@ -144,9 +170,15 @@ def blocks(docs: DataFrame) -> DataFrame:
             flat = np.fromiter(chain.from_iterable(split), np.int32, int(count.sum()))
             ends = np.cumsum(c.per_text(count))
             codes = np.insert(flat[gather(np.cumsum(count) - count, count, c.codes)], ends, 0)
+            often = np.bincount(codes, minlength=len(known))
+            often[0] = len(codes) + 1
+            order = np.argsort(-often, kind="stable")  # frequent words have small numbers, which take less room
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            codes, named = place[codes], list(known)
             train = part.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-            row = [pa.array([number]), pa.array([None], pa.int32()), pa.array([pack_words(list(known))]), pa.array([pack(codes, ends + np.arange(1, len(ends) + 1), train)]), ids, pa.array([len(codes)])]
+            row = [pa.array([number]), pa.array([None], pa.int32()), pa.array([pack_words([named[i] for i in order.tolist()])]), pa.array([pack(codes, ends + np.arange(1, len(ends) + 1), train)]), ids, pa.array([len(codes)])]
             yield pa.RecordBatch.from_arrays(row, names=["block", "part", "words", "data", "ids", "tokens"])
             number += 1
 
@@ -195,10 +227,10 @@ class Block:
         return np.where(self.at >= m - 2, before, 0)
 
     def wanted(self, m: int, model: Model) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The tokens whose n-gram of length m has a context that was seen, the ranks of its words, and the context's count."""
+        """The tokens whose n-gram of length m has a context that was seen, the ranks of its words (the nearest of the context first, the token itself last), and the context's count."""
         context = self.context(m, model)
         rows = np.flatnonzero(context > 0)
-        words = [np.where(self.at[rows] >= k, self.rank[np.maximum(rows - k, 0)], self.start) for k in range(m - 1, -1, -1)]
+        words = [np.where(self.at[rows] >= k, self.rank[np.maximum(rows - k, 0)], self.start) for k in (*range(1, m), 0)]
         return rows, words, context[rows]
 
     def grouped(self, m: int, model: Model, parts: int):
@@ -217,14 +249,14 @@ class Block:
         return rows, inverse, first, keys, hot, list(_split(h ^ (h >> np.uint64(29)), parts))
 
     def ask(self, m: int, model: Model, parts: int):
-        """(part, columns): the words of the distinct n-grams, their counts, the counts of the n-gram and the context that p_{m-1} comes from, and whether the context is hot."""
+        """(part, packed columns): the words of the distinct n-grams, their counts, the counts of the n-gram and (as steps) the context that p_{m-1} comes from, and whether the context is hot."""
         rows, inverse, first, keys, hot, split = self.grouped(m, model, parts)
         n = np.bincount(inverse, self.train[rows], len(first)).astype(np.int32)
         seen = n > 0
         lower = np.where(seen, self.c[m - 1][rows][first], 0).astype(np.int32 if model.tokens < 1 << 31 else np.int64)
-        over = np.where(seen, self.context(m - 1, model)[rows][first], 0) if m > 2 else np.zeros(len(first), np.int64)
-        for part, at in split:
-            yield part, [*[k[at] for k in keys], n[at], lower[at], over.astype(lower.dtype)[at], hot[at].astype(np.uint8)]
+        over = self.context(m - 1, model)[rows][first] if m > 2 else np.zeros(len(first), np.int64)
+        for part, at in split:  # rows that lie together have the same `over`
+            yield part, pack_grams([k[at] for k in keys], n[at], lower[at], np.diff(over[at], prepend=0).astype(lower.dtype), hot[at].astype(np.uint8))
 
     def learn(self, m: int, model: Model, parts: int, answers: dict[int, list[np.ndarray]]) -> None:
         """Takes the counts of length m, and goes from p_{m-1} to p_m."""
@@ -271,10 +303,7 @@ def _split(hashes: np.ndarray, parts: int):
 
 def _runs(columns: list[np.ndarray]) -> np.ndarray:
     """The number of the run of equal rows that each row is in."""
-    new = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    return np.cumsum(_starts(columns)) - 1
 
 
 def add_words(parts: int):
@@ -313,7 +342,9 @@ def add_grams(m: int, model: Model):
 
     def run(key, table):
         part, rows = key[0].as_py(), sorted(table.select(["block", "data"]).to_pylist(), key=lambda r: r["block"])
-        data = [unpack(r["data"]) for r in rows]
+        data = [unpack_grams(r["data"], m) for r in rows]
+        for d in data:
+            d[m + 2] = np.cumsum(d[m + 2], dtype=d[m + 2].dtype)
         columns = [np.concatenate([d[i] for d in data]) for i in range(m + 4)]
         sizes = [len(d[0]) for d in data]
         del data
@@ -336,8 +367,8 @@ def add_grams(m: int, model: Model):
                 asked = asked[np.diff(asked, prepend=-1) != 0]
                 out.append((r["block"], None, pack(c.astype(_least(c)), counts[asked].ravel().astype(_least(counts)), low[asked]), None, None, None))
         if seen.any():
-            kept = [*[k[seen] for k in keys], total[seen], lower[seen], over[seen], hot[seen].astype(np.uint8)]
-            out.append((STORED, None, pack(*kept), np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None, None))
+            kept = pack_grams([k[seen] for k in keys], total[seen], lower[seen], np.diff(over[seen], prepend=0).astype(over.dtype), hot[seen].astype(np.uint8))
+            out.append((STORED, None, kept, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None, None))
         for i in np.flatnonzero(hot & (np.diff(context, prepend=-1) != 0)).tolist():
             out.append((SUMMED, None, None, None, [*[int(k[i]) for k in keys[:-1]], *counts[context[i]].tolist()], float(low[context[i]])))
         return _answers(part, out)
@@ -400,7 +431,7 @@ def cleaned(spark: SparkSession):
 def _asker(m: int, model: Model):
     def run(table):
         b, own = _evaluated(table, model, m - 1)
-        out = _asked([(own["block"], p, None, pack(*c)) for p, c in b.ask(m, model, model.parts)])
+        out = _asked([(own["block"], p, None, c) for p, c in b.ask(m, model, model.parts)])
         release()
         return out
 
