@@ -189,29 +189,27 @@ def blocks(docs: DataFrame) -> DataFrame:
 class Block:
     """A block and what the count tables have answered so far."""
 
-    def __init__(self, words: bytes, data: bytes):
-        self.words = unpack_words(words)
+    def __init__(self, data: bytes):
         self.codes, self.ends, train = unpack(data)
         starts = np.append(0, self.ends[:-1])
         self.size = self.ends - starts
         self.train = np.repeat(train.astype(bool), self.size)
         self.at = np.arange(len(self.codes)) - np.repeat(starts, self.size)  # place within its text
 
-    def ask_words(self, parts: int):
-        """(part, words, counts) of the distinct words."""
-        n = np.bincount(self.codes[self.train], minlength=len(self.words))
-        for part, rows in self.word_parts(parts):
-            yield part, [self.words[i] for i in rows.tolist()], n[rows]
+    def ask_words(self, words: list[bytes], parts: int):
+        """(part, words, counts, steps of their places) of the distinct words."""
+        n = np.bincount(self.codes[self.train], minlength=len(words))
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        for part, rows in _split(hashes, parts):
+            yield part, [words[i] for i in rows.tolist()], n[rows], np.diff(rows, prepend=0).astype(np.int32)
 
-    def word_parts(self, parts: int):
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        return _split(hashes, parts)
-
-    def learn_words(self, parts: int, answers: dict[int, list[np.ndarray]], model: Model) -> None:
+    def learn_words(self, answers: dict[int, list[np.ndarray]], model: Model) -> None:
         """Takes the numbers and counts of the words; c[m] are the counts of the n-grams of length m that end at each token, p the probabilities so far."""
-        number, count = np.empty(len(self.words), np.int64), np.empty(len(self.words), np.int64)
-        for part, rows in self.word_parts(parts):
-            number[rows], count[rows] = answers[part]
+        n = sum(len(steps) for _, _, steps in answers.values())
+        number, count = np.empty(n, np.int64), np.empty(n, np.int64)
+        for own, counts, steps in answers.values():
+            rows = np.cumsum(steps)
+            number[rows], count[rows] = own, counts
         self.number, rank = np.unique(np.append(number, START), return_inverse=True)
         self.rank, self.start = rank[self.codes], int(rank[-1])
         self.c = [None, count[self.codes]]
@@ -322,10 +320,10 @@ def add_words(parts: int):
             number[codes[: len(lists[0])]] = data[0][1]
         number[total == 0] = UNSEEN
         out, at = [], 0
-        for r, words in zip(rows, lists):
+        for r, words, d in zip(rows, lists, data):
             mine, at = codes[at : at + len(words)], at + len(words)
             if r["block"] != STORED:
-                out.append((r["block"], None, pack(number[mine], total[mine]), None, None, None))
+                out.append((r["block"], None, pack(number[mine], total[mine], d[1]), None, None, None))
         seen = np.flatnonzero(total)
         texts = sum(int(total[i]) for i, w in enumerate(vocabulary) if w == b"")
         counts = [int(total.sum()), len(seen), texts, *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
@@ -394,9 +392,9 @@ def _asked(rows: list[tuple[int, int, bytes | None, bytes]]) -> pa.Table:
 
 def _with_answers(files: Scratch, cut: DataFrame, answers: list[DataFrame]):
     """Rows of each block together: its own (level 0) and the answers of each level."""
-    rows = cut.select("block", F.lit(0).alias("level"), "part", "words", "data", "ids")
+    rows = cut.select("block", F.lit(0).alias("level"), "part", "data", "ids")
     for m, a in enumerate(answers, 1):
-        rows = rows.unionByName(a.where("block >= 0").select("block", F.lit(m).alias("level"), "part", "words", "data", F.lit(None).cast("array<long>").alias("ids")))
+        rows = rows.unionByName(a.where("block >= 0").select("block", F.lit(m).alias("level"), "part", "data", F.lit(None).cast("array<long>").alias("ids")))
     return rows.groupBy("block")
 
 
@@ -407,8 +405,8 @@ def _evaluated(table: pa.Table, model: Model, upto: int) -> tuple[Block, dict]:
             answers[r["level"]][r["part"]] = unpack(r["data"])
         else:
             own = r
-    b = Block(own["words"], own["data"])
-    b.learn_words(model.parts, answers[1], model)
+    b = Block(own["data"])
+    b.learn_words(answers[1], model)
     for m in range(2, upto + 1):
         b.learn(m, model, model.parts, answers[m])
     return b, own
@@ -452,8 +450,8 @@ def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None,
     def asked(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                b = Block(r["words"], r["data"])
-                yield from _asked([(r["block"], p, pack_words(w), pack(n)) for p, w, n in b.ask_words(parts)]).to_batches()
+                told = Block(r["data"]).ask_words(unpack_words(r["words"]), parts)
+                yield from _asked([(r["block"], p, pack_words(w), pack(n, places)) for p, w, n, places in told]).to_batches()
 
     for m in range(1, order + 1):
         if m == 1:
