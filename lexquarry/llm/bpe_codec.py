@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -176,7 +177,7 @@ class Codec:
     def _join(self, tokens: list[int], ends: list[int], part: np.ndarray, a: int, word: bytes) -> list[int]:
         """Continues a word's tokens by those of the window that starts at `a`."""
         stop = a + np.cumsum(self.length[part])
-        own = {(e, t): i for i, (e, t) in enumerate(zip(reversed(ends), reversed(tokens))) if i < WINDOW}
+        own = {(e, t): i for i, (e, t) in enumerate(islice(zip(reversed(ends), reversed(tokens)), WINDOW))}
         place = next((j for j, x in enumerate(zip(stop.tolist(), part.tolist())) if x in own), None) if tokens else -1
         back = 2
         while place is None:  # no token in common: again from a border of the tokens before
@@ -188,7 +189,7 @@ class Codec:
                 del tokens[:], ends[:]
                 place, own = -1, {}
             else:
-                own = {(e, t): i for i, (e, t) in enumerate(zip(reversed(ends), reversed(tokens))) if i < back}
+                own = {(e, t): i for i, (e, t) in enumerate(islice(zip(reversed(ends), reversed(tokens)), back))}
                 place = next((j for j, x in enumerate(zip(stop.tolist(), part.tolist())) if x in own), None)
         if place >= 0:
             keep = len(tokens) - own[stop.tolist()[place], part.tolist()[place]]

@@ -1,6 +1,7 @@
 """Decoded bytes come from the ids by the vocabulary, not from the input."""
 
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -45,3 +46,17 @@ def test_few_rows_and_words(monkeypatch):
         codec.words.clear()
         assert codec.encode(pa.array(texts)) == want
     assert [d for _, _, d in want] == [(t or "").encode() for t in texts]
+
+
+def test_very_long_word():
+    """A word of 400,000 letters takes twice to three times what one of 200,000 takes, not four times."""
+    codec = bpe_codec.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, seconds = random.Random(8), []
+    for size in (200_000, 400_000):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        start = time.process_time()
+        ids, ends = codec.ids(pa.array([word]))
+        seconds.append(time.process_time() - start)
+        assert codec.decode(ids, ends) == [word.encode()]
+    print(seconds)
+    assert seconds[1] < 3.2 * seconds[0] + 0.5
