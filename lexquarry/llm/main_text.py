@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,7 @@ def parse(page: str | None) -> list[tuple[str, str, frozenset[str], bool]]:
     """(tag, text, kinds of the elements around, whether in a marked article) of each token; a text has the tag ""."""
     out, inside = [], 0
     stack = [("", frozenset(), "", False)]  # name, kinds, nearest block, whether this is the article
+    still = Counter()  # names of open elements, so that tags that close nothing cost nothing
     for tag, what in _tokens(page or ""):
         if not tag:
             out.append(("", what, stack[-1][1], inside > 0))
@@ -154,9 +156,10 @@ def parse(page: str | None) -> list[tuple[str, str, frozenset[str], bool]]:
         name = tag.lstrip("/")
         if what is None or name in _BLOCK:
             closing = (name,) if what is None else ("p", *_CLOSES.get(name, ()))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(still[c] for c in closing) else ():
                 if stack[i][0] in closing:
                     inside -= sum(s[3] for s in stack[i:])
+                    still.subtract(s[0] for s in stack[i:])
                     del stack[i:]
                     if what is None or stack[-1][0] not in closing:
                         break
@@ -176,6 +179,7 @@ def parse(page: str | None) -> list[tuple[str, str, frozenset[str], bool]]:
         out.append((name, "", around, inside > 0))
         if name not in _VOID and name not in _RAW:
             stack.append((name, around, block, article))
+            still[name] += 1
             inside += article
     return out
 

@@ -3,6 +3,7 @@
 import collections
 import html
 import random
+import time
 import re
 
 import pytest
@@ -109,3 +110,16 @@ def test_registered(spark):
     out = registry.queries()["op5_main_text"](spark, SF)
     assert out.dtypes[:4] == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
     assert all(r.n_chars == len(r.text) for r in out.collect()) and out.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 40_000 + "</i>y" * 40_000, "<h1>x" * 40_000, "<b>x" * 20_000 + "<h2>y</em>" * 20_000])
+def test_tags_that_close_nothing_take_no_time(page):
+    start = time.process_time()
+    assert len(main_text.parse(page)) >= 80_000
+    assert time.process_time() - start < 10
+
+
+def test_end_tags_close_what_is_open():
+    """Elements within a closed one are closed with it; one that isn't open closes nothing."""
+    names = [sorted(k for k in kinds if k[:3] == "in:") for tag, text, kinds, _ in main_text.parse("<div><b><i>a</div>b</i>c<p><b>d<p>e</b>f</p>g<b>h</b></b>i") if not tag]
+    assert names == [["in:b", "in:div", "in:i"], [], [], ["in:b", "in:p"], ["in:p"], ["in:p"], [], ["in:b"], []]
