@@ -28,8 +28,9 @@ tasks (`components.spread`), and a long list is compared block by block, a pair
 blocks in a task.  Texts without words take part in no join.
 
 Ties and repeated rows share a component.  A null or empty text is linked with
-nothing and is its own component; a null doc_id takes the component of its text,
-which is null if no row with a doc_id is linked to it.  A very long text is one
+nothing and is its own component; a null doc_id takes the component of the rows
+with an equal set, which is null if none of them has a doc_id.  A set that only
+rows without a doc_id have can't be named and links nothing.  A very long text is one
 set, in memory in proportion to its words.  An empty table gives an empty result.
 Only the two named columns are read; any others have no effect.
 """

@@ -413,3 +413,14 @@ def test_sample(spark, docs):
     assert len(labelled.sample(docs, labels, "y", most=100)) == 2 and labelled.sample(empty(spark), labels, "y") == []
     got = {r[0]: r[1] for r in docs.select("doc_id", labelled.fold("doc_id", 5)).where("doc_id IS NOT NULL").collect()}
     assert all(f == zlib.crc32(str(d).encode()) % 5 for d, f in got.items())
+
+
+def test_near_dup_without_ids(spark):
+    """Rows without a doc_id take the component of an equal set; a set that only they have links nothing."""
+    words = [f"w{i}" for i in range(120)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(7, text), (None, text), (None, near), (None, near), (9, "something else altogether")]
+    got = near_dup.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(
+        [("7", 116, "7", True), ("None", 116, "7", False), ("None", 116, "None", True), ("None", 116, "None", True), ("9", 1, "9", True)]
+    )
