@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.sources.scratch import Scratch
@@ -34,6 +34,20 @@ def spread(files: Scratch, rows: DataFrame, one: DataFrame, key: str, by: list[s
     return many.join(few, [key, "part"], how).drop("part")
 
 
+def with_count(files: Scratch, rows: DataFrame, key: str, name: str, total: int) -> DataFrame:
+    """`total` rows with the number of rows of their key; rows of other keys than hubs are counted where they meet, in one shuffle."""
+    counted = rows.withColumn(name, F.count("*").over(Window.partitionBy(key)))
+    limit = max(SPLIT, total // HUBS)
+    if total <= limit:
+        return counted
+    hubs, (n,) = files.counted(rows.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) > limit), "hubs", F.count(F.lit(1)))
+    if not n:
+        files.drop(hubs)
+        return counted
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").withColumn(name, F.count("*").over(Window.partitionBy(key)))
+    return rest.unionByName(rows.join(F.broadcast(hubs), key))
+
+
 def components(files: Scratch, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component) for every id in links(a, b); component is the smallest id reachable.
 

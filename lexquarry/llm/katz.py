@@ -40,7 +40,6 @@ named columns are read, any others have no effect.
 from __future__ import annotations
 
 import dataclasses
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -52,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.arrow import chunks, distinct, gather, release, released, small_batches
-from lexquarry.sources.scratch import Scratch, scratch
+from lexquarry.sources.scratch import Scratch, cleaned, scratch
 
 #: Length of the longest n-grams; counts up to which losses are estimated one by one.
 ORDER, K = 3, 5
@@ -63,8 +62,6 @@ STORED, SUMMED = -1, -2
 #: Word numbers of a token that was never seen and of the start.
 UNSEEN, START = -1, -2
 
-#: Spark's setting that drops the shuffle files of a query when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASKED = "block long, part int, words binary, data binary"
 ANSWERED = f"{ASKED}, counts array<long>, hot array<long>, low double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -412,20 +409,6 @@ def _evaluated(table: pa.Table, model: Model, upto: int) -> tuple[Block, dict]:
     return b, own
 
 
-@contextmanager
-def cleaned(spark: SparkSession):
-    """Shuffle files of the jobs within are dropped as soon as each is done, since what they lead to is written; the session's setting comes back."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
 def _asker(m: int, model: Model):
     def run(table):
         b, own = _evaluated(table, model, m - 1)

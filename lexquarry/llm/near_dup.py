@@ -5,8 +5,9 @@
    the empty set.  The sketch is the K smallest hashes.
 2. Texts with equal sets are one node, named by its smallest doc_id.
 3. Inverted lists of the retained values generate candidate pairs.
-   * A list of at most LIST nodes gives all of its pairs, with the number of lists
-     they share; what they may share in longer lists besides must make up the rest.
+   * A list of at most LIST nodes gives all pairs of nodes for which its value is one
+     that an alike sketch must meet (half of a sketch, rarest values first) and whose
+     sets have sizes that can be alike.
    * A pair that meets in longer lists only has many of them in common.  The nodes
      that have enough of them are few, and get inverted lists of their full sets:
      of each set only the part that an alike set must meet (a quarter, rarest
@@ -38,13 +39,14 @@ Only the two named columns are read; any others have no effect.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.arrow import chunks, gather, release, released, small_batches
-from lexquarry.llm.components import components, spread
+from lexquarry.llm.components import components, spread, with_count
 from lexquarry.sources.scratch import Scratch, scratch
 
 #: Values in a sketch; share of a union sketch that a candidate must have in common.
@@ -184,23 +186,33 @@ def confirmed(files: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def all_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) with a < b of each array `ids`, once for each array."""
-    return lists.select(F.explode(F.expr("flatten(transform(ids, a -> transform(filter(ids, b -> b > a), b -> struct(a as a, b as b))))")).alias("p")).select("p.a", "p.b")
+    """(a, b) with a < b of each array `nodes` of (id, n), once for each array, if sets of their sizes can be alike enough."""
+    fit = f"b.id > a.id AND 100 * least(a.n, b.n) >= {ALIKE} * greatest(a.n, b.n)"
+    pairs = F.expr(f"flatten(transform(nodes, a -> transform(filter(nodes, b -> {fit}), b -> struct(a.id AS a, b.id AS b))))")
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def likely_pairs(values: DataFrame, info: DataFrame, low: float) -> DataFrame:
-    """Pairs of short lists that may share enough of their sketches, given what they could share in long ones."""
-    short = values.where(F.col("df") <= LIST).groupBy("value").agg(F.collect_list("id").alias("ids"))
-    counted = all_pairs(short).groupBy("a", "b").agg(F.count("*").alias("c"))
-    a, b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
-    fit = f"100 * least(na, nb) >= {ALIKE} * greatest(na, nb) AND c + least(ha, hb) >= {low} * least({K}, greatest(na, nb))"
-    return counted.join(a, "a").join(b, "b").where(fit).select("a", "b")
+def met(values: DataFrame, low: float) -> DataFrame:
+    """(id, n, h, meet): how many of a node's values are in long lists, and of the others those that an alike sketch must meet.
+
+    Alike sketches have `low * least(K, n)` values in common at least.  With all values
+    in one order, rarest first, the first one in common is followed by the rest of them in
+    both sketches; behind it stand as many less one.  Values that no other node has come first.
+    """
+    ranked = values.groupBy("id", "n").agg(F.count_if(F.col("df") > LIST).alias("h"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    first = F.expr(f"slice(v, 1, greatest(0, size(v) - greatest(1, CAST(ceil({low} * least({K}, n)) AS INT)) + 1))")
+    return ranked.select("id", "n", "h", F.transform(F.filter(first, lambda x: x["df"] <= LIST), lambda x: x["value"]).alias("meet"))
+
+
+def likely_pairs(info: DataFrame) -> DataFrame:
+    """Pairs that meet in a short list of values that alike sketches must meet; if they are alike and don't, all they share is in long lists."""
+    short = info.select(F.explode("meet").alias("value"), F.struct("id", "n").alias("node")).groupBy("value").agg(F.collect_list("node").alias("nodes"))
+    return all_pairs(short.where(F.size("nodes") > 1)).distinct()
 
 
 def listed(files: Scratch, own: DataFrame, total: int) -> DataFrame:
     """`total` rows own(value, id, ...) of values that several nodes have, with the number `df` of these nodes."""
-    counts = own.groupBy("value").agg(F.count("*").alias("k"))
-    return spread(files, own, counts.where("k > 1").select("value", F.col("k").alias("df")), "value", ["id"], counts, total)
+    return with_count(files, own, "value", "df", total).where("df > 1")
 
 
 def full_lists(files: Scratch, sets: DataFrame, hot: DataFrame) -> DataFrame:
@@ -293,18 +305,20 @@ def find(spark: SparkSession, df: DataFrame, low: float = LOW) -> DataFrame:
     rows, (total,) = files.counted(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches", F.count(F.lit(1)))
     classes = files.keep(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("k")), "classes")
     nodes, (size,) = files.counted(rows.select("row", "n", "sketch").join(classes.where("id IS NOT NULL").select("row", "id"), "row").select("id", "n", "sketch"), "nodes", F.sum(F.size("sketch")))
+    whole, rows = rows, files.keep(rows.drop("sketch"), "rows")
+    files.drop(whole)
 
     values = files.keep(listed(files, nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value")), size), "values")
-    info = files.keep(values.groupBy("id", "n").agg(F.count_if(F.col("df") > LIST).alias("h")), "info")
-    hot = info.where(F.col("h") >= F.expr(f"{low} * least({K}, n)")).select("id", "h") if low else nodes.select("id", F.lit(0).cast("long").alias("h"))
-    likely = estimated(files, likely_pairs(values, info, low), nodes, low, False)
+    info = files.keep(met(values, low), "info")
     files.drop(values)
+    hot = info.where(F.col("h") >= F.expr(f"{low} * least({K}, n)")).select("id", "h") if low else nodes.select("id", F.lit(0).cast("long").alias("h"))
+    likely = estimated(files, likely_pairs(info), nodes, low, False)
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
     sets = files.keep(full_sets(docs.select(F.col("doc_id").alias("id"), "text"), wanted), "sets")
     lists = full_lists(files, sets, hot)
     sizes = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    short = lists.join(sizes.where(F.col("df") <= LIST), "value").groupBy("value").agg(F.collect_list("id").alias("ids"))
+    short = lists.join(sizes.where(F.col("df") <= LIST), "value").groupBy("value").agg(F.collect_list(F.struct("id", "n")).alias("nodes"))
     long, (length,) = files.counted(lists.join(sizes.where(F.col("df") > LIST).select("value"), "value"), "long-lists", F.count(F.lit(1)))
     central = files.keep(pivots(files, long, length).distinct(), "pivots")
     more = estimated(files, all_pairs(short).unionByName(central).distinct(), nodes, low, True)
@@ -342,7 +356,22 @@ def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id count as one document, of which one row stays.  A
     row without a doc_id can't be named by a component and stays.
+
+    Bitmaps of the ids that stay and of those that go, or are repeated, decide for all
+    rows but the few that both maps may mean, so that no other text is shuffled.
     """
-    kept = find(spark, df).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = df.join(kept, "doc_id", "left_semi").select(df.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(df.where("doc_id IS NULL"))
+    files = scratch(spark)
+    found = find(spark, df).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("k"))
+    found = files.keep(found, "found")
+    stay, go = (spark.sparkContext.broadcast(np.packbits(bitmap(found.where(x).select(F.col("doc_id").alias("id"))))) for x in ("kept", "k > 1 OR NOT kept"))
+
+    @F.pandas_udf("int")
+    def marks(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        has = lambda bits: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pd.Series(has(stay.value) + 2 * has(go.value)).astype("int32")
+
+    mark = marks(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)))
+    sure = df.where((mark == 1) | F.col("doc_id").isNull())
+    unsure = df.where((mark == 3) & F.col("doc_id").isNotNull()).join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    return sure.unionByName(unsure.select(df.columns).dropDuplicates(["doc_id"]))
