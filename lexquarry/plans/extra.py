@@ -16,7 +16,7 @@ _C = f"{WITH_HITS}, {CANDIDATES}, {IDS}, {GOLD}, {RUNS}"
 @register(_bm25() + ", a AS (" + _TOP.format(k=10) + """), t AS (SELECT a.query_id, a.doc_id, list_distinct(list_filter(regexp_extract_all(lower(d.text), '[a-zäöüß]+'), lambda t: length(t) > 1)) AS x, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-zäöüß]+'), lambda t: length(t) > 1)) AS y FROM a JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = a.query_id),
 s AS (SELECT query_id, doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS rerank_score FROM t) SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS new_rank FROM s""")
 def rerank_topk(spark, sf_dir):
-    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)), 10).select("query_id", "doc_id")
+    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), k=10), 10).select("query_id", "doc_id")
     return extra.rerank(top, corpus(spark, sf_dir), asked(spark, sf_dir))
 
 

@@ -44,7 +44,7 @@ def doc_freq(spark, sf_dir):
 
 @register(_bm25() + " " + _TOP.format(k=20))
 def bm25_topk(spark, sf_dir):
-    return retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)), 20)
+    return retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), k=20), 20)
 
 
 @register(_bm25() + " " + _TOP.format(k=20))
@@ -64,19 +64,19 @@ def index_topk(spark, sf_dir):
 @register(_bm25() + ", a AS (" + _TOP.format(k=20) + """), m AS (SELECT query_id % 10 AS query_id, doc_id, max(score) AS score, min(rank) AS rank FROM a WHERE score > 0 GROUP BY ALL)
 SELECT query_id, doc_id, score, rank AS best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 15""".replace("AS rank FROM m QUALIFY rank", "AS place FROM m QUALIFY place"))
 def bm25_multi_query_merge(spark, sf_dir):
-    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)), 20).withColumn("query_id", F.col("query_id") % 10)
+    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), k=20), 20).withColumn("query_id", F.col("query_id") % 10)
     merged = retrieval.merge_queries(top).withColumnRenamed("rank", "best_rank")
     return retrieval.top_k(merged, 15).withColumnRenamed("rank", "place")
 
 
 @register(_bm25(scope="kind") + " " + _TOP.format(k=20))
 def bm25_sharded_stats(spark, sf_dir):
-    return retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), scope=["kind"]), 20)
+    return retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), scope=["kind"], k=20), 20)
 
 
 @register(_bm25(1.2, 0.5, longer=2) + ", a AS (" + _TOP.format(k=20) + ") SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id) * 0.65, 4) AS norm FROM a")
 def bm25_maxnorm(spark, sf_dir):
-    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), Bm25(1.2, 0.5, 2)), 20)
+    top = retrieval.top_k(retrieval.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), Bm25(1.2, 0.5, 2), k=20), 20)
     return retrieval.max_normalized(top, 0.65).select("query_id", "doc_id", F.round("norm", 4).alias("norm"))
 
 
@@ -294,7 +294,7 @@ def retrieval_f1(spark, sf_dir):
     from lexquarry.operators import metrics
 
     items, docs = asked(spark, sf_dir), corpus(spark, sf_dir)
-    top = retrieval.top_k(retrieval.bm25(docs, items), 20).where("rank <= 5").select("query_id", F.col("doc_id").alias("citation"))
+    top = retrieval.top_k(retrieval.bm25(docs, items, k=20), 20).where("rank <= 5").select("query_id", F.col("doc_id").alias("citation"))
     held = substrings.holding(docs.select("doc_id", "text"), "text", items, "query").select("query", F.col("doc_id").alias("citation"))
     gold = held.join(items, "query").select("query_id", "citation")
     return metrics.per_query(top, gold, items).select("query_id", "tp", "n_pred", "n_gold", "f1")
