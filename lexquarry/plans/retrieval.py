@@ -84,10 +84,12 @@ _MINED = "list_distinct(list_concat(regexp_extract_all(c, 'BGE\\s+\\d+\\s+[IV]+\
 _PASSAGES = ", passages AS (SELECT l_orderkey AS doc_id, string_agg(citation, ' und ' ORDER BY pos) AS c FROM cited GROUP BY ALL)"
 
 
-def passages(spark, sf_dir):
-    """(doc_id, text): the citations of an order, as a passage that holds them."""
-    parts = F.array_sort(F.collect_list(F.struct("pos", "citation")))
-    return cited(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["citation"]), " und ").alias("text"))
+def passages(spark, sf_dir, only=None):
+    """(doc_id, text): the citations of an order, as a passage that holds them; only(doc_id) names the orders that are asked for."""
+    parts, rows = F.array_sort(F.collect_list(F.struct("pos", "citation"))), cited(spark, sf_dir).withColumnRenamed("l_orderkey", "doc_id")
+    if only is not None:  # before rows are gathered, which takes memory with their number
+        rows = rows.join(only, "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["citation"]), " und ").alias("text"))
 
 
 _RETRIEVED = ", found AS (SELECT o_orderkey AS doc_id, o_custkey % 40 AS query_id, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 100)"
@@ -96,7 +98,8 @@ _VOTES = f", votes AS (SELECT query_id, citation, count(*) AS votes FROM found J
 
 def _neighbours(spark, sf_dir, k):
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_custkey % 40 AS query_id", "o_totalprice AS score")
-    return retrieval.neighbour_votes(retrieval.top_k(orders, 100).select("query_id", "doc_id"), passages(spark, sf_dir), fn.mined_citations(F.col("text")), k)
+    found = retrieval.top_k(orders, 100).select("query_id", "doc_id")
+    return retrieval.neighbour_votes(found, passages(spark, sf_dir, found.select("doc_id")), fn.mined_citations(F.col("text")), k)
 
 
 @register(WITH_CITED + _PASSAGES + _RETRIEVED + _VOTES + " SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, citation) AS rank FROM votes QUALIFY rank <= 100")
