@@ -50,12 +50,12 @@ def run_score(kind: Column, freq: Column, state: Column) -> Column:
 def hit_score() -> Column:
     """What a hit is worth in its generation, null if nothing.
 
-    A hit has source, kind, score, rank, freq and state: known, fuzzy, sibling or
-    unknown, by how the corpus resolves its citation.
+    A hit has source, kind, score, rank, freq, the best keyword score of its query
+    and state: known, fuzzy, sibling or unknown, by how the corpus resolves its citation.
     """
     known, fuzzy = F.col("state") == "known", F.col("state").isin("fuzzy", "sibling")
     dense = F.col("score") * F.col("dense") * F.when(F.col("rank") <= F.col("dense_top"), F.col("dense_lift")).otherwise(1.0)
-    bm25 = F.when(F.col("rank") <= F.col("bm25_top"), F.col("score") / F.coalesce("bm25_div", F.max(F.when(F.col("source") == "bm25", F.col("score"))).over(Window.partitionBy("generation", "query_id"))) * F.col("bm25"))
+    bm25 = F.when(F.col("rank") <= F.col("bm25_top"), F.col("score") / F.coalesce("bm25_div", "bm25_best") * F.col("bm25"))
     plain = F.when(F.col("kind") == "law", F.when(known, F.col("law")).otherwise(F.col("law_else"))).otherwise(F.when(known, F.col("court")).otherwise(F.col("court_else")))
     full = F.when(F.col("by_freq"), F.when(F.col("state") != "unknown", run_score(F.col("kind"), F.col("freq"), F.col("state")))).otherwise(plain)
     explicit = F.when(known, F.col("explicit")).when(fuzzy, F.coalesce("explicit_fuzzy", "explicit_else")).otherwise(F.col("explicit_else"))
@@ -77,9 +77,12 @@ def scored(hits: DataFrame, configs: DataFrame, statutes: DataFrame) -> DataFram
     generation counts: two lift a score up to a cap, a third lifts it again.
     """
     keys = ["generation", "query_id", "citation"]
+    best = hits.groupBy(F.col("query_id").alias("_query")).agg(F.max(F.when(F.col("source") == "bm25", F.col("score"))).alias("bm25_best"))
+    hits = hits.join(F.broadcast(best), F.expr("query_id <=> _query"), "left").drop("_query")  # a row for each query
     rows = hits.crossJoin(F.broadcast(configs)).withColumn("worth", F.round(hit_score(), 9)).where("worth IS NOT NULL")
     late = (F.col("boost") != "none") & (F.col("source") == "gpt_case")
-    one = rows.groupBy(*keys).agg(F.max(F.when(~late, F.col("worth"))).alias("early"), F.max(F.when(late, F.col("worth"))).alias("late"), F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or(F.col("source") == "explicit").alias("is_explicit"))
+    one = rows.groupBy(*keys, "source").agg(F.max(F.when(~late, F.col("worth"))).alias("early"), F.max(F.when(late, F.col("worth"))).alias("late"))  # sets are of sources, not of hits
+    one = one.groupBy(*keys).agg(F.max("early").alias("early"), F.max("late").alias("late"), F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or(F.col("source") == "explicit").alias("is_explicit"))
     one = one.join(F.broadcast(configs.select("generation", "counted", "two", "two_cap", "three", "three_cap", "boost")), "generation").join(statutes, "query_id", "left")
     boosts = (F.col("boost") == "all") | ((F.col("boost") == "bm25") & F.array_contains("sources", "bm25"))
     named = F.coalesce("statutes", F.array().cast("array<string>"))
