@@ -25,7 +25,7 @@ How it runs:
 3. Each block evaluates its tokens from length 1 up and adds them up by text.
 
 Numbers travel as packed columns, a row for each block and part.  The parts of the count
-tables are written with block -1 (`tables`); parts have about GROUP n-grams.  A context
+tables are written with block -1 (`tables`), if they are wanted; parts have about GROUP n-grams.  A context
 with more than 1/HOT of all tokens is dealt out by the next word as well; there are fewer
 than HOT of these for each length, and the sums of their parts are the only things, besides
 the counts of counts, that the driver gathers.
@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import chunks, distinct, gather, release, released, small_batches
+from lexquarry.llm.arrow import chunks, distinct, gather, hold, release, released, small_batches
 from lexquarry.sources.scratch import Scratch, cleaned, scratch
 
 #: Length of the longest n-grams; counts up to which losses are estimated one by one.
@@ -70,7 +70,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: all first bytes of the numbers, then all second ones, ..., compressed."""
     head = np.array([len(arrays), *chain.from_iterable((len(a), ord(a.dtype.char)) for a in arrays)], np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    planes = []
+    for a in arrays:
+        rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        planes += [rows[:, i].tobytes() for i in range(a.itemsize)]
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
@@ -80,7 +83,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     head, at, out = raw[8 : 8 + 16 * n].view(np.int64), 8 + 16 * n, []
     for size, kind in zip(head[::2].tolist(), head[1::2].tolist()):
         dtype = np.dtype(chr(kind))
-        out.append(np.ascontiguousarray(raw[at : at + size * dtype.itemsize].reshape(dtype.itemsize, size).T).view(dtype).reshape(size))
+        rows = np.empty((size, dtype.itemsize), np.uint8)
+        for i in range(dtype.itemsize):
+            rows[:, i] = raw[at + i * size : at + (i + 1) * size]
+        out.append(rows.view(dtype).reshape(size))
         at += size * dtype.itemsize
     return out
 
@@ -99,14 +105,14 @@ def pack_grams(keys: list[np.ndarray], *rest: np.ndarray) -> bytes:
     steps = [np.diff(keys[0], prepend=0)]
     for k in range(1, len(keys)):
         steps.append(np.where(_starts(keys[:k]), keys[k], np.diff(keys[k], prepend=0)))
-    return pack(*steps, *rest)
+    return pack(*[x.astype(_least(x)) for x in (*steps, *rest)])
 
 
 def unpack_grams(data: bytes, m: int) -> list[np.ndarray]:
     out = unpack(data)
-    out[0] = np.cumsum(out[0])
+    out[0] = np.cumsum(out[0], dtype=np.int64)
     for k in range(1, m):
-        starts, total = np.flatnonzero(_starts(out[:k])), np.cumsum(out[k])
+        starts, total = np.flatnonzero(_starts(out[:k])), np.cumsum(out[k], dtype=np.int64)
         out[k] = total - np.repeat((total - out[k])[starts], np.diff(starts, append=len(total)))
     return out
 
@@ -208,7 +214,7 @@ class Block:
             rows = np.cumsum(steps)
             number[rows], count[rows] = own, counts
         self.number, rank = np.unique(np.append(number, START), return_inverse=True)
-        self.rank, self.start = rank[self.codes], int(rank[-1])
+        self.rank, self.start = rank.astype(np.int32)[self.codes], int(rank[-1])
         self.c = [None, count[self.codes]]
         level = model.levels[0]
         c = self.c[1]
@@ -229,33 +235,33 @@ class Block:
         return rows, words, context[rows]
 
     def grouped(self, m: int, model: Model, parts: int):
-        """The tokens, the distinct n-gram of each, a token for each of these, their words, whether the context is hot, and (part, those in it)."""
+        """The tokens, the distinct n-gram of each, a token for each of these, their words, the context's count, whether it is hot, and (part, those in it)."""
         rows, words, context = self.wanted(m, model)
         order, starts, inverse = distinct(words)
         first = order[starts]
-        keys = [self.number[w[first]] for w in words]
-        hot = context[first] * HOT > model.tokens
+        keys, context = [self.number[w[first]] for w in words], context[first]
+        hot = context * HOT > model.tokens
         h = np.full(len(first), 7, np.uint64)
         with np.errstate(over="ignore"):
             for k in keys[:-1]:
                 h = (h ^ k.astype(np.uint64)) * _MIX
                 h ^= h >> np.uint64(31)
             h = np.where(hot, (h ^ keys[-1].astype(np.uint64)) * _MIX, h)
-        return rows, inverse, first, keys, hot, list(_split(h ^ (h >> np.uint64(29)), parts))
+        return rows, inverse, rows[first], keys, context, hot, list(_split(h ^ (h >> np.uint64(29)), parts))
 
     def ask(self, m: int, model: Model, parts: int):
         """(part, packed columns): the words of the distinct n-grams, their counts, the counts of the n-gram and (as steps) the context that p_{m-1} comes from, and whether the context is hot."""
-        rows, inverse, first, keys, hot, split = self.grouped(m, model, parts)
+        rows, inverse, first, keys, _, hot, split = self.grouped(m, model, parts)
         n = np.bincount(inverse, self.train[rows], len(first)).astype(np.int32)
         seen = n > 0
-        lower = np.where(seen, self.c[m - 1][rows][first], 0).astype(np.int32 if model.tokens < 1 << 31 else np.int64)
-        over = self.context(m - 1, model)[rows][first] if m > 2 else np.zeros(len(first), np.int64)
+        lower = np.where(seen, self.c[m - 1][first], 0)
+        over = self.context(m - 1, model)[first] if m > 2 else np.zeros(len(first), np.int64)
         for part, at in split:  # rows that lie together have the same `over`
-            yield part, pack_grams([k[at] for k in keys], n[at], lower[at], np.diff(over[at], prepend=0).astype(lower.dtype), hot[at].astype(np.uint8))
+            yield part, pack_grams([k[at] for k in keys], n[at], lower[at], np.diff(over[at], prepend=0), hot[at].astype(np.uint8))
 
     def learn(self, m: int, model: Model, parts: int, answers: dict[int, list[np.ndarray]]) -> None:
         """Takes the counts of length m, and goes from p_{m-1} to p_m."""
-        rows, inverse, first, keys, hot, split = self.grouped(m, model, parts)
+        rows, inverse, first, keys, context, hot, split = self.grouped(m, model, parts)
         level, total = model.levels[m - 1], np.zeros(len(first), np.int64)
         left, low = np.zeros(len(first)), np.zeros(len(first))
         for part, at in split:
@@ -268,18 +274,12 @@ class Block:
         for i in np.flatnonzero((total == 0) & hot).tolist():
             counts, lows = level.hot[tuple(int(k[i]) for k in keys[:-1])]
             left[i], low[i] = counts @ np.append(level.loss[1:], level.loss[K]), lows
-        context = self.context(m, model)
-        c = np.zeros(len(self.codes), np.int64)
+        seen = total > 0
+        value = np.where(seen, (total - level.lost(total)) / context, left / context / (1 - low))
+        c, own = np.zeros(len(self.codes), np.int64), value[inverse]
         c[rows] = total[inverse]
-        p = self.p.copy()
-        seen = c > 0
-        p[seen] = (c[seen] - level.lost(c[seen])) / context[seen]
-        weight = np.ones(len(self.codes))
-        unseen = rows[total[inverse] == 0]
-        weight[unseen] = (left / np.maximum(1, context[rows][first]) / (1 - low))[inverse[total[inverse] == 0]]
         self.c.append(c)
-        self.p = np.where(seen, p, p * weight)
-
+        self.p[rows] = np.where(seen[inverse], own, self.p[rows] * own)
 
     def scores(self, model: Model) -> list[np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
@@ -290,10 +290,11 @@ class Block:
 
 def _split(hashes: np.ndarray, parts: int):
     """(part, rows of it, in order) of the hashes."""
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    named, starts = np.unique(part[order], return_index=True)
-    return zip(named.tolist(), np.split(order, starts[1:]))
+    part = (hashes % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")  # of short numbers, by counting
+    size = np.bincount(part)
+    named = np.flatnonzero(size)
+    return zip(named.tolist(), np.split(order, np.cumsum(size[named])[:-1]))
 
 
 def _runs(columns: list[np.ndarray]) -> np.ndarray:
@@ -301,10 +302,11 @@ def _runs(columns: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(_starts(columns)) - 1
 
 
-def add_words(parts: int):
-    """The function of a part of the word table: adds counts up, numbers the words, most frequent first, and answers each block."""
+def add_words(parts: int, tables: bool):
+    """The function of a part of the word table: adds counts up, numbers the words, most frequent first, and answers each block; with `tables` its own words and counts stay."""
 
     def run(key, table):
+        hold()
         part, rows = key[0].as_py(), sorted(table.select(["block", "words", "data"]).to_pylist(), key=lambda r: r["block"])
         lists, data = [unpack_words(r["words"]) for r in rows], [unpack(r["data"]) for r in rows]
         coded = pa.array(list(chain.from_iterable(lists)), pa.large_binary()).dictionary_encode()
@@ -325,21 +327,23 @@ def add_words(parts: int):
         texts = sum(int(total[i]) for i, w in enumerate(vocabulary) if w == b"")
         counts = [int(total.sum()), len(seen), texts, *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
         if len(seen):
-            out.append((STORED, pack_words([vocabulary[i] for i in seen.tolist()]), pack(total[seen], number[seen]), counts, None, None))
+            kept = (pack_words([vocabulary[i] for i in seen.tolist()]), pack(total[seen], number[seen])) if tables else (None, None)
+            out.append((STORED, *kept, counts, None, None))
         return _answers(part, out)
 
     return run
 
 
-def add_grams(m: int, model: Model):
-    """The function of a part of the table of n-grams of length m."""
+def add_grams(m: int, model: Model, tables: bool):
+    """The function of a part of the table of n-grams of length m, which stays with `tables`."""
     below = model.levels[m - 2]
 
     def run(key, table):
+        hold()
         part, rows = key[0].as_py(), sorted(table.select(["block", "data"]).to_pylist(), key=lambda r: r["block"])
         data = [unpack_grams(r["data"], m) for r in rows]
         for d in data:
-            d[m + 2] = np.cumsum(d[m + 2], dtype=d[m + 2].dtype)
+            d[m + 2] = np.cumsum(d[m + 2], dtype=np.int64)
         columns = [np.concatenate([d[i] for d in data]) for i in range(m + 4)]
         sizes = [len(d[0]) for d in data]
         del data
@@ -362,7 +366,7 @@ def add_grams(m: int, model: Model):
                 asked = asked[np.diff(asked, prepend=-1) != 0]
                 out.append((r["block"], None, pack(c.astype(_least(c)), counts[asked].ravel().astype(_least(counts)), low[asked]), None, None, None))
         if seen.any():
-            kept = pack_grams([k[seen] for k in keys], total[seen], lower[seen], np.diff(over[seen], prepend=0).astype(over.dtype), hot[seen].astype(np.uint8))
+            kept = pack_grams([k[seen] for k in keys], total[seen], lower[seen], np.diff(over[seen], prepend=0), hot[seen].astype(np.uint8)) if tables else None
             out.append((STORED, None, kept, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None, None))
         for i in np.flatnonzero(hot & (np.diff(context, prepend=-1) != 0)).tolist():
             out.append((SUMMED, None, None, None, [*[int(k[i]) for k in keys[:-1]], *counts[context[i]].tolist()], float(low[context[i]])))
@@ -372,7 +376,8 @@ def add_grams(m: int, model: Model):
 
 
 def _least(a: np.ndarray) -> type:
-    return np.int32 if int(a.max(initial=0)) < 1 << 31 else np.int64
+    """The shortest type that holds the numbers."""
+    return next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= a.min(initial=0) and a.max(initial=0) <= np.iinfo(t).max)
 
 
 def _answers(part: int, rows: list[tuple]) -> pa.Table:
@@ -389,13 +394,14 @@ def _asked(rows: list[tuple[int, int, bytes | None, bytes]]) -> pa.Table:
 
 def _with_answers(files: Scratch, cut: DataFrame, answers: list[DataFrame]):
     """Rows of each block together: its own (level 0) and the answers of each level."""
-    rows = cut.select("block", F.lit(0).alias("level"), "part", "data", "ids")
+    rows = cut.select("block", F.lit(0).alias("level"), F.lit(None).cast("int").alias("part"), "data", "ids")
     for m, a in enumerate(answers, 1):
         rows = rows.unionByName(a.where("block >= 0").select("block", F.lit(m).alias("level"), "part", "data", F.lit(None).cast("array<long>").alias("ids")))
     return rows.groupBy("block")
 
 
 def _evaluated(table: pa.Table, model: Model, upto: int) -> tuple[Block, dict]:
+    hold()
     answers, own = [{} for _ in range(upto + 1)], None
     for r in table.to_pylist():
         if r["level"]:
@@ -419,9 +425,15 @@ def _asker(m: int, model: Model):
     return run
 
 
-def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None, model: Model | None = None, text: str = "text", id: str = "doc_id", order: int = ORDER, parts: int | None = None) -> tuple[DataFrame, Model]:
-    """((doc_id, n_tokens, n_known, base_score, score), model): scores of all docs, by what is learned from those that `train` chooses, or by a model learned before."""
+def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None, model: Model | None = None, text: str = "text", id: str = "doc_id", order: int = ORDER, parts: int | None = None, tables: bool = True) -> tuple[DataFrame, Model]:
+    """((doc_id, n_tokens, n_known, base_score, score), model): scores of all docs, by what is learned from those that `train` chooses, or by a model learned before.
+
+    Without `tables` the model's own tables, which only later texts need, are not written; the scores are the same.
+    """
     files, old = scratch(spark), model
+    if old and not old.tables:
+        raise ValueError("the model was learned without tables")
+    tables = tables and not old
     model = old and dataclasses.replace(old, tables=())
     chosen = train if train is not None and old is None else F.lit(False)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), chosen.alias("train"))
@@ -444,8 +456,11 @@ def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None,
         if old:
             wanted = wanted.unionByName(old.tables[m - 1].select("block", "part", "words", "data"))
         with cleaned(spark):
-            told = files.keep(wanted.groupBy("part").applyInArrow(add_words(parts) if m == 1 else add_grams(m, model), ANSWERED), f"counts-{m}")
+            told = files.keep(wanted.groupBy("part").applyInArrow(add_words(parts, tables) if m == 1 else add_grams(m, model, tables), ANSWERED), f"counts-{m}")
         answers.append(told)
+        if m == 1:  # nothing reads the words again
+            whole, cut = cut, files.keep(cut.select("block", "data", "ids"), "coded")
+            files.drop(whole)
         if not old:
             model = _learned(told, m, model, parts)
     done = dataclasses.replace(model, tables=())
@@ -457,7 +472,7 @@ def evaluate(spark: SparkSession, docs: DataFrame, train: Column | None = None,
         return out
 
     found = _with_answers(files, cut, answers).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return found, old or dataclasses.replace(model, tables=tuple(a.where(F.col("block") == STORED) for a in answers))
+    return found, old or dataclasses.replace(model, tables=tuple(a.where(F.col("block") == STORED) for a in answers if tables))
 
 
 def _learned(told: DataFrame, m: int, model: Model | None, parts: int) -> Model:

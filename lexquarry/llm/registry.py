@@ -91,7 +91,7 @@ def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexquarry.llm import katz, labelled
 
     fold = labelled.fold("doc_id", 7)
-    scored, model = katz.evaluate(spark, documents(spark, sf_dir), fold != 2)
+    scored, model = katz.evaluate(spark, documents(spark, sf_dir), fold != 2, tables=False)  # nothing but these texts is scored
     tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
     return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
 

@@ -179,3 +179,20 @@ def test_collocations_edges(spark, share):
     df = spark.createDataFrame(rows, "text string, lang string").withColumn("key", F.lit(1)).withColumn("n", F.lit(2))
     assert {tuple(r) for r in collocations.collocations(spark, df, least=3, share=share).collect()} == _phrases(rows, 3, 2000)
     assert collocations.collocations(spark, df.limit(0)).collect() == []
+
+
+def test_scores_without_tables(spark, tmp_path, monkeypatch):
+    """What only later texts need isn't written; words go once they are counted; the scores are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found, size, files = [], [], katz.scratch(spark)
+    monkeypatch.setattr(katz, "scratch", lambda _: files)
+    for tables in (True, False):
+        files.root = f"file://{tmp_path}/{tables}"
+        rows, model = katz.evaluate(spark, docs, F.col("doc_id") % 3 != 0, tables=tables)
+        found.append({r["doc_id"]: tuple(r)[1:] for r in rows.collect()})
+        size.append(sum(f.stat().st_size for f in (tmp_path / str(tables)).rglob("*.parquet")))
+        assert not list((tmp_path / str(tables)).rglob("blocks-*/*"))
+    assert found[0].keys() == found[1].keys() and all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
+    assert size[1] < 0.7 * size[0]
+    with pytest.raises(ValueError, match="without tables"):
+        katz.evaluate(spark, docs, model=model)
