@@ -13,16 +13,15 @@ A peak holds for the mean length that its segment was built with.  A greater mea
 instead of m raises no part by more than m' / m, a smaller one raises none; so peaks stay
 bounds while the index grows.
 
-A search works on blocks, all queries at once; a block's bound for a query is peak times weight:
-1. The blocks of each query's rarest terms, 1/RARE of its blocks, are read: partial scores.
-2. The ranges of the k best documents by these are scored in full.  The k-th of the scores
-   is the threshold.
-3. Another range is skipped if its best partial score and the bounds of its other blocks
-   don't add up to the threshold.  In a range that is not, the blocks with the smallest
-   bounds that don't reach the threshold with that partial score are not essential: no
-   document gets there by them alone.  Essential blocks are read.
-4. The blocks that are left are read only in ranges where some document's score so far and
-   the bounds of these blocks reach the threshold.
+A search gathers what bounds the scores of a range, the peaks of its blocks, as one row.  Tasks
+multiply these rows by what the queries' terms weigh, so that nothing is shuffled for each
+query, term and range:
+1. Each query's k ranges with the greatest bounds (the sum of peak times weight) are found.
+2. These ranges are scored.  The k-th of a query's scores is its threshold.
+3. Ranges are listed with the queries whose threshold their bound reaches; others are skipped.
+4. The blocks of listed ranges are gathered by range and scored for the listed queries; what is
+   below the threshold stays in its task.
+Queries go to the tasks in groups of about retrieval.ASKED weights.
 Scores are rounded to six places before they are ranked, as the exhaustive search has it.
 """
 
@@ -30,7 +29,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.operators import retrieval
@@ -40,8 +41,8 @@ from lexquarry.sources.scratch import scratch
 
 #: Stands for the documents themselves among the terms.
 DOCUMENT = ""
-#: Documents of a range; a query's share of blocks that rare terms may have; how much rounding may add to a score.
-RANGE, RARE, SLACK = 32, 8, 1e-6
+#: Documents of a range; how much rounding may add to a score.
+RANGE, SLACK = 32, 1e-6
 
 
 @dataclass(frozen=True)
@@ -89,9 +90,10 @@ class TopkIndex:
         groups = -(-small // RANGE)
         at = F.when(F.col("sparse"), -1 - F.pmod(F.xxhash64("batch", "range"), F.lit(max(1, groups)))).otherwise(F.col("range") * len(names) + F.array_position(F.array(*[F.lit(n) for n in names]), F.col("batch")) - 1)
         moved = rows.join(sparse, ["batch", "range"]).withColumn("range", at)
+        moved = moved.repartitionByRange("term", "range")  # groups lie together then, and in the order of the segment
         posts = moved.groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("posts"))).alias("posts"))
         facts = {k: sum(b[k] for b in parts) for k in ("docs", "lengths", "total")}
-        self.table.append(self._blocks(posts, facts["total"], facts["lengths"]), name, instead_of=names, **facts)
+        self.table.append(self._blocks(posts, facts["total"], facts["lengths"], dealt=True), name, instead_of=names, **facts)
 
     def search(self, queries: DataFrame, k: int) -> Found:
         """The k best documents of each query, as retrieval.search and top_k have them."""
@@ -109,59 +111,123 @@ class TopkIndex:
         raised = F.create_map(*[x for b in segments for x in (F.lit(b["name"]), F.lit(max(1.0, mean * b["lengths"] / b["total"]) if b["total"] else 1.0))])
         bounds = files.keep(mine.select("term", "batch", "range", "n", (F.col("peak") * raised[F.col("batch")]).alias("peak")), "bounds")
         stats = self.spark.createDataFrame([(n, mean)], "n long, avgdl double")
-        df = bounds.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("size"))
-        weighed = retrieval.weights(df.drop("size"), stats, terms, cfg).join(df.select("term", "df", "size"), "term")
-        upto = F.sum("size").over(Window.partitionBy("query_id").orderBy("df", "term"))
-        rare = (upto * RARE <= F.sum("size").over(Window.partitionBy("query_id"))) | (upto == F.col("size"))
-        weighed = files.keep(weighed.select("query_id", "term", "avgdl", "w", rare.alias("rare")), "weights")
-        if weighed.count() <= retrieval.ASKED:
-            weighed = F.broadcast(weighed)
-        where = ["query_id", "batch", "range"]
-        blocks = files.keep(bounds.join(weighed, "term").select(*where, "term", "w", "avgdl", "rare", (F.col("w") * F.col("peak")).alias("bound")), "blocks")
+        df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
+        weighed = files.keep(retrieval.weights(df, stats, terms, cfg), "weights")
+        peaks = files.keep(bounds.groupBy("batch", "range").agg(F.collect_list(F.struct("term", "peak")).alias("peaks")), "peaks")
+        groups = max(1, -(-weighed.count() // retrieval.ASKED))
+        found = [self._found(files, mine, peaks, weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == i), k) for i in range(groups)]
+        ranking, blocks = found[0]
+        for r, b in found[1:]:
+            ranking, blocks = ranking.unionByName(r), blocks.unionByName(b)
+        return Found(ranking, blocks)
+
+    def _found(self, files, mine: DataFrame, peaks: DataFrame, weighed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Ranking and blocks of some queries."""
+        asked = weighed.select("query_id", "term", F.struct(F.lit(0)).alias("scope"), "avgdl", "w")
+        sent, id = self.spark.sparkContext.broadcast(asked.toArrow()), asked.schema["query_id"].dataType.simpleString()
+        retrieval.one_by_one(self.spark)
+        where = ["batch", "range"]
 
         # 1. and 2.: what sets the thresholds
-        partial = files.keep(self._read(mine, blocks.where("rare")).groupBy(*where, "doc_id").agg(F.sum("s").alias("s")), "partial")
-        best = retrieval.top_k(partial, k, "s").select(*where).distinct()
-        chosen = files.keep(blocks.where("NOT rare").join(best, where, "left_semi"), "chosen")
-        full = partial.join(best, where, "left_semi").select("query_id", "doc_id", "s").unionByName(self._read(mine, chosen).select("query_id", "doc_id", "s"))
-        full = files.keep(full.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s")), "full")
-        kth = retrieval.top_k(full.withColumn("score", F.round("s", 6)), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        reaches = lambda c: F.col("least").isNull() | (c + SLACK >= F.col("least"))
-
-        # 3.: ranges that may hold better documents
-        other = blocks.where("NOT rare").join(best, where, "left_anti").join(partial.groupBy(*where).agg(F.max("s").alias("top")), where, "left").join(kth, "query_id", "left")
-        top, own = F.coalesce("top", F.lit(0.0)), Window.partitionBy(*where)
-        other = other.withColumn("below", top + F.sum("bound").over(own.orderBy("bound", "term"))).withColumn("whole", top + F.sum("bound").over(own))
-        marked = other.where(reaches(F.col("whole"))).withColumn("essential", reaches(F.col("below")))
-        marked = files.keep(marked.withColumn("left", F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(own)), "marked")
-        left = marked.select(*where, "left", "least").distinct()
-        met = partial.join(left.select(*where), where, "left_semi").select(*where, "doc_id", "s").unionByName(self._read(mine, marked.where("essential")).select(*where, "doc_id", "s"))
-        some = met.groupBy(*where, "doc_id").agg(F.sum("s").alias("s")).join(left, where).where(reaches(F.col("s") + F.col("left")))
-        some = files.keep(some, "some")
-        # ranges without other blocks: their partial scores are whole
-        alone = partial.join(best, where, "left_anti").join(blocks.where("NOT rare").select(*where).distinct(), where, "left_anti").select("query_id", "doc_id", "s")
-
-        # 4.: what is left of the ranges that still may
-        others = marked.where("NOT essential").join(some.select(*where).distinct(), where, "left_semi")
-        more = self._read(mine, others).join(some.select(*where, "doc_id"), [*where, "doc_id"], "left_semi")
-        late = some.select("query_id", "doc_id", "s").unionByName(more.select("query_id", "doc_id", "s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"))
-        ranking = retrieval.top_k(full.unionByName(late).unionByName(alone).select("query_id", "doc_id", F.round("s", 6).alias("score")), k)
-        read = [blocks.where("rare"), chosen, marked.where("essential"), others]
-        counts = read[0].select("query_id")
-        for r in read[1:]:
-            counts = counts.unionByName(r.select("query_id"))
-        return Found(ranking, blocks.groupBy("query_id").agg(F.count("*").alias("blocks")).join(counts.groupBy("query_id").agg(F.count("*").alias("read")), "query_id"))
-
-    def _blocks(self, posts: DataFrame, total: int | None, lengths: int) -> DataFrame:
+        best = peaks.mapInArrow(_highest(sent, k), f"query_id {id}, batch string, range long, bound double, size long")
+        best = files.keep(retrieval.top_k(best, k, "bound", "range"), "best")
+        some = best.groupBy(*where).agg(F.collect_list("query_id").alias("asks"))
+        kth = retrieval.top_k(self._scored(mine, some, sent, id), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        kth = files.keep(kth, "least")  # a row for each query
+        least = kth.toArrow().to_pydict()
+        least = self.spark.sparkContext.broadcast(dict(zip(least["query_id"], least["least"])))
+
+        # 3. and 4.: ranges that may hold what reaches them
+        listed = files.keep(peaks.mapInArrow(_reaching(sent, least), f"batch string, range long, asks array<{id}>, sizes array<long>"), "listed")
+        ranking = retrieval.top_k(self._scored(mine, listed, sent, id, least), k)
+        ids = weighed.select("query_id", "term").join(peaks.select(F.explode("peaks.term").alias("term")).groupBy("term").count(), "term")
+        blocks = ids.groupBy("query_id").agg(F.sum("count").alias("blocks"))
+        once = best.join(kth, "query_id", "left").where(F.col("bound") + SLACK < F.col("least")).select("query_id", "size")
+        read = listed.select(F.inline(F.arrays_zip("asks", "sizes"))).toDF("query_id", "size").unionByName(once)
+        return ranking, blocks.join(read.groupBy("query_id").agg(F.sum("size").alias("read")), "query_id")
+
+    def _scored(self, rows: DataFrame, listed: DataFrame, sent, id: str, least=None) -> DataFrame:
+        """(query_id, doc_id, score) of the documents of listed(batch, range, asks), at least as good as `least`."""
+        own = rows.select("batch", "range", "term", "posts").join(listed.select("batch", "range"), ["batch", "range"], "left_semi")
+        own = own.groupBy("batch", "range").agg(F.collect_list(F.struct("term", "posts")).alias("blocks")).join(listed.select("batch", "range", "asks"), ["batch", "range"])
+        doc = own.schema["blocks"].dataType.elementType["posts"].dataType.elementType["doc_id"].dataType.simpleString()
+        return own.select("blocks", "asks").mapInArrow(_scorer(sent, least, self.cfg), f"query_id {id}, doc_id {doc}, score double")
+
+    def _blocks(self, posts: DataFrame, total: int | None, lengths: int, dealt: bool = False) -> DataFrame:
         """The rows of a segment of so many words in so many texts, in the order of their terms."""
         part = lambda p: retrieval.tf_norm(p["tf"], p["dl"], self.cfg)
         mean = posts.withColumn("avgdl", F.lit(total / lengths if lengths and total else None).cast("double"))
         rows = mean.select("term", "range", F.size("posts").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("posts", part)), F.lit(0.0)).alias("peak"), "posts")
-        return rows.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
-
-    def _read(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
-        """The score of each posting of some blocks, with the columns of these."""
-        own = rows.select("term", "batch", "range", "posts").join(blocks, ["term", "batch", "range"])
-        each = own.select(*blocks.columns, F.inline("posts"))
-        return each.withColumn("s", F.col("w") * retrieval.tf_norm(F.col("tf"), F.col("dl"), self.cfg))
-
+        return (rows if dealt else rows.repartitionByRange("term", "range")).sortWithinPartitions("term", "range")
+
+
+def _bounds(batches, parts: list[tuple]):
+    """(rows, place of each range in its batch, ids, bounds, blocks): ranges by queries, a bounded number at once."""
+    for batch in batches:
+        lists = batch.column("peaks")
+        size, flat = lists.value_lengths().to_numpy(), lists.flatten()
+        row, peak = np.repeat(np.arange(len(batch)), size), flat.field("peak").to_numpy(zero_copy_only=False)
+        words = flat.field("term").dictionary_encode()
+        for _, _, ids, place, w, _ in parts:
+            column = np.array([place.get(x, -1) for x in words.dictionary.to_pylist()] or [-1], np.int64)[words.indices.to_numpy()]
+            step = max(1, retrieval.CELLS // max(w.shape))
+            for first in range(0, len(batch), step):
+                own = (row >= first) & (row < first + step) & (column >= 0)
+                held = np.zeros((min(step, len(batch) - first), len(place)))
+                held[row[own] - first, column[own]] = 1
+                sizes = held @ (w > 0)
+                held[row[own] - first, column[own]] = peak[own]
+                yield batch, first, ids, held @ w, sizes.astype(np.int64)
+
+
+def _highest(sent, k: int):
+    def run(batches):
+        least = {}
+        for batch, first, ids, bound, size in _bounds(batches, retrieval._weight_blocks(sent.value, False)):
+            at, known = ids[0].as_py(), np.where(size > 0, bound, -np.inf)
+            if len(known) >= k:
+                least[at] = np.maximum(least.get(at, -np.inf), np.partition(known, -k, axis=0)[-k])
+            i, j = np.nonzero((size > 0) & (known >= least.get(at, -np.inf)))
+            rows = pa.array(first + i)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), batch.column("batch").take(rows), batch.column("range").take(rows), pa.array(bound[i, j]), pa.array(size[i, j])], names=["query_id", "batch", "range", "bound", "size"])
+
+    return run
+
+
+def _reaching(sent, least):
+    def run(batches):
+        for batch, first, ids, bound, size in _bounds(batches, retrieval._weight_blocks(sent.value, False)):
+            must = np.array([least.value.get(x, -np.inf) for x in ids.to_pylist()])
+            i, j = np.nonzero((size > 0) & (bound + SLACK >= must))
+            rows, count = np.unique(i, return_counts=True)
+            ends, at = pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(first + rows)
+            yield pa.RecordBatch.from_arrays([batch.column("batch").take(at), batch.column("range").take(at), pa.ListArray.from_arrays(ends, ids.take(pa.array(j))), pa.ListArray.from_arrays(ends, pa.array(size[i, j]))], names=["batch", "range", "asks", "sizes"])
+
+    return run
+
+
+def _scorer(sent, least, cfg: Bm25):
+    def run(batches):
+        parts = [(avgdl, ids, {x: n for n, x in enumerate(ids.to_pylist())}, place, w) for _, avgdl, ids, place, w, _ in retrieval._weight_blocks(sent.value, False)]
+        for batch in batches:
+            for blocks, asks in zip(batch.column("blocks"), batch.column("asks")):
+                posts, asks = blocks.values.field("posts"), asks.as_py()
+                term, flat = np.repeat(np.arange(len(posts)), posts.value_lengths().to_numpy()), posts.flatten()
+                words, docs = blocks.values.field("term").to_pylist(), flat.field("doc_id").dictionary_encode()
+                codes, docs = docs.indices.to_numpy(), docs.dictionary
+                tf, dl = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.float64) for x in ("tf", "dl"))
+                for avgdl, ids, number, place, w in parts:
+                    mine = np.array([number[x] for x in asks if x in number], np.int64)
+                    if not len(mine):
+                        continue
+                    column = np.array([place.get(x, -1) for x in words], np.int64)[term]
+                    own = column >= 0
+                    held = np.zeros((len(docs), len(place)))
+                    held[codes[own], column[own]] = (tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / avgdl)))[own]
+                    score = held @ w[:, mine]
+                    kept = np.round(score, 6)
+                    must = np.array([least.value.get(ids[int(x)].as_py(), -np.inf) for x in mine]) if least else -np.inf
+                    i, j = np.nonzero((score > 0) & (kept >= must))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[j])), docs.take(pa.array(i)), pa.array(kept[i, j])], names=["query_id", "doc_id", "score"])
+
+    return run

@@ -80,3 +80,24 @@ def test_batches_are_published_whole(spark, tmp_path):
     with pytest.raises(Conflict):
         table._publish(2, [])
     assert [b["name"] for b in table.batches()] == ["a", "b"]
+
+
+def test_no_table_grows_with_documents_times_queries(spark, tmp_path, monkeypatch):
+    """As many queries as there may be, nothing has a row for each query, term and range; queries in several groups give the same rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0")
+    one = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id < 2").selectExpr("item_id", "text AS query")
+    asked = one.crossJoin(spark.range(12)).selectExpr("item_id * 100 + id AS query_id", "query")
+    index = TopkIndex(spark, _path(tmp_path))
+    index.add(docs, "a")
+    kept, keep = {}, topk_index.scratch(spark).__class__.keep
+
+    def counted(self, df, name, *rest, **more):
+        out = keep(self, df, name, *rest, **more)
+        kept[name] = max(kept.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(topk_index.scratch(spark).__class__, "keep", counted)
+    got = _ranked(index.search(asked, 3).ranking)
+    assert max(n for name, n in kept.items() if name not in ("bounds", "index")) <= max(kept["bounds"], kept["weights"])
+    monkeypatch.setattr(retrieval, "ASKED", 200)
+    assert _ranked(index.search(asked, 3).ranking) == got == _ranked(retrieval.top_k(retrieval.bm25(docs, asked), 3))
