@@ -74,7 +74,8 @@ class TopkIndex:
         counted, (n, with_length, total) = files.counted(counted, "segment", F.count(F.lit(1)), F.count("dl"), F.sum("dl"))
         if n:
             own = counted.select("range", "doc_id", "dl", F.lit(DOCUMENT).alias("term"), F.lit(0).cast("long").alias("tf"))
-            posts = own.unionByName(retrieval.postings(counted)).groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("tf"), F.col("dl")))).alias("posts"))
+            each = own.unionByName(retrieval.postings(counted)).repartitionByRange("term", "range")  # groups lie together then, and in the order of the segment
+            posts = each.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("tf"), F.col("dl")))).alias("posts"))
             self.table.append(self._blocks(posts, total, with_length), name, docs=n, lengths=with_length, total=total)
         files.drop(counted)
         return n
@@ -86,14 +87,14 @@ class TopkIndex:
             raise ValueError("no such segments")
         rows = self.table.read(only=lambda b: b["name"] in names)
         small = rows.where((F.col("term") == DOCUMENT) & (F.col("n") * 2 < RANGE)).agg(F.sum("n")).first()[0] or 0
-        sparse = rows.where(F.col("term") == DOCUMENT).select("batch", "range", (F.col("n") * 2 < RANGE).alias("sparse"))
+        sparse = rows.where((F.col("term") == DOCUMENT) & (F.col("n") * 2 < RANGE)).select("batch", "range", F.lit(True).alias("sparse"))  # the last ranges of partitions
         groups = -(-small // RANGE)
         at = F.when(F.col("sparse"), -1 - F.pmod(F.xxhash64("batch", "range"), F.lit(max(1, groups)))).otherwise(F.col("range") * len(names) + F.array_position(F.array(*[F.lit(n) for n in names]), F.col("batch")) - 1)
-        moved = rows.join(sparse, ["batch", "range"]).withColumn("range", at)
-        moved = moved.repartitionByRange("term", "range")  # groups lie together then, and in the order of the segment
+        moved = rows.join(F.broadcast(sparse), ["batch", "range"], "left").withColumn("range", at)
+        moved = moved.repartitionByRange("term", "range")
         posts = moved.groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("posts"))).alias("posts"))
         facts = {k: sum(b[k] for b in parts) for k in ("docs", "lengths", "total")}
-        self.table.append(self._blocks(posts, facts["total"], facts["lengths"], dealt=True), name, instead_of=names, **facts)
+        self.table.append(self._blocks(posts, facts["total"], facts["lengths"]), name, instead_of=names, **facts)
 
     def search(self, queries: DataFrame, k: int) -> Found:
         """The k best documents of each query, as retrieval.search and top_k have them."""
@@ -153,12 +154,12 @@ class TopkIndex:
         doc = own.schema["blocks"].dataType.elementType["posts"].dataType.elementType["doc_id"].dataType.simpleString()
         return own.select("blocks", "asks").mapInArrow(_scorer(sent, least, self.cfg), f"query_id {id}, doc_id {doc}, score double")
 
-    def _blocks(self, posts: DataFrame, total: int | None, lengths: int, dealt: bool = False) -> DataFrame:
+    def _blocks(self, posts: DataFrame, total: int | None, lengths: int) -> DataFrame:
         """The rows of a segment of so many words in so many texts, in the order of their terms."""
         part = lambda p: retrieval.tf_norm(p["tf"], p["dl"], self.cfg)
         mean = posts.withColumn("avgdl", F.lit(total / lengths if lengths and total else None).cast("double"))
         rows = mean.select("term", "range", F.size("posts").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("posts", part)), F.lit(0.0)).alias("peak"), "posts")
-        return (rows if dealt else rows.repartitionByRange("term", "range")).sortWithinPartitions("term", "range")
+        return rows.sortWithinPartitions("term", "range")
 
 
 def _bounds(batches, parts: list[tuple]):
