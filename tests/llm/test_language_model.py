@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,55 @@ def test_scores_without_tables(spark, tmp_path, monkeypatch):
     assert size[1] < 0.7 * size[0]
     with pytest.raises(ValueError, match="without tables"):
         katz.evaluate(spark, docs, model=model)
+
+
+def test_blocks_join_batches(spark):
+    """A block holds as many batches of a task as fit: the messages between blocks and parts are as many as their product."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(True).alias("train")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        rows = katz.blocks(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert len(rows) <= 1 + 2 * size // katz.BLOCK < docs.count() // 20
+    assert sorted(i for r in rows for i in r["ids"]) == sorted(r["doc_id"] for r in docs.collect())
+
+
+def test_many_small_messages():
+    """Packing for many parts at once gives back each part's rows, whatever the sizes of numbers and parts."""
+    sizes = np.array([0, 3, 1, 0, 4, 2, 0])
+    keys = [np.array([-2, -2, 5, 1 << 40, -1, -1, 7, 7, 0, 3]), np.array([-2, 9, 0, 4, 1, 1, -1, 300, 2, 2]), np.array([0, -1, 2, 3, 4, 5, 6, 7, 8, 70_000])]
+    n, lower, hot = np.arange(10), np.arange(10) * 1000, np.arange(10) % 2
+    over = np.array([6, 6, 1, 2, 1 << 33, 1 << 33, 4, 4, 5, 9])
+    data = list(katz.pack_grams(sizes, keys, n, lower, over, hot))
+    got, columns = katz.unpack_grams(data, 3)
+    assert got.tolist() == sizes.tolist() and all((a == b).all() for a, b in zip(columns, [*keys, n, lower, over, hot]))
+    got, columns = katz.unpack_grams(data[1:3], 3)
+    assert got.tolist() == [3, 1] and all((a == b[:4]).all() for a, b in zip(columns, [*keys, n, lower, over, hot]))
+    (low, size), (count, _) = katz.unpack_each(list(katz.pack_each((np.array([0.5, -1.0, 1e300]), np.array([0, 1, 1, 3])), (np.array([1 << 63, 7], np.uint64), np.array([0, 2, 2, 2])))), 2)
+    assert low.view(np.float64).tolist() == [0.5, -1.0, 1e300] and size.tolist() == [1, 0, 2] and count.tolist() == [1 << 63, 7]
+
+
+def test_split_words():
+    texts = ["", None, " \t", "A b\x0bc", "b", "\x1c\u2003É b\r\n", "a\x00 a", "é" * 3 + " Z"]
+    words, codes, count = katz.split_words(pa.array(texts, pa.string()))
+    found, want = [words[int(i)].as_py() for i in codes], [Dictionary.tokens(t)[:-1] for t in texts]
+    assert found == [w.encode() for t in want for w in t] and count.tolist() == [len(t) for t in want]
+    words, codes, count = katz.split_words(pa.array([None, ""], pa.string()))
+    assert (len(words), len(codes), count.tolist()) == (0, 0, [0, 0])
+
+
+def test_katz_of_blocks_and_parts_equals_dictionary(spark):
+    """Several blocks, parts and contexts that aren't hot; scored again from the tables, which then answer from stored rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(5)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = Dictionary([t for i, t in sorted(texts.items()) if i % 3], 3)
+    scored, found = katz.evaluate(spark, docs, F.col("doc_id") % 3 != 0, parts=7)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert got.keys() == texts.keys() and len(found.levels[1].hot) < len(model.after[2])
+    for i in sorted(texts)[:25]:
+        assert got[i] == pytest.approx(model.score(texts[i]), abs=1e-6)
+    again = katz.evaluate(spark, docs.where("doc_id % 5 = 0"), model=found)[0].collect()
+    assert again and all(r["score"] == pytest.approx(got[r["doc_id"]], abs=1e-9) for r in again)
