@@ -34,19 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import distinct, plain, released, small_batches
+from lexquarry.llm.arrow import distinct, hold, joined, plain, release, small_batches
 from lexquarry.sources.scratch import scratch
 
 #: Words of a phrase; its least count; phrases of each language that are returned.
 MIN_N, MAX_N, LEAST, TOP = 2, 3, 10, 2000
 #: A phrase goes if a longer one that holds it has at least so many hundredths of its count.
 WITHIN = 50
-#: A beginning with more than this share of all words is dealt out further; bytes of text counted at once; words of a sorted partition.
-HEAVY, SLICE, PARTITION = 10_000, 12 << 20, 4_000_000
+#: A beginning with more than this share of all words is dealt out further; bytes of text counted at once; rows of a batch; words of a sorted partition.
+HEAVY, SLICE, ROWS, PARTITION = 10_000, 12 << 20, 1 << 18, 4_000_000
 
-_BREAK, _APART = np.zeros(256, bool), np.zeros(256, bool)
-_BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
-_APART[list(b" \t.,;:!?\n\x0b\x0c\r")] = True
+_APART, _BREAKS = b" \t.,;:!?\n\x0b\x0c\r", b".,;:!?\n\x0b\x0c\r"
+_LOWER = bytes(range(256)).lower()
+_KIND = bytes((b in _APART) + (b in _BREAKS) for b in range(256))  # 0 in a word, 1 between words, 2 between pieces
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,112 +54,160 @@ def _escape(word: bytes) -> bytes:
     return word.replace(b"\x01", b"\x01\x02").replace(b"\0", b"\x01\x01") if b"\x01" in word or b"\0" in word else word
 
 
-def piece_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words; the number of each word of all texts, -1 where a piece ends; the text of each (of an end, any)."""
+def piece_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words; the number of each word of all texts from 1, 0 where a piece ends; the text of each (of an end, any)."""
     data, offsets = plain(column)
     if not len(data):
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.where(data - np.uint8(65) < 26, data + np.uint8(32), data)
-    inside = ~_APART[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    start[first] = inside[first]
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = data.tobytes()
+    kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+    inside, held = kind == 0, np.diff(offsets) > 0
+    start, end = inside.copy(), inside.copy()
+    np.greater(inside[1:], inside[:-1], out=start[1:])
+    np.greater(inside[:-1], inside[1:], out=end[:-1])
+    first, last = offsets[:-1][held], offsets[1:][held] - 1
+    start[first], end[last] = inside[first], inside[last]
     starts = np.flatnonzero(start)
-    before = np.cumsum(inside) - inside
-    bytes_at = np.append(before[starts], int(inside.sum())).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bytes_at), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
-    texts, piece = np.searchsorted(offsets, starts, side="right") - 1, np.cumsum(_BREAK[data])[starts]
-    new = np.flatnonzero((np.diff(texts) != 0) | (np.diff(piece) != 0)) + 1
-    codes = words.indices.to_numpy().astype(np.int64)
-    distinct_words = words.dictionary.to_pylist()
+    bounds = np.append(0, np.cumsum(np.flatnonzero(end) + 1 - starts))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw.translate(_LOWER, _APART))]).dictionary_encode()
+    codes, known = words.indices.to_numpy().astype(np.int64) + 1, words.dictionary
     if int(data.min()) < 2:
-        distinct_words = [_escape(w) for w in distinct_words]
-    return distinct_words, np.append(np.insert(codes, new, -1), -1), np.append(np.insert(texts, new, texts[new]), 0)
-
-
-def distinct_rows(columns: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows, in order, and how often each stands there, or the sum of its weights."""
-    order, starts, inverse = distinct(columns)
-    sums = np.bincount(inverse, weight, len(starts)).astype(np.int64)
-    return [x[order[starts]] for x in columns], sums
-
-
-def slice_suffixes(texts: pa.Array, langs: pa.Array, length: int) -> tuple[pa.Array, list[bytes], list[np.ndarray], np.ndarray]:
-    """Languages, words, the distinct suffixes (language and `length` word numbers, -1 beyond a piece's end) and their counts."""
+        known = pa.array([_escape(w) for w in known.to_pylist()], pa.large_binary())
+    cut = np.zeros(len(starts) + 1, bool)  # the words before which a piece ends
+    cut[np.searchsorted(starts, np.flatnonzero(kind == 2))] = True
+    cut[np.searchsorted(starts, first)] = True
+    new = np.flatnonzero(cut[1:-1]) + 1
+    texts = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return known, np.append(np.insert(codes, new, 0), 0), np.append(np.insert(texts, new, texts[new]), 0)
+
+
+def distinct_rows(columns: list[np.ndarray], spans: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, in order, and how often each stands there; the numbers of a column are from 0 and below its span."""
+    bits = [int(s).bit_length() for s in spans]
+    if sum(bits) > 63:
+        order, starts, _ = distinct(columns)
+        return [c[order[starts]] for c in columns], np.diff(np.append(starts, len(order)))
+    key = np.zeros(len(columns[0]), np.int64)  # one number tells the rows apart
+    for c, n in zip(columns, bits):
+        key <<= n
+        key |= c
+    key.sort()
+    starts = _changes([key])
+    n, key, rows = np.diff(np.append(starts, len(key))), key[starts], []
+    for b in bits[:0:-1]:
+        rows.append(key & ((1 << b) - 1))
+        key = key >> b
+    return [key, *rows[::-1]], n
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def slice_suffixes(texts: pa.Array, langs: pa.Array, length: int) -> tuple[pa.Array, pa.Array, list[np.ndarray], np.ndarray]:
+    """Languages and words with a NUL behind each, the distinct suffixes (language and `length` word numbers from 1, 0 beyond a piece's end, the empty word) and their counts, in order."""
     words, codes, text = piece_words(texts)
-    coded = pc.cast(langs, pa.large_string()).fill_null("und").dictionary_encode()
-    lang = coded.indices.to_numpy().astype(np.int64)[text]
-    columns = [lang, codes]
+    coded = pc.cast(langs, pa.large_binary()).fill_null(b"und").dictionary_encode()
+    columns = [coded.indices.to_numpy().astype(np.int64)[text], codes]
     for k in range(1, length):
-        after = np.append(codes[k:], np.full(min(k, len(codes)), -1))
-        columns.append(np.where(columns[-1] >= 0, after, -1))
-    keep = codes >= 0
-    rows, n = distinct_rows([c[keep] for c in columns])
-    return coded.dictionary, words, rows, n
+        after = np.append(codes[k:], np.zeros(min(k, len(codes)), np.int64))
+        columns.append(after if k == 1 else np.where(columns[-1] > 0, after, 0))
+    keep = codes > 0
+    rows, n = distinct_rows([c[keep] for c in columns], [len(coded.dictionary), *[len(words) + 1] * length])
+    nul, none = pa.scalar(b"\0", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+    names = pa.array([_escape(x) + b"\0" for x in coded.dictionary.to_pylist()], pa.large_binary())
+    return names, pa.concat_arrays([pa.array([b""], pa.large_binary()), pc.binary_join_element_wise(words, nul, none)]), rows, n
 
 
 def heavy_beginnings(docs: DataFrame, share: int = HEAVY) -> tuple[int, list[tuple[str, int]]]:
     """The number of words, and the prefixes (key, words) of one and two words with more than a share-th of them.
 
     A task names what has more than half that share of a slice, so that nothing
-    above the share can be missed and a slice gives at most 4 * share rows.
+    above one and a half times the share can be missed and a slice gives at most
+    4 * share rows.
     """
 
     def run(batches):
-        for part in released(batches, 0, SLICE):
+        hold()
+        for part in joined(batches, 0, SLICE):
             langs, words, rows, n = slice_suffixes(part.column(0), part.column(1), 2)
             total, keys, depth, counts = int(n.sum()), [None], [0], [int(n.sum())]
-            for length in (1, 2):
-                whole = rows[length] >= 0
-                named, sums = distinct_rows([r[whole] for r in rows[: length + 1]], n[whole])
-                often = np.flatnonzero(sums * 2 * share > total)
-                keys += prefix_keys(langs, words, [r[often] for r in named]).to_pylist()
+            for length in (1, 2) if total else ():
+                at = _changes(rows[: length + 1])
+                sums = np.add.reduceat(n, at)
+                often = np.flatnonzero((sums * 2 * share > total) & (rows[length][at] > 0))
+                keys += prefix_keys(langs, words, [r[at[often]] for r in rows[: length + 1]]).to_pylist()
                 depth += [length] * len(often)
                 counts += sums[often].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(depth, pa.int32()), pa.array(counts, pa.int64())], names=["key", "depth", "n"])
+        release()
 
+    small_batches(docs.sparkSession)
     found = docs.mapInArrow(run, "key string, depth int, n long").groupBy("key", "depth").agg(F.sum("n").alias("n"))
     found = scratch(docs.sparkSession).keep(found, "beginnings")
     total = (found.where("depth = 0").agg(F.sum("n")).first()[0]) or 0
     return total, [(r["key"], r["depth"]) for r in found.where((F.col("depth") > 0) & (F.col("n") * share > total)).select("key", "depth").collect()]
 
 
-def prefix_keys(langs: pa.Array, words: list[bytes], rows: list[np.ndarray]) -> pa.Array:
-    """The key of each row (language, words ..., -1 for no word)."""
-    vocabulary = pa.array(words, pa.binary()).cast(pa.large_string())
-    named = [pa.array([_escape(x.encode()).decode() for x in langs.to_pylist()], pa.large_string()).take(pa.array(rows[0]))]
-    for r in rows[1:]:
-        named.append(vocabulary.take(pa.array(r, mask=r < 0)))
-    end = pa.scalar("", pa.large_string())
-    return pc.binary_join_element_wise(*named, end, pa.scalar("\0", pa.large_string()), null_handling="skip").cast(pa.string())
+def prefix_keys(langs: pa.Array, words: pa.Array, rows: list[np.ndarray]) -> pa.Array:
+    """The key of each row (language, words ...)."""
+    named = [known.take(pa.array(r)) for known, r in zip([langs] + [words] * len(rows), rows)]
+    return pc.binary_join_element_wise(*named, pa.scalar(b"", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+
+
+def _heavy(langs: pa.Array, words: pa.Array, heavy: list[list[bytes]]):
+    """A function that says which rows (language, words ...) begin with one of these prefixes, all of as many words."""
+    names = pa.array(sorted({w for _, *parts in heavy for w in parts}), pa.large_binary())
+    place = pc.index_in(words, names).fill_null(-1).to_numpy() + 1  # 0: in no prefix
+    numbers = {x: i for i, x in enumerate(langs.to_pylist())}, {x: i for i, x in enumerate(names.to_pylist(), 1)}
+    n = len(names) + 1
+
+    def number(parts):
+        out = parts[0]
+        for p in parts[1:]:
+            out = out * n + p
+        return out
+
+    wanted = np.array(sorted(number([numbers[0][lang], *[numbers[1][w] for w in parts]]) for lang, *parts in heavy if lang in numbers[0]), np.int64)
+
+    def among(rows: list[np.ndarray]) -> np.ndarray:
+        mine = [rows[0], *[place[r] for r in rows[1:]]]
+        out = mine[1] > 0
+        for m in mine[2:]:
+            out &= m > 0
+        at = np.flatnonzero(out)
+        mine = number([m[at] for m in mine])
+        out[at] = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine if len(wanted) else False
+        return out
+
+    return among
 
 
 def suffixes(docs: DataFrame, length: int, heavy: list[tuple[str, int]]) -> DataFrame:
     """(key, n, part): the suffixes of at most `length` words, counted by slice, and where they go."""
-    one, two = ({k.encode() for k, d in heavy if d == n} for n in (1, 2))
+    groups = [(depth, [[x + b"\0" for x in k.encode().split(b"\0")[:-1]] for k, d in heavy if d == depth]) for depth in (1, 2)]
 
     def run(batches):
-        for batch in released(batches, 0, SLICE):
+        hold()
+        for batch in joined(batches, 0, SLICE):
             langs, words, rows, n = slice_suffixes(batch.column(0), batch.column(1), length)
-            keys = prefix_keys(langs, words, rows)
-            hashes = [np.array([xxhash.xxh3_64_intdigest(w) for w in v], np.uint64) for v in (langs.cast(pa.large_binary()).to_pylist(), [*words, b""])]
-            names = [_escape(x.encode()) for x in langs.to_pylist()]
-            with np.errstate(over="ignore"):
-                h = hashes[0][rows[0]] * _K + hashes[1][rows[1]]
-                for depth, group in ((1, one), (2, two)):
-                    if group and length > depth:
-                        known = {w: i for i, w in enumerate(words)}
-                        hot = np.zeros(len(h), bool)
-                        for lang, *parts in (k.split(b"\0")[:-1] for k in group):
-                            if lang in names and all(p in known for p in parts):
-                                hit = rows[0] == names.index(lang)
-                                for r, p in zip(rows[1:], parts):
-                                    hit &= r == known[p]
-                                hot |= hit
-                        h = np.where(hot, h * _K + hashes[1][rows[depth + 1]], h)
-                h = (h ^ (h >> np.uint64(29))) * _K
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array((h >> np.uint64(33)).astype(np.int32))], names=["key", "n", "part"])
+            hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, v), np.uint64, len(v)) for v in (x.to_numpy(zero_copy_only=False) for x in (langs, words))]
+            heavies = [(depth, _heavy(langs, words, group)) for depth, group in groups if group and length > depth]
+            for at in range(0, len(n), ROWS):
+                some = [r[at : at + ROWS] for r in rows]
+                with np.errstate(over="ignore"):
+                    h = hashes[0][some[0]] * _K + hashes[1][some[1]]
+                    for depth, among in heavies:
+                        hot = among(some[: depth + 1])
+                        h[hot] = h[hot] * _K + hashes[1][some[depth + 1][hot]]
+                    h = (h ^ (h >> np.uint64(29))) * _K
+                yield pa.RecordBatch.from_arrays([prefix_keys(langs, words, some), pa.array(n[at : at + ROWS]), pa.array((h >> np.uint64(33)).astype(np.int32))], names=["key", "n", "part"])
+        release()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "key string, n long, part int")

@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.arrow import _SPACE, distinct, hold, plain, release, slices, small_batches
+from lexquarry.llm.arrow import _SPACE, distinct, hold, joined, plain, release, small_batches
 from lexquarry.sources.scratch import Scratch, cleaned, scratch
 
 #: Length of the longest n-grams; counts up to which losses are estimated one by one.
@@ -263,27 +263,13 @@ def split_words(texts: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray, np.nd
     return coded.dictionary, coded.indices.to_numpy(), np.diff(np.searchsorted(starts, offsets))
 
 
-def _joined(batches, column: int):
-    """Batches of about BLOCK bytes, or a single row, of the batches of a task."""
-    held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, column, BLOCK):
-            if held and size + part.nbytes > BLOCK:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-            held.append(part)
-            size += part.nbytes
-    if held:
-        yield pa.concat_batches(held)
-
-
 def blocks(docs: DataFrame) -> DataFrame:
     """Blocks of docs(doc_id, text, train): ids, words (the end is the empty one, and the first), token numbers, ends of texts, and which are learned from."""
 
     def run(batches):
         hold()
         number = TaskContext.get().partitionId() << 32
-        for part in _joined(batches, 1):
+        for part in joined(batches, 1, BLOCK):
             known, codes, count = split_words(part.column(1))
             ends = np.cumsum(count)
             codes = np.insert(codes + 1, ends, 0)

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,42 @@ def test_collocations_edges(spark, share):
     assert collocations.collocations(spark, df.limit(0)).collect() == []
 
 
+def test_dealing_many_heavy_beginnings(spark):
+    """Where a suffix goes takes one look at its words, not one pass over a slice for each heavy beginning."""
+    text = " ".join(f"w{i % 3001} v{i % 499}" for i in range(150_000))
+    docs = spark.createDataFrame([(text, "en"), ("w1 v1 b. w1 v1 c", "und")], "text string, lang string").coalesce(1)
+    many = [(f"en\0w{i}\0", 1) for i in range(3001)] + [(f"en\0w{i}\0v{j}\0", 2) for i in range(1, 17) for j in range(499)] + [(f"en\0x{i}\0", 1) for i in range(4000)]
+
+    def dealt(heavy):
+        began = time.time()
+        collocations.suffixes(docs, 3, heavy).agg(F.sum("part")).collect()
+        return time.time() - began
+
+    dealt(many[:1])
+    assert dealt(many) < 3 * dealt(many[:1]) + 1
+    few, rows = (collocations.suffixes(docs, 3, heavy).collect() for heavy in (many[:1], many))
+    assert sorted((r["key"], r["n"]) for r in rows) == sorted((r["key"], r["n"]) for r in few)
+    two = {(f"w{i}", f"v{j}") for i in range(1, 17) for j in range(499)}
+    parts = collections.defaultdict(set)
+    for r in rows:
+        lang, *w = r["key"].split("\0")[:-1]
+        parts[(lang, *w[: 3 if lang == "en" and tuple(w[:2]) in two else 2 if lang == "en" and w[0][0] == "w" else 1])].add(r["part"])
+    assert all(len(p) == 1 for p in parts.values())  # by a heavy beginning and the next word, else by the first word
+    assert len(set.union(*parts.values())) > 0.99 * len(parts)
+
+
+def test_pieces_and_distinct_rows():
+    texts = ["Ab c", "", "d", ". ,", "e\tÄÖ!É f;", "\r", "g", None, "G  g.g", "A\x00 \x01"]
+    words, codes, text = collocations.piece_words(pa.array(texts))
+    found = [(words[int(c) - 1].as_py().decode(), int(t)) if c else None for c, t in zip(codes, text)]
+    assert found == [("ab", 0), ("c", 0), None, ("d", 2), None, ("e", 4), ("ÄÖ", 4), None, ("É", 4), ("f", 4), None, ("g", 6), None, ("g", 8), ("g", 8), None, ("g", 8), None, ("a\x01\x01", 9), ("\x01\x02", 9), None]
+    columns = [np.array([1, 0, 1, 2, 1, 0]), np.array([5, 0, 5, 5, 4, 0]), np.array([0, 7, 0, 1, 9, 7])]
+    want = [[0, 1, 1, 2], [0, 4, 5, 5], [7, 9, 0, 1]], [2, 1, 2, 1]
+    for spans in ([3, 6, 10], [1 << 20, 1 << 30, 1 << 30]):  # also where one number is too short for a row
+        rows, n = collocations.distinct_rows(columns, spans)
+        assert ([r.tolist() for r in rows], n.tolist()) == want
+
+
 def test_scores_without_tables(spark, tmp_path, monkeypatch):
     """What only later texts need isn't written; words go once they are counted; the scores are the same."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
